@@ -41,11 +41,11 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def _probe(docs: DataFrame, widths: list[int]) -> DataFrame:
     """Each word position with the hash of the shingle that begins there; one more row at the end carries n_words."""
-    exploded = docs.select("doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "_word"))
+    exploded = docs.select("doc_id", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("pos", "_word"))
     keys = [F.when(F.col("pos") < F.size("words"), _shingle("words", F.col("pos"), w)).otherwise(F.lit(0).cast("long")) for w in widths]
     if len(widths) == 1:
         return exploded.select("doc_id", "words", "pos", keys[0].alias("key"))
-    return exploded.select("doc_id", "words", "pos", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    return exploded.select("doc_id", "words", "pos", F.explode_outer(F.array_distinct(F.array(*keys))).alias("key"))
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 200_000) -> DataFrame:
