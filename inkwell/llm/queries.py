@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.line_dedup import line_dedup
+from inkwell.llm.near_dup import near_dup
+from inkwell.llm.packing import pack_documents
+from inkwell.llm.quality import quality
+from inkwell.llm.secrets import document_report
+from inkwell.llm.substring_dedup import substring_dedup
+from inkwell.llm.topk import quantized, topk
+from inkwell.llm.toxicity import toxicity
+from inkwell.llm.warc import fixity_report
 from inkwell.sources.tables import table
 
 
+def tokenizer_file() -> str:
+    """The public byte-level vocabulary that op8 packs with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -17,4 +33,41 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup(table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk(quantized(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_report(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixity drill: the replica has lost the last character of every body whose page_id is divisible by 97."""
+    hurt = F.when(F.col("page_id") % 97 == 0, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    return fixity_report(table(spark, sf_dir, "pages"), hurt)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_line_dedup, op3_quality, op4_near_dup, op5_topk, op6_substring_dedup, op7_secrets, op8_packing, op9_toxicity, op10_warc)
+}
