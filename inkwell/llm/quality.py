@@ -168,3 +168,15 @@ def quality(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, cut
     """doc_id, held_out, score, predicted; rows with crc32(doc_id) % mod == rest are held out of the fit."""
     model = train(docs, labels, ~held_out(F.col("doc_id"), mod, rest), per_class=per_class)
     return score_documents(docs, model, cut).select("doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows whose text scores cut or more, with all their columns."""
+
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shapes = Shapes()
+        for t in texts:
+            yield pd.Series([model.score(features(x, shapes)) for x in t], dtype="float64")
+
+    scores.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.where(F.pandas_udf(scores, "double")(F.col("text")) >= cut)
