@@ -1,0 +1,10 @@
+"""Registered queries of the document engine."""
+
+import importlib
+
+from inkwell.plans.registry import ORACLES, QUERIES
+
+for _module in ("observability", "retrieval"):
+    importlib.import_module(f"inkwell.plans.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]

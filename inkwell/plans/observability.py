@@ -64,21 +64,21 @@ def application_usage(spark, sf_dir):
     return obs.application_usage(e, "k", ["signup", "purchase", "view", "click", "error"], ["0", "1"])
 
 
-@query(f"""SELECT CAST(ts AS DATE) AS day, metric_name, CASE WHEN count(duration_ms) > 0 THEN count(duration_ms) ELSE count(status) END AS n, round(avg(duration_ms), 6) AS avg_ms,
+@query(f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, metric_name, CASE WHEN count(duration_ms) > 0 THEN count(duration_ms) ELSE count(status) END AS n, round(avg(duration_ms), 6) AS avg_ms,
  round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95, round(quantile_cont(duration_ms, 0.99), 6) AS p99, max(duration_ms) AS max_ms,
  count(*) FILTER (status = 'failure') AS failures FROM {E} GROUP BY 1, 2""")
 def daily_rollup(spark, sf_dir):
-    return rounded(obs.daily_rollup(events(spark, sf_dir)), "avg_ms", "p50", "p95", "p99")
+    return rounded(obs.daily_rollup(events(spark, sf_dir)), "avg_ms", "p50", "p95", "p99").withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, metric_name, count(*) AS n FROM {E} GROUP BY 1, 2), m AS (SELECT max(day) AS day FROM d)
-SELECT d.day, metric_name, CASE WHEN d.day >= m.day - 2 THEN n ELSE -1 END AS n FROM d, m""")
+SELECT CAST(d.day AS VARCHAR) AS day, metric_name, CASE WHEN d.day >= m.day - 2 THEN n ELSE -1 END AS n FROM d, m""")
 def upsert_daily(spark, sf_dir):
     """The last three days recomputed and put over what an earlier run had left (here: -1)."""
     fresh = obs.daily_rollup(events(spark, sf_dir)).select("day", "metric_name", F.col("n").cast("long").alias("n"))
     last = fresh.agg(F.max("day").alias("last"))
     new = fresh.join(F.broadcast(last), F.col("day") >= F.date_sub("last", 2)).drop("last")
-    return obs.upsert(fresh.withColumn("n", F.lit(-1).cast("long")), new, ["day", "metric_name"])
+    return obs.upsert(fresh.withColumn("n", F.lit(-1).cast("long")), new, ["day", "metric_name"]).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""SELECT success_total, failure_total, success_total + failure_total AS total, round(success_total * 100.0 / (success_total + failure_total), 2) AS success_rate,
