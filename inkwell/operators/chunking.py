@@ -1,0 +1,170 @@
+"""Chunking strategies over documents (doc_id, text) or blocks (doc_id, block_no, text, component_type, heading_level, page)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkwell.functions import text as T
+
+SCHEMA = "doc_id long, chunk_no int, section_path string, text string, n_words int"
+
+
+def _numbered(docs: DataFrame, parts, min_words: int) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(parts).alias("chunk_no", "text"))
+    return rows.withColumn("n_words", T.token_count("text")).where(F.col("n_words") >= min_words)
+
+
+def sliding_window(docs: DataFrame, size: int = 150, step: int = 100, min_words: int = 1) -> DataFrame:
+    return _numbered(docs, T.sliding_windows("text", size, step), min_words)
+
+
+def sentence_based(docs: DataFrame, per_chunk: int = 5, overlap: int = 1, min_words: int = 1) -> DataFrame:
+    """per_chunk sentences a chunk, each chunk repeating the last ``overlap`` of the one before."""
+    step = max(1, per_chunk - min(overlap, per_chunk - 1))
+    s = T.sentences("text")
+    rows = docs.select("doc_id", s.alias("_s")).where(F.size("_s") > 0)
+    last = (F.greatest(F.lit(0), F.ceil((F.size("_s") - per_chunk) / F.lit(step))) * step).cast("int")
+    return _numbered(rows, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.array_join(F.slice("_s", i + 1, per_chunk), " ")), min_words)
+
+
+def pack_sentences(sentences: list[str], size: int, overlap: int, min_words: int) -> list[str]:
+    """Greedy packing to ``size`` words; the next chunk begins with the last sentences of the one before; undersized chunks join a neighbour."""
+    pieces: list[str] = []
+    for s in sentences:
+        w = s.split()
+        pieces += [" ".join(w[i : i + size]) for i in range(0, len(w), size)] if len(w) > size else [s]
+    out: list[list[str]] = []
+    now: list[str] = []
+    fresh, count = 0, 0
+    for p in pieces:
+        n = len(p.split())
+        if fresh and count + n > size:
+            out.append(now)
+            now = now[-overlap:] if overlap else []
+            while now and sum(len(x.split()) for x in now) + n > size:
+                now = now[1:]
+            fresh, count = 0, sum(len(x.split()) for x in now)
+        now = [*now, p]
+        fresh, count = fresh + 1, count + n
+    if fresh:
+        out.append(now)
+    chunks = [" ".join(c) for c in out]
+    merged: list[str] = []
+    carry = ""
+    for c in chunks:
+        c = f"{carry} {c}".strip()
+        if len(c.split()) < min_words:
+            carry = c
+        else:
+            merged.append(c)
+            carry = ""
+    if carry:
+        merged[-1:] = [f"{merged[-1]} {carry}"] if merged else [carry]
+    return merged
+
+
+def fixed_overlap(docs: DataFrame, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
+    """Whole text, sentence by sentence, greedily packed. Row by row, so nothing is shuffled."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, i, "", c, len(c.split())) for d, s in zip(f["doc_id"], f["s"]) for i, c in enumerate(pack_sentences(list(s), size, overlap, min_words))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "section_path", "text", "n_words"])
+
+    return docs.select("doc_id", T.sentences("text").alias("s")).mapInPandas(run, SCHEMA)
+
+
+def paragraph_based(docs: DataFrame, max_paragraphs: int = 3, size: int = 150, min_words: int = 1) -> DataFrame:
+    """Whole paragraphs, up to a number of them and of words, never split: a fold over the paragraphs of a row."""
+    p = T.paragraphs("text")
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"), F.lit(0).alias("w"))
+
+    def step(a, x):
+        w = T.token_count(x)
+        full = (a["n"] > 0) & ((a["n"] >= max_paragraphs) | (a["w"] + w > size))
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
+            F.when(full | (a["n"] == 0), x).otherwise(F.concat(a["now"], F.lit("\n\n"), x)).alias("now"),
+            F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, w).otherwise(a["w"] + w).alias("w"),
+        )
+
+    parts = F.aggregate(p, empty, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    return _numbered(docs, parts, min_words)
+
+
+def _sections(f: pd.DataFrame) -> list[tuple[str, list[str]]]:
+    """Heading stack to 'A > B' paths with the texts under them."""
+    stack: list[tuple[int, str]] = []
+    out: list[tuple[str, list[str]]] = []
+    for t, kind, level in zip(f["text"], f["component_type"], f["heading_level"]):
+        if not (t or "").strip():
+            continue
+        if kind in ("title", "subtitle", "heading"):
+            level = int(level) if level == level and level is not None else 1
+            stack = [x for x in stack if x[0] < level] + [(level, t.strip())]
+            out.append((" > ".join(x[1] for x in stack), []))
+        elif kind not in ("header", "footer", "image"):
+            if not out:
+                out.append(("", []))
+            out[-1][1].append(t.strip())
+    return [x for x in out if x[1]]
+
+
+def _by_blocks(blocks: DataFrame, chunker) -> DataFrame:
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block_no", kind="stable")
+        rows = [(f["doc_id"].iloc[0], i, path, c, len(c.split())) for i, (path, c) in enumerate(chunker(f))]
+        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "section_path", "text", "n_words"])
+
+    return blocks.groupBy("doc_id").applyInPandas(run, SCHEMA)
+
+
+def section_based(blocks: DataFrame, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
+    return _by_blocks(blocks, lambda f: [(p, c) for p, ts in _sections(f) for c in pack_sentences([s for t in ts for s in t.replace("\n", " ").split(". ")], size, overlap, min_words)])
+
+
+def hierarchical(blocks: DataFrame, max_depth: int = 2, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
+    cut = lambda p: " > ".join(p.split(" > ")[:max_depth])
+    return _by_blocks(blocks, lambda f: [(cut(p), c) for p, ts in _sections(f) for c in pack_sentences([s for t in ts for s in t.split(". ")], size, overlap, min_words)])
+
+
+def semantic_hierarchy(blocks: DataFrame) -> DataFrame:
+    """One chunk for each element under its heading path."""
+    return _by_blocks(blocks, lambda f: [(p, t) for p, ts in _sections(f) for t in ts])
+
+
+def semantic(vectors: DataFrame, threshold: float = 0.72, max_sentences: int = 8, size: int = 150) -> DataFrame:
+    """vectors (doc_id, pos, text, embedding): break where neighbours differ, or a chunk is full."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pos", kind="stable")
+        rows, now, words, last = [], [], 0, None
+        for t, e in zip(f["text"], f["embedding"]):
+            n = len(t.split())
+            near = last is not None and float((last * e).sum() / max(((last**2).sum() * (e**2).sum()) ** 0.5, 1e-12)) >= threshold
+            if now and (not near or len(now) >= max_sentences or words + n > size):
+                rows.append(" ".join(now))
+                now, words = [], 0
+            now, words, last = [*now, t], words + n, e
+        if now:
+            rows.append(" ".join(now))
+        return pd.DataFrame([(f["doc_id"].iloc[0], i, "", c, len(c.split())) for i, c in enumerate(rows)], columns=["doc_id", "chunk_no", "section_path", "text", "n_words"])
+
+    return vectors.groupBy("doc_id").applyInPandas(run, SCHEMA)
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Plain text as blocks: one for each line; short lines without an end mark are headings."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text")).withColumn("text", F.trim("text")).where("text <> ''")
+    heading = (T.token_count("text") <= 6) & ~F.col("text").rlike(r"[.!?,;:]$")
+    return rows.select("doc_id", "block_no", "text", F.when(heading, "heading").otherwise("paragraph").alias("component_type"), F.when(heading, 1).alias("heading_level"), F.lit(1).alias("page"))
+
+
+STRATEGIES = {
+    "fixed-overlap": fixed_overlap, "sentence-based": sentence_based, "paragraph-based": paragraph_based, "sliding-window": sliding_window,
+    "section-based": section_based, "hierarchical": hierarchical, "semantic-hierarchy": semantic_hierarchy, "semantic": semantic,
+}

@@ -4,7 +4,7 @@ import importlib
 
 from inkwell.plans.registry import ORACLES, QUERIES
 
-for _module in ("observability", "retrieval", "catalog"):
+for _module in ("observability", "retrieval", "catalog", "text"):
     importlib.import_module(f"inkwell.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
