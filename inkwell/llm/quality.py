@@ -13,51 +13,60 @@ If one class has no usable label, all scores are 1.0 or 0.0 for the class that h
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import held_out, ship
 from inkwell.llm.labelled import platt, sample, sigmoid
+from inkwell.llm.shingles import WordHashes, mix
 
 ship(__name__)
 
-PER_CLASS = 2000
+PER_CLASS = 1200
 FEATURES = 100_000
 CUT = 0.3
 
-_LETTER = re.compile(r"(.)\1+")
+_RUN = re.compile(r"(.)\1+")
+_STEP, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 class Shapes(dict):
-    """word -> its shape: letters, digits and marks as runs."""
+    """word -> a hash of its shape: letters, digits and marks as runs."""
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> int:
         s = "".join("X" if ch.isupper() else "x" if ch.isalpha() else "0" if ch.isdigit() else ch for ch in word[:64])
-        out = self[word] = _LETTER.sub(r"\1", s)
+        out = self[word] = xxhash.xxh3_64_intdigest(_RUN.sub(r"\1", s).encode("utf-8", "surrogatepass"), 1)
         return out
 
 
-def features(text: str | None, shapes: Shapes) -> set:
-    """The n-grams that occur: words, (word, word), and ('s', shape, ...) up to four."""
-    words = (text or "").split()
-    if len(shapes) > 300_000:
-        shapes.clear()
-    out: set = set(words)
-    out.update(zip(words, words[1:]))
-    s = [shapes[w] for w in words]
-    for i in range(1, len(words)):
-        if words[i] == words[i - 1]:
-            s[i] = "=" + s[i][:1]
-    out.update(("s", x) for x in set(s))
-    out.update(("s", *x) for x in set(zip(s, s[1:])))
-    out.update(("s", *x) for x in set(zip(s, s[1:], s[2:])))
-    out.update(("s", *x) for x in set(zip(s, s[1:], s[2:], s[3:])))
-    return out
+class Features:
+    """Turns texts into sorted arrays of the hashes of their n-grams; remembers words up to a bound."""
+
+    def __init__(self):
+        self.words, self.shapes = WordHashes(), Shapes()
+
+    def of(self, text: str | None) -> np.ndarray:
+        tokens = (text or "").split()
+        if not tokens:
+            return np.zeros(0, np.uint64)
+        if len(self.shapes) > self.words.limit:
+            self.shapes.clear()
+        h = self.words.of(tokens)
+        s = np.fromiter(map(self.shapes.__getitem__, tokens), np.uint64, len(tokens))
+        again = np.zeros(len(h), bool)
+        again[1:] = h[1:] == h[:-1]
+        s[again] = _AGAIN  # a word that repeats its predecessor has a shape of its own
+        out = [h, mix(h[:-1] * _STEP + h[1:])]
+        g = s
+        for n in range(2, 6):
+            out.append(g)
+            g = mix(g[: len(s) - n + 1] * _STEP + s[n - 1 :])
+        return np.unique(np.concatenate(out))
 
 
 def dual_coordinate_descent(indptr: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, cost: np.ndarray, epochs: int = 30, tol: float = 1e-3) -> np.ndarray:
@@ -83,25 +92,24 @@ def dual_coordinate_descent(indptr: np.ndarray, cols: np.ndarray, x: np.ndarray,
 
 
 class Model:
-    """weights: feature -> (weight * ratio, ratio^2); margin = sum of the first / root of the sum of the second + bias."""
+    """keys: sorted feature hashes; margin = sum of gain / root of the sum of square, over the features found, + bias."""
 
-    def __init__(self, weights: dict, bias: float, slope: float, offset: float):
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+    def __init__(self, keys: np.ndarray, gain: np.ndarray, square: np.ndarray, bias: float, slope: float, offset: float):
+        self.keys, self.gain, self.square, self.bias, self.slope, self.offset = keys, gain, square, bias, slope, offset
 
-    def margin(self, found: set) -> float:
-        a = b = 0.0
-        weights = self.weights
-        for f in found & weights.keys():
-            u, v = weights[f]
-            a += u
-            b += v
-        return a / max(b, 1e-12) ** 0.5 + self.bias if b else self.bias
+    def margin(self, found: np.ndarray) -> float:
+        if not len(self.keys) or not len(found):
+            return self.bias
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        at = at[self.keys[at] == found]
+        norm = self.square[at].sum()
+        return float(self.gain[at].sum() / norm**0.5 + self.bias) if norm > 0 else self.bias
 
-    def score(self, found: set) -> float:
+    def score(self, found: np.ndarray) -> float:
         return sigmoid(self.slope * self.margin(found) + self.offset)
 
 
-def _linear(rows: list[list[int]], y: np.ndarray, n: int, smooth: float) -> tuple[np.ndarray, np.ndarray, float]:
+def _linear(rows: list[np.ndarray], y: np.ndarray, n: int, smooth: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights, log-count ratios and bias for indicator rows; the bias is one more feature of every row."""
     pos, neg = np.full(n, smooth), np.full(n, smooth)
     for r, t in zip(rows, y):
@@ -110,7 +118,7 @@ def _linear(rows: list[list[int]], y: np.ndarray, n: int, smooth: float) -> tupl
     indptr, cols, x = [0], [], []
     for r in rows:
         v = ratio[r]
-        cols += [np.array([*r, n], np.int64)]
+        cols += [np.append(r, n)]
         x += [np.append(v / max(np.sqrt((v * v).sum()), 1e-12), 1.0)]
         indptr.append(indptr[-1] + len(r) + 1)
     cost = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
@@ -120,18 +128,26 @@ def _linear(rows: list[list[int]], y: np.ndarray, n: int, smooth: float) -> tupl
 
 def fit(texts: list[str], labels: list[int], max_features: int = FEATURES, smooth: float = 1.0) -> Model:
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
+    none = np.zeros(0)
     if len(set(y)) < 2:
-        return Model({}, 0.0, 1.0, 0.0 if not len(y) else 30.0 * y[0])
-    shapes = Shapes()
-    found = [features(t, shapes) for t in texts]
-    df = Counter(f for s in found for f in s)
-    kept = sorted((f for f, n in df.items() if n >= min(3, max(1, len(y) // 10))), key=lambda f: (-df[f], str(f)))[:max_features]
-    number = {f: i for i, f in enumerate(kept)}
-    rows = [sorted(number[f] for f in s & number.keys()) for s in found]
+        return Model(np.zeros(0, np.uint64), none, none, 0.0, 1.0, 0.0 if not len(y) else 30.0 * y[0])
+    made = Features()
+    found = [made.of(t) for t in texts]
+    # Of the features that occur in three texts, the most frequent ones are kept (ties by hash).
+    keys, n = np.unique(np.concatenate(found), return_counts=True)
+    often = n >= min(3, max(1, len(y) // 10))
+    keys, n = keys[often], n[often]
+    keys = np.sort(keys[np.lexsort((keys, -n))[:max_features]])
+
+    def known(f: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, f), max(len(keys) - 1, 0))
+        return at[keys[at] == f] if len(keys) else np.zeros(0, np.int64)
+
+    rows = [known(f) for f in found]
 
     def model(index: np.ndarray) -> Model:
-        w, ratio, bias = _linear([rows[i] for i in index], y[index], len(kept), smooth)
-        return Model({f: (w[i] * ratio[i], ratio[i] ** 2) for f, i in number.items() if ratio[i]}, bias, 1.0, 0.0)
+        w, ratio, bias = _linear([rows[i] for i in index], y[index], len(keys), smooth)
+        return Model(keys, w * ratio, ratio**2, bias, 1.0, 0.0)
 
     fold = np.arange(len(y)) % 4 == 0
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
@@ -146,9 +162,9 @@ def fit(texts: list[str], labels: list[int], max_features: int = FEATURES, smoot
 
 def _scores(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes()
+        made = Features()
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": [model.score(features(t, shapes)) for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": [model.score(made.of(t)) for t in f["text"]]})
 
     return run
 
@@ -174,9 +190,9 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """The rows whose text scores cut or more, with all their columns."""
 
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shapes = Shapes()
+        made = Features()
         for t in texts:
-            yield pd.Series([model.score(features(x, shapes)) for x in t], dtype="float64")
+            yield pd.Series([model.score(made.of(x)) for x in t], dtype="float64")
 
     scores.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.where(F.pandas_udf(scores, "double")(F.col("text")) >= cut)

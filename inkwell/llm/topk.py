@@ -6,7 +6,7 @@ data allow. A pair of trees is searched together; a pair of nodes is left out if
 balls, c_q c_c + r_q |c_c| + r_c |c_q| + r_q r_c, stays under the worst kth score of the queries in the group. Leaf pairs are
 multiplied as matrices. The best k of each pair of blocks are merged.
 
-Exact: components are integers, products are computed exactly, ties go to the smaller id, and of equal vectors the k + 1
+Exact: components are integers, products (which must fit 64 bits) are computed exactly, ties go to the smaller id, and of equal vectors the k + 1
 smallest ids are kept (no other can be among the k best). Vectors that are null or hold null or non-finite components take no part, nor do rows
 without an id; vectors of another length are not compared. Repeated rows of an id count once. Extra columns are ignored.
 """
