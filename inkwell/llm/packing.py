@@ -160,9 +160,10 @@ class Ids:
             pieces = self._safe(parts)
         else:
             pieces = [parts[0], *[" " + p for p in parts[1:]]]
-        for p in set(pieces) - known.keys():
-            known[p] = self._new(p)
-            self.held += len(p)
+        for p in pieces:
+            if p not in known:
+                known[p] = self._new(p)
+                self.held += len(p)
         return b"".join([known[p] for p in pieces])
 
     @staticmethod
