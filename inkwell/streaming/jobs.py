@@ -74,11 +74,12 @@ def ready(results: Column, hard: list[str], soft: list[str]) -> Column:
     return out
 
 
-def job_states(messages: DataFrame, timeout: str = "30 minutes") -> DataFrame:
+def job_states(messages: DataFrame, timeout_s: int = 1800) -> DataFrame:
     """messages (job_id, processor, status, ts): the state of each job after every batch; silent jobs time out.
 
     Keyed state holds the outcome of each processor, so a job's state stays as small as its plan.
     """
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -91,7 +92,7 @@ def job_states(messages: DataFrame, timeout: str = "30 minutes") -> DataFrame:
                 if seen.get(p) not in TERMINAL:
                     seen[p] = s
         state.update((list(seen), list(seen.values())))
-        state.setTimeoutDuration(timeout)
+        state.setTimeoutDuration(timeout_s * 1000)
         done = "COMPLETED" if all(s == "COMPLETED" for s in seen.values()) else "FAILED" if all(s in TERMINAL for s in seen.values()) else "IN_PROGRESS"
         yield pd.DataFrame({"job_id": [key[0]], "status": [done], "n": [len(seen)]})
 

@@ -37,7 +37,7 @@ def test_text_functions(spark):
         spark, text.document_id(F.lit("GL_CQA_ANN_0427.DOCX")), text.document_id(F.lit("GL-CQA-ANN-0427.pdf")), text.sentences(F.lit("See Dr. Who. It works e.g. Here! ok? Yes")),
         text.sliding_windows(F.lit("a b c d e"), 3, 2), text.token_count(F.lit("  ")), text.embedding_text(F.lit("Take 5mg v1.2 now , please rev 3")), text.number_key(F.lit("1.10.x")), text.folder_name(F.lit(" / ")),
     )
-    assert got == ("GL-CQA-ANN-0427", "GL-CQA-ANN-0427", ["See Dr. Who.", "It works e.g. Here!", "ok?", "Yes"], ["a b c", "c d e"], 0, "Take 5 now, please", [1, 10, 9999], None) or got[2][-1].endswith("Yes")
+    assert got == ("GL-CQA-ANN-0427", "GL-CQA-ANN-0427", ["See Dr. Who.", "It works e.g. Here! ok?", "Yes"], ["a b c", "c d e"], 0, "Take 5 now, please", [1, 10, 9999], None)
 
 
 def test_evidence(spark):
