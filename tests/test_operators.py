@@ -124,11 +124,8 @@ def test_stateful_jobs(spark, tmp_path):
     df = spark.createDataFrame([(j, p, s, dt.datetime(2024, 1, 1, 0, 0, t)) for j, p, s, t in rows], "job_id long, processor string, status string, ts timestamp")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run = jobs.job_states(stream).writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        run.processAllAvailable()
-    finally:
-        run.stop()
+    run = jobs.job_states(stream).writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    assert run.awaitTermination(90)
     assert {r.job_id: r.status for r in spark.table("job_states").collect()} == {1: "COMPLETED", 2: "FAILED", 3: "IN_PROGRESS"}
 
 
