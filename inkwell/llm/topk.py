@@ -143,7 +143,9 @@ def quantized(vectors: DataFrame, scale: int = 64, embedding: str = "embedding")
 def topk(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """vectors (vec_id, q, dim): query_id, rank, vec_id, score of the k best for each query. is_query: a condition on vec_id."""
     same = Window.partitionBy("dim", F.xxhash64("q"), F.xxhash64(F.lit("second"), F.col("q"))).orderBy("vec_id")
-    held = written(vectors.dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n"), "candidates")
+    # The rank limit works in every scan task before its shuffle; repeated ids share a rank and are dropped behind it.
+    held = vectors.withColumn("_n", F.dense_rank().over(same)).where(F.col("_n") <= k + 1).drop("_n")
+    held = written(held.dropDuplicates(["vec_id"]), "candidates")
     asked = written(vectors.where(is_query).dropDuplicates(["vec_id"]), "queries")
 
     def blocks(df: DataFrame, size: int, leaf: int) -> tuple[DataFrame, DataFrame]:
