@@ -51,15 +51,15 @@ def _probe(docs: DataFrame, widths: list[int]) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_words and, for each verified window of a document, start, size and items (null where there is none)."""
     docs = docs.select(F.col("doc_id"), words_of(F.col("text")).alias("words"))
-    windows = written(item_windows(items, window=window), "windows")
+    windows = written(item_windows(items, window=window), "windows", narrow=True)
     widths = sorted(r[0] for r in windows.select(F.least(F.lit(shingle), F.col("size"))).distinct().collect()) or [shingle]
     width = F.least(F.lit(shingle), F.col("size"))
     offsets = windows.select("window_id", "words", "size", F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("offset"))
     key = F.coalesce(*[F.when(width == w, _shingle("words", F.col("offset"), w)) for w in widths])
-    shingles = written(offsets.select("window_id", "offset", key.alias("key")), "shingles")
+    shingles = written(offsets.select("window_id", "offset", key.alias("key")), "shingles", narrow=True)
 
     # Rarity: how often each benchmark shingle occurs in the whole corpus.
-    wanted = written(shingles.select("key").distinct(), "wanted")
+    wanted = written(shingles.select("key").distinct(), "wanted", narrow=True)
     seen = _probe(docs, widths).select("key").join(small_side(wanted, broadcast_rows), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
     ranked = shingles.join(seen, "key", "inner")  # a shingle that no text has rules its window out
     possible = ranked.groupBy("window_id").agg(F.min(F.struct("seen", "offset", "key")).alias("rare"), F.count(F.lit(1)).alias("n"))
@@ -73,7 +73,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     end = prefix.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("key"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("array<string>").alias("wanted_words"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items")
     )
-    prefix = written(prefix.where("key <> 0").unionByName(end), "prefix")
+    prefix = written(prefix.where("key <> 0").unionByName(end), "prefix", narrow=True)
     size = prefix.limit(broadcast_rows + 1).count()
 
     start = F.col("pos") - F.col("offset")

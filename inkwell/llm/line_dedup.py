@@ -33,7 +33,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     """Hashes (h1, h2) of the lines that occur on min_sites distinct sites or more."""
     lines = _lines(docs, site)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
-    spread = written(spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin) - 1), "spread")
+    spread = written(spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin) - 1), "spread", narrow=True)
     sure = F.col("sites") > min_sites * (1 + margin) + 1
     near = spread.where(~sure)
     exact = (
@@ -47,7 +47,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """The documents without their boilerplate lines: their columns, text rewritten, and n_lines (not blank), n_removed."""
-    common = small_side(written(boilerplate(docs, site, min_sites), "boilerplate"))
+    common = small_side(written(boilerplate(docs, site, min_sites), "boilerplate", narrow=True))
     drop = _lines(docs, site).join(common, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     joined = rows.join(drop.withColumnRenamed("doc_id", "_id"), "_id", "left").select("_row", "drop", F.split("_row.text", "\n").alias("_lines"))

@@ -78,7 +78,7 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
     for i in range(1, levels + 1):
         up = level.where(F.col("depth") >= i).groupBy("file", "depth", F.floor(F.col("node") / fanout).alias("up"))
         level = up.agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("kids")).select("file", "depth", F.lit(i).alias("level"), F.col("up").alias("node"), F.sha2(F.array_join("kids.hash", ""), 256).alias("hash"))
-        level = written(level, "level")
+        level = written(level, "level", narrow=True)
         nodes = nodes.unionByName(level)
     return nodes
 
@@ -90,7 +90,7 @@ def audit(good: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
     levels = max([r[0] or 0 for r in (good.agg(F.max("level")).head(), other.agg(F.max("level")).head())])
     differ = ~F.col("ha").eqNullSafe(F.col("hb"))
     roots = a.where("level = da").drop("node").join(b.where("level = db").drop("node"), ["file", "level"], "full")
-    files = written(roots.where(differ).groupBy("file").agg(F.max(F.col("ha").isNull() | F.col("hb").isNull()).alias("whole")), "roots")
+    files = written(roots.where(differ).groupBy("file").agg(F.max(F.col("ha").isNull() | F.col("hb").isNull()).alias("whole")), "roots", narrow=True)
     found = None
     # From the highest level on: a node is opened if its parent mismatches, or if it is the root of a file that does.
     for i in range(levels, -1, -1):
@@ -100,7 +100,7 @@ def audit(good: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
         if found is not None:
             up = both.withColumn("up", F.floor(F.col("node") / fanout))
             both = up.join(found.select("file", F.col("node").alias("up"), F.lit(True).alias("open")), ["file", "up"], "left").where(F.col("open") | F.col("whole") | (F.col("depth") == i)).select("file", "node", "depth", "whole")
-        found = written(both, "mismatch")
+        found = written(both, "mismatch", narrow=True)
     return found.select("file", F.col("node").alias("seq"))
 
 
