@@ -7,8 +7,9 @@ Bands of registers give candidates, which are verified on the texts: a link need
 ``threshold`` or more. Classes are the connected components.
 
 Texts with the same words are one class beforehand and are represented by the smallest id. In a bucket each member is
-held only against the smallest and the largest id there, so a bucket of any size costs its size; members that are not
-linked that way meet others in other buckets (32 by default). Links already implied by a class are not verified again.
+first held against the smallest and the largest id there. Links already implied by a class are not verified again.
+Where the other members of a bucket are then still in several classes, all their pairs across classes are compared
+exactly, in tiles of bounded size; so every pair of a bucket is in one class or refuted.
 
 Null texts are classes of their own. Texts without words, such as empty ones, are a class where they are equal. Rows
 that repeat an id count once; rows without an id are left out. Only doc_id and text are read.
@@ -36,6 +37,8 @@ REGISTERS = 128
 ROWS = 4
 #: Word positions handled at once; a longer text is a chunk of its own.
 CHUNK = 300_000
+#: Characters of a tile of bucket members; two tiles are compared at once.
+TILE_CHARS = 4_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -130,6 +133,67 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshol
     return joined.select("a", "b", "ta", "tb").mapInPandas(_verify(shingle, threshold), "a long, b long").distinct()
 
 
+def _across(shingle: int, threshold: float):
+    """Links between members of different classes in two tiles, as few as connect what is linked."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        known, none = WordHashes(), pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        rank = pd.factorize(f["root"])[0]
+        if rank.max(initial=0) == 0:
+            return none
+        f = f.reset_index(drop=True)
+        sets = [weighted(known.of(words(t)), shingle) for t in f["text"]]
+        size = np.array([len(s[0]) for s in sets])
+        ids, tile = f["doc_id"].to_numpy(), f["tile"].to_numpy()
+        one = bool((f["first"] == f["second"]).iloc[0])
+        cat, share = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] / s[1].sum() for s in sets])
+        column = np.unique(cat, return_inverse=True)[1]
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        mark, mine = np.zeros(column.max() + 1, np.int64), np.zeros(column.max() + 1)
+        a, b = [], []
+        for i in range(len(sets)):
+            at = slice(begin[i], begin[i] + size[i])
+            other = rank != rank[i]
+            if not one:
+                other &= tile != tile[i]
+            other[: i + 1] = False
+            if not other.any():
+                continue
+            mark[column[at]], mine[column[at]] = 1, share[at]
+            both = np.add.reduceat(mark[column], begin)
+            plain = both / (size[i] + size - both) >= threshold
+            # The probability Jaccard is at most the common mass; what passes that bound is computed.
+            near = np.add.reduceat(np.minimum(mine[column], share), begin) >= threshold - 1e-9
+            mark[column[at]], mine[column[at]] = 0, 0.0
+            for j in np.flatnonzero(other & (plain | near)):
+                if rank[j] != rank[i] and (plain[j] or similarity(sets[i], sets[j])[1] >= threshold):
+                    rank[rank == rank[j]] = rank[i]
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return run
+
+
+def remaining(members: DataFrame, buckets: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, threshold: float, tile_chars: int = TILE_CHARS) -> DataFrame:
+    """Links between the members of each bucket, other than its smallest and largest id, that are in different classes."""
+    inner = members.join(buckets.where("n > 3"), "band").where("doc_id <> low and doc_id <> high").select("band", "doc_id").distinct()
+    inner = inner.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    inner = written(inner, "inner")
+    # Buckets of the same members are compared once.
+    sums = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    split = inner.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"), *sums).where("r0 < r1")
+    split = written(split.groupBy("x1", "x2", "n").agg(F.min("band").alias("band")).select("band"), "split", narrow=True)
+    inner = written(inner.join(small_side(split), "band", "left_semi"), "apart")
+    texts = docs.join(small_side(inner.select("doc_id").distinct()), "doc_id", "left_semi")
+    chars = inner.join(texts.select("doc_id", F.length("text").alias("n_chars")), "doc_id").groupBy("band").agg(F.ceil(F.sum("n_chars") / tile_chars).cast("int").alias("tiles"))
+    dealt = inner.join(chars, "band").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.greatest("tiles", F.lit(1))).cast("int"))
+    k, last = F.col("tile"), F.greatest(F.col("tiles"), F.lit(1)) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.least(x, k).alias("first"), F.greatest(x, k).alias("second")))
+    dealt = dealt.select("band", "doc_id", "root", "tile", F.explode(pairs).alias("p")).select("band", "doc_id", "root", "tile", "p.first", "p.second")
+    return dealt.join(texts, "doc_id").groupBy("band", "first", "second").applyInPandas(_across(shingle, threshold), "a long, b long").distinct()
+
+
 def near_dup(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class), keep (it is that id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -137,7 +201,7 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     marks = written(docs.where("text is not null").mapInPandas(_sketches(registers, rows, shingle), schema), "sketches")
     same = marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = marks.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    buckets = members.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     pairs = members.join(buckets, "band").select("doc_id", F.explode(F.array("low", "high")).alias("b")).where("doc_id <> b")
     pairs = written(pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct(), "pairs", narrow=True)
 
@@ -149,7 +213,11 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     apart = written(apart.join(first, ["a", "b"], "left_anti"), "apart", narrow=True)
     more = written(verified(apart, docs, shingle, threshold), "links", narrow=True)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(links)
+    rest = written(remaining(members, buckets, labels, docs, shingle, threshold), "links", narrow=True)
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
 
     rep = marks.select("doc_id", "d1", "d2").distinct().join(same, ["d1", "d2"]).select("doc_id", "rep")
     classes = rep.join(labels.toDF("rep", "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))

@@ -13,7 +13,7 @@ from inkwell.llm import labelled, packing, quality, secrets, shingles, toxicity,
 from inkwell.llm.components import components
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.line_dedup import line_dedup
-from inkwell.llm.near_dup import near_dup, sketch
+from inkwell.llm.near_dup import near_dup, remaining, sketch
 from inkwell.llm.queries import tokenizer_file
 from inkwell.llm.substring_dedup import substring_dedup
 from inkwell.llm.topk import quantized, topk
@@ -148,6 +148,37 @@ def test_near_dup_large_group(spark):
     assert all(r.keep for r in got if r.doc_id >= 1000)
 
 
+def test_near_dup_inside_a_bucket_of_unlike_ends(spark):
+    # In one bucket: ends that are below the threshold to all, and between them two links and a text of its own.
+    def text(own, common=80, tag=""):
+        return " ".join([f"t{i}" for i in range(common)] + [f"{own}{i}" for i in range(100 - common)])
+
+    rows = [(1, text("a")), (2, text("b", 60)), (3, text("c", 60)), (4, text("b", 60) + " more"), (5, text("c", 60) + " more"), (6, text("d", 60)), (9, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = spark.createDataFrame([(7, r[0]) for r in rows] + [(8, r[0]) for r in rows], "band long, doc_id long")
+    buckets = spark.createDataFrame([(7, 1, 9, 7), (8, 1, 9, 7)], "band long, low long, high long, n long")
+    labels = spark.createDataFrame([], "node long, root long")
+    for chars in (4_000_000, 500):
+        got = {tuple(r) for r in remaining(members, buckets, labels, docs, 5, 0.8, chars).collect()}
+        assert got == {(4, 2), (5, 3)}
+    known = spark.createDataFrame([(2, 2), (4, 2)], "node long, root long")
+    assert {tuple(r) for r in remaining(members, buckets, known, docs, 5, 0.8).collect()} == {(5, 3)}
+
+
+def test_near_dup_pairs_on_a_template(spark):
+    # Pages on one template are 0.77 alike; a pair that shares 3% more must be found although the ends of its buckets are unlike.
+    rows = []
+    for i in range(300):
+        w = [f"t{j}" for j in range(870)] + [f"p{i}x{j}" for j in range(130)]
+        if i % 2:
+            w[870:900] = [f"q{i // 2 * 2}x{j}" for j in range(30)]
+        else:
+            w[870:900] = [f"q{i}x{j}" for j in range(30)]
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     u = rng.integers(0, 2**63, 400, dtype=np.uint64)
