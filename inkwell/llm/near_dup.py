@@ -3,7 +3,8 @@
 Texts become weighted sets of five-word shingles (weight 1 + ln count). Every shingle is a Poisson process whose rate is
 its weight; arrivals fall on random registers, each register keeps its earliest arrival, and a shingle stops as soon as
 its next arrival comes later than every register. The share of equal registers estimates the probability Jaccard.
-Bands of registers give candidates, which are verified on the texts: a link needs a Jaccard or a probability Jaccard of
+Texts that repeat shingles get a second sketch with equal weights, whose share of equal registers estimates the plain
+Jaccard. Bands of registers give candidates, which are verified on the texts: a link needs a Jaccard or a probability Jaccard of
 ``threshold`` or more. Classes are the connected components.
 
 Texts with the same words are one class beforehand and are represented by the smallest id. In a bucket each member is
@@ -68,6 +69,13 @@ def _sketches(m: int, rows: int, shingle: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
 
+        def banded(regs: np.ndarray) -> np.ndarray:
+            bands = regs.reshape(len(regs), m // rows, rows).astype(np.uint64)
+            h = np.arange(m // rows, dtype=np.uint64)[None, :] + np.zeros((len(regs), 1), np.uint64)
+            for i in range(rows):
+                h = mix(h * _STEP + bands[:, :, i])
+            return h.view(np.int64)
+
         def chunk(part: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame({"doc_id": pd.Series([p[0] for p in part], dtype="Int64"), "d1": [p[1] for p in part], "d2": [p[2] for p in part]})
             size = [len(p[3]) for p in part]
@@ -80,11 +88,17 @@ def _sketches(m: int, rows: int, shingle: int):
             at = np.flatnonzero(new)
             count = np.diff(np.append(at, len(s)))
             regs = sketch(owner[at], s[at], 1.0 + np.log(count), len(part), m)
-            bands = regs.reshape(len(part), m // rows, rows).astype(np.uint64)
-            h = np.arange(m // rows, dtype=np.uint64)[None, :] + np.zeros((len(part), 1), np.uint64)
-            for i in range(rows):
-                h = mix(h * _STEP + bands[:, :, i])
-            out["bands"] = [list(x) if n else [] for x, n in zip(h.view(np.int64), size)]
+            h = banded(regs)
+            # The weighted sketch finds the probability Jaccard, one of equal weights the plain one. They are the same
+            # for a text that repeats no shingle.
+            again = np.zeros(len(part), bool)
+            again[owner[at[count > 1]]] = True
+            plain, pick = {}, again[owner[at]]
+            if pick.any():
+                to = np.cumsum(again) - 1
+                flat = banded(sketch(to[owner[at[pick]]], s[at[pick]], np.ones(int(pick.sum())), int(again.sum()), m))
+                plain = dict(zip(np.flatnonzero(again), flat))
+            out["bands"] = [[] if not n else list(np.union1d(x, plain[i]) if i in plain else x) for i, (x, n) in enumerate(zip(h, size))]
             return out
 
         for frame in frames:

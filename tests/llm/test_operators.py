@@ -13,7 +13,7 @@ from inkwell.llm import labelled, packing, quality, secrets, shingles, toxicity,
 from inkwell.llm.components import components
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.line_dedup import line_dedup
-from inkwell.llm.near_dup import near_dup, remaining, sketch
+from inkwell.llm.near_dup import _sketches, near_dup, remaining, sketch
 from inkwell.llm.queries import tokenizer_file
 from inkwell.llm.substring_dedup import substring_dedup
 from inkwell.llm.topk import quantized, topk
@@ -179,6 +179,20 @@ def test_near_dup_pairs_on_a_template(spark):
     assert got == {i: i // 2 * 2 for i in range(300)}
 
 
+def test_near_dup_sketches_find_plain_jaccard():
+    # The same shingles but for a few, each text repeating another quarter of them: plain Jaccard over 0.8, probability Jaccard near 0.3.
+    import pandas as pd
+
+    rows = []
+    for k in range(40):
+        w = [f"k{k}w{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(w + w[:50] * 1000)), (2 * k + 1, " ".join(w + w[-50:] * 1000))]
+    with np.errstate(over="ignore"):
+        got = pd.concat(_sketches(128, 4, 5)(iter([pd.DataFrame(rows, columns=["doc_id", "text"])]))).set_index("doc_id")["bands"]
+    assert all(set(got[2 * k]) & set(got[2 * k + 1]) for k in range(40))
+    assert not set(got[0]) & set(got[2])
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     u = rng.integers(0, 2**63, 400, dtype=np.uint64)
