@@ -27,8 +27,9 @@ def asked(spark, sf_dir):
 
 
 def asked_vectors(spark, sf_dir):
-    """The vectors of the benchmark's items: those with the same small ids."""
-    return table(spark, sf_dir, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """The vectors of the benchmark's items: those with the same ids."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).where("vec_id is not null").distinct()
+    return table(spark, sf_dir, "embeddings").join(R.small(items), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def rounded_rank(df, score, key):

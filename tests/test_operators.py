@@ -135,3 +135,11 @@ def test_plan_pushes_filters(spark):
     d = catalog.filters(table(spark, "/root/testdata/sf0.001", "documents"), {"s": "src1"}, {"s": "source"}).select("doc_id")
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src1)" in plan and "text" not in plan
+
+
+def test_every_item_asks_with_its_vector(spark, tmp_path):
+    from inkwell.plans.retrieval import asked_vectors
+
+    spark.createDataFrame([(i, f"item {i}") for i in (3, 39, 40, 199, 777)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(r.query_id for r in asked_vectors(spark, str(tmp_path)).collect()) == [3, 39, 40, 199]
