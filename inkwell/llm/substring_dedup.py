@@ -1,10 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences (up to and including its end mark and the space after it, or a line end). From every
-sentence the shortest run forward, and to every sentence the shortest run backward, that has at least ``min_sentences``
+A text is cut into sentences (up to and including its end mark and the space after it, or a line end). Sentences of more
+than ``PIECE`` words are cut further, before each word whose hash is the smallest of some ``PIECE`` neighbours in the
+sentence: no piece is longer, and copies of a passage are cut alike wherever they stand. Pieces count as sentences from
+here on. Characters of scripts written without spaces count as words. From every sentence the shortest run forward, and to every sentence the shortest run backward, that has at least ``min_sentences``
 sentences and ``min_words`` words is hashed (128 bits; case and spacing don't matter). Runs that occur more than once are
 repeated; their first occurrence (smallest id, then position) stays, and every sentence covered by another occurrence
-goes. A repeated passage of at least that length is so covered to its first and last whole sentence.
+goes. With 25 words a run and 13 a piece, every repeated stretch of more than 50 words holds a whole run, even in
+mid-sentence; it is covered to its first and last whole sentence.
 
 Null texts stay null and have no sentences; empty texts stay. Rows without an id keep their text. Repeated rows of an id
 aren't told apart (ids are keys). Only doc_id and text are read.
@@ -12,16 +15,16 @@ aren't told apart (ids are keys). Only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ship, written
-from inkwell.llm.shingles import mix, words
+from inkwell.llm.common import WORD, ship, written
+from inkwell.llm.shingles import WordHashes, mix
 
 ship(__name__)
 
@@ -30,6 +33,16 @@ MIN_WORDS = 25
 #: A sentence: text up to its end mark, closing quotes and white space; a line end closes one too.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[\"')\]]*[ \t\r\n]*|[^.!?\n]+"
 
+#: The most words of a piece of a longer sentence.
+PIECE = 13
+
+_SENTENCE = re.compile(SENTENCE)
+_LOWER = {i: i + 32 for i in range(65, 91)}
+_WORD = re.compile(WORD)
+#: Thai to Burmese, Khmer, Kana, Han and full-width forms: each character is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_UNIT = re.compile(f"[{_UNSPACED}]|{WORD[:-2]}{_UNSPACED}]+")
+
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -39,15 +52,46 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def runs(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends (exclusive) and two hashes of the runs of a text's sentences."""
-    split = [words(p) for p in pieces]
+def cut(text: str, known: WordHashes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The pieces of a text (joined they are the text), how many words each has, and the hashes of all words."""
+    pieces = _SENTENCE.findall(text)
+    unit = _WORD if text.isascii() else _UNIT
+    low = [p.lower() if p.isascii() else p.translate(_LOWER) for p in pieces]
+    split = [unit.findall(p) for p in low]
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    h = known.of([w for ws in split for w in ws])
+    if not (size > PIECE).any():
+        return pieces, size, h
+    owner = np.repeat(np.arange(len(size)), size)
+    view = np.lib.stride_tricks.sliding_window_view(mix(h), PIECE)
+    begin = np.flatnonzero((owner[: len(view)] == owner[PIECE - 1 :]) & (size[owner[: len(view)]] > PIECE))
+    at = np.unique(begin + PIECE - 1 - view[begin][:, ::-1].argmin(1))
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    at = at[at > first[owner[at]]]  # a sentence begins a piece anyway
+    if not len(at):
+        return pieces, size, h
+    out, n = [], []
+    bound = np.searchsorted(at, np.append(first, len(h)))
+    for i, p in enumerate(pieces):
+        k, e = bound[i], bound[i + 1]
+        if k == e or size[i] <= PIECE:
+            out.append(p)
+            n.append(size[i])
+            continue
+        starts = [m.start() for m in unit.finditer(low[i])]
+        inner = at[k:e] - first[i]
+        chars = [0, *(starts[j] for j in inner), len(p)]
+        out += [p[x:y] for x, y in zip(chars, chars[1:])]
+        n += np.diff(np.concatenate(([0], inner, [size[i]]))).tolist()
+    return out, np.array(n, np.int64), h
+
+
+def runs(size: np.ndarray, h: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (exclusive) and two hashes of the runs of a text's pieces, of ``size`` words each, with word hashes h."""
     # Pieces without a word (bullets, rules) count as neither sentence nor content.
-    full = np.fromiter((i for i, w in enumerate(split) if w), np.int64)
+    full = np.flatnonzero(size)
     n = len(full)
-    size = np.fromiter((len(split[i]) for i in full), np.int64, n)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(split[i]).encode("utf-8", "surrogatepass")) for i in full), np.uint64, n)
-    total = np.concatenate(([0], np.cumsum(size)))
+    total = np.concatenate(([0], np.cumsum(size[full])))
     i = np.arange(n)
     to = np.maximum(np.searchsorted(total, total[:-1] + min_words, "left"), i + min_sentences)
     j = np.arange(1, n + 1)
@@ -56,23 +100,25 @@ def runs(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndar
     end = np.concatenate((to[to <= n], j[back >= 0]))
     key = np.unique(start * (n + 1) + end)
     start, end = key // (n + 1), key % (n + 1)
+    a, b = total[start], total[end]
     sums = []
     for base in (_A, _B):
-        # A run's hash, sum of h[start + j] * base**-j, comes from prefix sums and doesn't depend on where the run stands.
-        power, inverse = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
-        prefix = np.zeros(n + 1, np.uint64)
-        prefix[1:] = np.cumsum(h * inverse[:n])
-        sums.append(mix((prefix[end] - prefix[start]) * power[start] + (end - start).astype(np.uint64)))
+        # A run's hash, sum of h[a + j] * base**-j over its words, comes from prefix sums and doesn't depend on where the run stands.
+        power, inverse = _powers(base, len(h)), _powers(pow(base, -1, 1 << 64), len(h))
+        prefix = np.zeros(len(h) + 1, np.uint64)
+        prefix[1:] = np.cumsum(h * inverse[: len(h)])
+        sums.append(mix((prefix[b] - prefix[a]) * power[a] + (b - a).astype(np.uint64)))
     return full[start], full[end - 1] + 1, sums[0].view(np.int64), sums[1].view(np.int64)
 
 
 def _spans(min_sentences: int, min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for f in frames:
             ids, cols = [], ([], [], [], [])
             held = 0
-            for i, pieces in zip(f["doc_id"], f["pieces"]):
-                got = runs(list(pieces), min_sentences, min_words)
+            for i, text in zip(f["doc_id"], f["text"]):
+                got = runs(*cut(text, known)[1:], min_sentences, min_words)
                 if len(got[0]):
                     ids.append(np.full(len(got[0]), i, np.int64))
                     for c, g in zip(cols, got):
@@ -87,10 +133,29 @@ def _spans(min_sentences: int, min_words: int):
     return run
 
 
+def _without(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = WordHashes()
+    for f in frames:
+        total, n_removed, removed, texts = [], [], [], []
+        for text, spans in zip(f["text"], f["removed"]):
+            spans = [] if spans is None else [[int(x) for x in s] for s in spans]
+            pieces = [] if text is None else cut(text, known)[0]
+            if spans:
+                keep, at = [], 0
+                for start, end in spans:
+                    keep += pieces[at:start]
+                    at = end
+                text = "".join(keep + pieces[at:])
+            total.append(len(pieces))
+            n_removed.append(sum(end - start for start, end in spans))
+            removed.append(spans)
+            texts.append(text)
+        yield pd.DataFrame({"doc_id": f["doc_id"], "n_sentences": total, "n_removed": n_removed, "removed": removed, "text": texts})
+
+
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end (sentence numbers, end exclusive) of every occurrence of a repeated run but its first."""
-    pieces = docs.where("doc_id is not null and text is not null").select("doc_id", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)).alias("pieces"))
-    spans = pieces.mapInPandas(_spans(min_sentences, min_words), "h1 long, h2 long, doc_id long, start int, end int")
+    spans = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_spans(min_sentences, min_words), "h1 long, h2 long, doc_id long, start int, end int")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = written(first.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "repeated")
     return spans.join(first, ["h1", "h2"]).where("doc_id <> first_doc or start <> first_start").select("doc_id", "start", "end")
@@ -108,12 +173,7 @@ def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
         return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), grown).otherwise(F.concat(acc, F.array(x)))
 
     gone = gone.select("doc_id", F.aggregate("spans", begin, merge).alias("removed"))
-    rows = docs.join(gone, "doc_id", "left").withColumn("pieces", F.coalesce(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), F.array().cast("array<string>")))
-    drop = F.flatten(F.transform("removed", lambda s: F.sequence(s["start"], s["end"] - 1)))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), drop)
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get("pieces", i)), ""))
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
-    return rows.select(
-        "doc_id", F.size("pieces").cast("long").alias("n_sentences"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"),
-        F.transform(removed, lambda s: F.array(s["start"], s["end"])).alias("removed"), text.alias("text"),
-    )
+    # Ids travel as strings: a null among whole numbers would turn them into floats.
+    rows = docs.join(gone, "doc_id", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.transform("removed", lambda s: F.array(s["start"], s["end"])).alias("removed"))
+    out = rows.mapInPandas(_without, "doc_id string, n_sentences long, n_removed long, removed array<array<int>>, text string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
