@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import written
+
 TILE = 4096
 
 
@@ -43,19 +45,20 @@ def match_percentages(vectors: DataFrame, threshold: float, key: str = "vec_id",
     return vectors.select(key).join(best.withColumnRenamed("a", key), key, "left").select(key, F.coalesce(F.round(F.least(F.col("s"), F.lit(1.0)) * 100, 2), F.lit(0.0)).alias("match_pct"))
 
 
-def greedy_near_duplicates(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def greedy_near_duplicates(pairs: DataFrame) -> DataFrame:
     """Ids that a scan in id order drops: those with an earlier similar id that the scan keeps.
 
-    Each round decides every id all of whose earlier neighbours are decided; rounds follow the longest such chain.
+    Each round decides every id all of whose earlier neighbours are decided, the smallest open id at least; rounds follow
+    the longest such chain and end when nothing is open. A written table cuts the lineage of each round.
     """
+    pairs = written(pairs.select("a", "b").where("a < b"), "greedy-pairs")
     state = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    while True:
         seen = pairs.join(state.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
         state = state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce(F.col("kept"), F.when(F.col("hit"), False).when(F.coalesce(F.col("open"), F.lit(0)) == 0, True)).alias("kept"))
-        state = state.cache()
+        state = written(state, "greedy", narrow=True)
         if state.where("kept is null").isEmpty():
-            break
-    return state.where("not kept").select("id")
+            return state.where("not kept").select("id")
 
 
 def clusters(pairs: DataFrame, vectors: DataFrame, threshold: float, key: str = "vec_id", group: str = "label") -> DataFrame:

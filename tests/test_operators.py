@@ -143,3 +143,8 @@ def test_every_item_asks_with_its_vector(spark, tmp_path):
     spark.createDataFrame([(i, f"item {i}") for i in (3, 39, 40, 199, 777)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert sorted(r.query_id for r in asked_vectors(spark, str(tmp_path)).collect()) == [3, 39, 40, 199]
+
+
+def test_greedy_near_duplicates_follow_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(70)], "a long, b long")
+    assert sorted(r.id for r in similarity.greedy_near_duplicates(pairs).collect()) == list(range(1, 71, 2))
