@@ -35,15 +35,21 @@ DIM = 12
 SPAN = 6
 CUT = 0.7
 WINDOWS = 16
+#: Characters of a word; texts without spaces have longer ones, which become pieces that overlap by half.
+LONG = 40
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text; a run of the same word counts once."""
-    return [w for w, _ in groupby(all_words(text))]
+    """The words of a text; a run of the same word counts once. Longer words are overlapping pieces of ``LONG`` characters."""
+    found = all_words(text)
+    if found and len(max(found, key=len)) > LONG:
+        half = LONG // 2
+        found = [w[i : i + LONG] for w in found for i in range(0, max(len(w) - half, 1), half)]
+    return [w for w, _ in groupby(found)]
 
 
 def subwords(word: str, buckets: int) -> list[int]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     n = len(w)
     out = [zlib.crc32(w[i : i + k].encode("utf-8", "surrogatepass")) for k in (3, 4, 5) for i in range(n - k + 1)]
     out.append(zlib.crc32(b"\x00" + w.encode("utf-8", "surrogatepass")))

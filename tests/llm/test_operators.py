@@ -402,6 +402,21 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(docs), lab).count() == 0
 
 
+def test_toxicity_reads_whole_words():
+    rng = random.Random(3)
+    blob = "".join(rng.choice("abcdefghij") for _ in range(500))
+    got = toxicity.words("one two " + blob + " two two")
+    assert got[:2] == ["one", "two"] and got[-1] == "two" and got[-2] != "two" and max(map(len, got)) <= 40
+    assert all(any(blob[i : i + 20] in w for w in got) for i in range(481))
+    for n in range(39, 125):
+        assert "".join(w[:20] for w in toxicity.words(blob[:n])[:-1]) + toxicity.words(blob[:n])[-1] == blob[:n]
+    texts = [" ".join(rng.choice(VOCAB) for _ in range(30)) for _ in range(200)]
+    toxic = [t + " grumbletwit" if i % 2 else t for i, t in enumerate(texts)]
+    model = toxicity.fit(toxic, [i % 2 for i in range(200)])
+    known = toxicity.WordScores(model.table)
+    assert model.score(toxicity.words(blob[:100] + "grumbletwit" * 5 + blob[100:]), known) != model.score(toxicity.words(blob), known)
+
+
 def test_platt_is_monotone():
     a, b = labelled.platt(np.array([-3.0, -1, -0.5, 0.7, 2, 4]), np.array([-1, -1, 1, -1, 1, 1]))
     assert a > 0 and labelled.sigmoid(a * -3 + b) < 0.5 < labelled.sigmoid(a * 4 + b)
