@@ -30,6 +30,8 @@ ship(__name__)
 PER_CLASS = 1200
 FEATURES = 100_000
 CUT = 0.3
+#: Characters of a token; longer ones, as of texts without spaces, are cut into pieces that each count.
+LONG = 64
 
 _RUN = re.compile(r"(.)\1+")
 _STEP, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -39,7 +41,7 @@ class Shapes(dict):
     """word -> a hash of its shape: letters, digits and marks as runs."""
 
     def __missing__(self, word: str) -> int:
-        s = "".join("X" if ch.isupper() else "x" if ch.isalpha() else "0" if ch.isdigit() else ch for ch in word[:64])
+        s = "".join("X" if ch.isupper() else "x" if ch.isalpha() else "0" if ch.isdigit() else ch for ch in word)
         out = self[word] = xxhash.xxh3_64_intdigest(_RUN.sub(r"\1", s).encode("utf-8", "surrogatepass"), 1)
         return out
 
@@ -54,6 +56,8 @@ class Features:
         tokens = (text or "").split()
         if not tokens:
             return np.zeros(0, np.uint64)
+        if len(max(tokens, key=len)) > LONG:
+            tokens = [w[i : i + LONG] for w in tokens for i in range(0, len(w), LONG)]
         if len(self.shapes) > self.words.limit:
             self.shapes.clear()
         h = self.words.of(tokens)

@@ -417,6 +417,17 @@ def test_toxicity_reads_whole_words():
     assert model.score(toxicity.words(blob[:100] + "grumbletwit" * 5 + blob[100:]), known) != model.score(toxicity.words(blob), known)
 
 
+def test_quality_reads_whole_tokens():
+    same = "x1-" * 40
+    a, b, c = (quality.Features().of(same + t) for t in ("", "Ab-9_" * 30, "Q" * 200))
+    # the pieces of the common head count in each, and what follows them too
+    assert len(np.intersect1d(a, quality.Features().of(same[:64]))) == len(quality.Features().of(same[:64]))
+    shapes = lambda t: quality.Features().shapes[t]
+    for text in (same + "Ab-9_" * 30, same + "Q" * 200):
+        assert all(shapes(text[i : i + 64]) in quality.Features().of(text) for i in range(0, len(text), 64))
+    assert len(np.setdiff1d(b, a)) and len(np.setdiff1d(c, a))
+
+
 def test_platt_is_monotone():
     a, b = labelled.platt(np.array([-3.0, -1, -0.5, 0.7, 2, 4]), np.array([-1, -1, 1, -1, 1, 1]))
     assert a > 0 and labelled.sigmoid(a * -3 + b) < 0.5 < labelled.sigmoid(a * 4 + b)
