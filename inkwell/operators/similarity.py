@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import written
+from inkwell.sources.shared import written
 
 TILE = 4096
 
@@ -56,7 +56,7 @@ def greedy_near_duplicates(pairs: DataFrame) -> DataFrame:
     while True:
         seen = pairs.join(state.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
         state = state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce(F.col("kept"), F.when(F.col("hit"), False).when(F.coalesce(F.col("open"), F.lit(0)) == 0, True)).alias("kept"))
-        state = written(state, "greedy", narrow=True)
+        state = written(state, "greedy")
         if state.where("kept is null").isEmpty():
             return state.where("not kept").select("id")
 
