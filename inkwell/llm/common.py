@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only after it has been counted and found below this many rows of at most about 100 bytes.
+from inkwell.sources.shared import shared_dir
+
+#: A side of a join is broadcast only after it has been counted and measured: at most so many rows and bytes.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 48 << 20
 
 #: ASCII separators of the word rule; every other character belongs to a word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,33 +26,57 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where the session has none (tests, one machine)."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    own = os.path.join(tempfile.gettempdir(), f"inkwell-{os.getuid()}-{spark.sparkContext.applicationId}")
-    return f"file://{own}"
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables and ledgers lie: a folder of its own below the shared one."""
+    return f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results are lazy, so call it after they have been read or written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, gives true sizes.
 
     narrow: a table of ids or counts, for which four files a core are enough; every file costs a commit and a later open.
+    The table stays until ``clear`` is called.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a written side if its counted rows stay under the bound; else the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_merge")
+def _bytes(field) -> Column:
+    """Bytes of a column's value: strings and binaries by length, other values as 8, arrays of strings by their sum."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.ArrayType):
+        inner = F.transform(c, lambda x: F.octet_length(x.cast("string")) + 8) if isinstance(field.dataType.elementType, T.StringType) else F.transform(c, lambda x: F.lit(16))
+        return F.coalesce(F.aggregate(inner, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(8))), F.lit(0))
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table stays under both bounds; no more than rows + 1 of its rows are looked at."""
+    per_row = sum((_bytes(f) for f in df.schema.fields), F.lit(16)).cast("long")
+    n, held = df.limit(rows + 1).select(per_row.alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).head()
+    return n <= rows and held <= size
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a written side that stays under the bounds; else the join shuffles (and AQE splits hot keys)."""
+    return F.broadcast(df) if is_small(df, rows, size) else df.hint("shuffle_merge")
+
+
+def row_key(*cols: Column) -> list[Column]:
+    """Two 64-bit hashes, r1 and r2, that stand for the columns' values; never null, equal for repeated rows."""
+    return [F.xxhash64(*cols).alias("r1"), F.xxhash64(F.lit("second"), *cols).alias("r2")]
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,8 +7,9 @@ shingle with offset o in its window fixes where the window would start (p - o);
 window must end inside the text, and the words there must equal the window's words.
 
 Nulls and empty texts have no words: such documents get zeros, such items no windows. Repeated items and windows are
-joined once. Extra columns are ignored. A doc_id that occurs twice with different texts is not supported (ids are keys);
-exact repeats of a row give one result row.
+joined once. Every row of the documents gives one result row, also where its id is null, repeats or has several texts:
+rows are told apart by hashes of id and text. Very long texts are read whole, as one row for each word. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import small_side, words_of, written
+from inkwell.llm.common import is_small, row_key, small_side, words_of, written
 
 WINDOW = 13
 SHINGLE = 3
+#: A word of a text that still has its capitals.
+_WORD_AS_IT_IS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _shingle(words: str, at: Column, width: int) -> Column:
@@ -28,86 +31,97 @@ def _shingle(words: str, at: Column, width: int) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows: window_id, words, size, items (the sorted distinct ids, as strings, that hold the window)."""
+    """item (as a string), words, and w1, w2 (128 bits that stand for the words) of every window of every item, once."""
     words = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
-    cut = words.select("item", "words", F.explode(starts).alias("start")).select("item", F.slice("words", F.col("start") + 1, window).alias("words"))
-    return (
-        cut.groupBy("words")
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .select(F.xxhash64("words").alias("window_id"), "words", F.size("words").alias("size"), "items")
-    )
+    cut = words.select("item", "words", F.explode(starts).alias("start")).select("item", F.slice("words", F.col("start") + 1, window).alias("words")).distinct()
+    return cut.select("item", "words", F.xxhash64("words").alias("w1"), F.xxhash64(F.lit("second"), "words").alias("w2"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*row_key(F.col("doc_id"), F.col("text")), words_of(F.col("text")).alias("words"))
 
 
 def _probe(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """Each word position with the hash of the shingle that begins there; one more row at the end carries n_words."""
-    exploded = docs.select("doc_id", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("pos", "_word"))
-    keys = [F.when(F.col("pos") < F.size("words"), _shingle("words", F.col("pos"), w)).otherwise(F.lit(0).cast("long")) for w in widths]
-    if len(widths) == 1:
-        return exploded.select("doc_id", "words", "pos", keys[0].alias("key"))
-    return exploded.select("doc_id", "words", "pos", F.explode_outer(F.array_distinct(F.array(*keys))).alias("key"))
-
-
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_words and, for each verified window of a document, start, size and items (null where there is none)."""
-    docs = docs.select(F.col("doc_id"), words_of(F.col("text")).alias("words"))
-    windows = written(item_windows(items, window=window), "windows", narrow=True)
+    """Each word position of each row with the hashes of the shingles that begin there."""
+    exploded = docs.select("r1", "r2", "words", F.posexplode("words").alias("pos", "_word"))
+    keys = [_shingle("words", F.col("pos"), w) for w in widths]
+    key = keys[0] if len(keys) == 1 else F.explode(F.array_distinct(F.array(*keys)))
+    return exploded.select("r1", "r2", "words", "pos", key.alias("key"))
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """The verified windows (r1, r2 of the row, start, size, w1, w2), and the items (item, w1, w2) that have each window.
+
+    The prefixes, one shingle with its window's words each, are broadcast if they are measured to be small. Otherwise
+    only positions travel to the join, and the words come back by the row's key. Both ways give the same rows.
+    """
+    owners = written(item_windows(items, window=window), "windows", narrow=True)
+    windows = owners.select("w1", "w2", "words", F.size("words").alias("size")).dropDuplicates(["w1", "w2"])
     widths = sorted(r[0] for r in windows.select(F.least(F.lit(shingle), F.col("size"))).distinct().collect()) or [shingle]
     width = F.least(F.lit(shingle), F.col("size"))
-    offsets = windows.select("window_id", "words", "size", F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("offset"))
+    offsets = windows.select("w1", "w2", "words", "size", F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("offset"))
     key = F.coalesce(*[F.when(width == w, _shingle("words", F.col("offset"), w)) for w in widths])
-    shingles = written(offsets.select("window_id", "offset", key.alias("key")), "shingles", narrow=True)
+    shingles = written(offsets.select("w1", "w2", "offset", key.alias("key")), "shingles", narrow=True)
 
     # Rarity: how often each benchmark shingle occurs in the whole corpus.
+    docs = _keyed(docs)
     wanted = written(shingles.select("key").distinct(), "wanted", narrow=True)
     seen = _probe(docs, widths).select("key").join(small_side(wanted, broadcast_rows), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
     ranked = shingles.join(seen, "key", "inner")  # a shingle that no text has rules its window out
-    possible = ranked.groupBy("window_id").agg(F.min(F.struct("seen", "offset", "key")).alias("rare"), F.count(F.lit(1)).alias("n"))
-    full = shingles.groupBy("window_id").agg(F.count(F.lit(1)).alias("all"))
-    prefix = (
-        possible.join(full, "window_id")
-        .where(F.col("n") == F.col("all"))
-        .join(windows, "window_id")
-        .select(F.col("rare.key").alias("key"), F.col("rare.offset").alias("offset"), F.col("words").alias("wanted_words"), "size", "items")
-    )
-    end = prefix.sparkSession.range(1).select(
-        F.lit(0).cast("long").alias("key"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("array<string>").alias("wanted_words"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items")
-    )
-    prefix = written(prefix.where("key <> 0").unionByName(end), "prefix", narrow=True)
-    size = prefix.limit(broadcast_rows + 1).count()
+    possible = ranked.groupBy("w1", "w2").agg(F.min(F.struct("seen", "offset", "key")).alias("rare"), F.count(F.lit(1)).alias("n"))
+    full = shingles.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("all"))
+    prefix = possible.join(full, ["w1", "w2"]).where(F.col("n") == F.col("all")).join(windows, ["w1", "w2"])
+    prefix = written(prefix.select(F.col("rare.key").alias("key"), F.col("rare.offset").alias("offset"), F.col("words").alias("wanted"), "size", "w1", "w2"), "prefix", narrow=True)
 
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
-    if size <= broadcast_rows:
+    if is_small(prefix, broadcast_rows):
         found = _probe(docs, widths).join(F.broadcast(prefix), "key")
-        same = F.slice("words", F.when(fits, start + 1).otherwise(F.lit(1)), F.coalesce(F.col("size"), F.lit(0))) == F.col("wanted_words")
     else:
-        # Only positions travel to the join; the texts come back by id for the verification.
-        ends = F.size("words").alias("n_words")
-        found = _probe(docs, widths).select("doc_id", "pos", "key", ends).join(prefix.hint("shuffle_merge"), "key").join(docs, "doc_id")
-        same = F.slice("words", F.when(fits, start + 1).otherwise(F.lit(1)), F.coalesce(F.col("size"), F.lit(0))) == F.col("wanted_words")
-    is_end = F.col("wanted_words").isNull()
-    return found.where(is_end | (fits & same)).select(
-        "doc_id", F.size("words").alias("n_words"), F.when(~is_end, start).alias("start"), F.when(~is_end, F.col("size")).alias("size"), F.when(~is_end, F.col("items")).alias("items")
-    )
-
+        positions = _probe(docs, widths).select("r1", "r2", "pos", "key")
+        found = positions.join(prefix.hint("shuffle_merge"), "key").join(docs.dropDuplicates(["r1", "r2"]), ["r1", "r2"])
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
+    same = F.slice("words", F.when(fits, start + 1).otherwise(F.lit(1)), F.col("size")) == F.col("wanted")
+    found = found.where(fits & same).select("r1", "r2", start.alias("start"), "size", "w1", "w2")
+    return written(found, "hits"), owners.select("item", "w1", "w2")
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, broadcast_rows: int = 200_000) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words > 0 hits).
 
-    ``n_hit`` counts words inside any occurrence of any window; ``n_items`` the items with an occurring window.
-    """
-    found = hits(docs, items, window, shingle, broadcast_rows)
-    found = found.groupBy("doc_id", "n_words", "start").agg(F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    # The occurrences of one document stay within its length, so they can be gathered; merged left to right they give the covered words.
-    spans = F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "size"))))
-    per_doc = found.groupBy("doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    begin = F.struct(F.lit(0).alias("to"), F.lit(0).alias("n"))
+def _contaminated_rows(docs: DataFrame, items: DataFrame, window: int, shingle: int, broadcast_rows: int) -> DataFrame:
+    """r1, r2, n_hit and items of the rows that hold a window."""
+    found, owners = hits(docs, items, window, shingle, broadcast_rows)
+    # The occurrences of one row stay within its length, so they can be gathered; merged left to right they give the covered words.
+    longest = found.groupBy("r1", "r2", "start").agg(F.max("size").alias("size"))
+    spans = longest.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         to = F.greatest(acc["to"], x["start"] + x["size"])
         return F.struct(to.alias("to"), (acc["n"] + to - F.greatest(acc["to"], x["start"])).cast("int").alias("n"))
 
-    covered = F.aggregate("spans", begin, step, lambda acc: acc["n"])
-    out = per_doc.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+    which = found.select("r1", "r2", "w1", "w2").distinct().join(small_side(owners), ["w1", "w2"]).select("r1", "r2", "item").distinct()
+    which = which.groupBy("r1", "r2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return written(spans.select("r1", "r2", covered.cast("long").alias("n_hit")).join(which, ["r1", "r2"]), "contaminated", narrow=True)
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int, share: int, broadcast_rows: int) -> DataFrame:
+    """Each row as a struct _row, with n_words, n_hit, items and contaminated."""
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD_AS_IT_IS)).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), n_words.alias("n_words"), *row_key(F.col("doc_id"), F.col("text")))
+    out = rows.join(small_side(_contaminated_rows(docs, items, window, shingle, broadcast_rows)), ["r1", "r2"], "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, broadcast_rows: int = 200_000) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
+
+    ``n_hit`` counts words inside any occurrence of any window; ``n_items`` the items with an occurring window.
+    """
+    out = _judged(docs.select("doc_id", "text"), items, window, shingle, share, broadcast_rows)
+    sha = F.sha2(F.array_join("items", ","), 256)
+    return out.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns."""
+    return _judged(docs, items, window, shingle, share, 200_000).where(~F.col("contaminated")).select("_row.*")
