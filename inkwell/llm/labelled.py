@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import ship
@@ -12,16 +12,29 @@ from inkwell.llm.common import ship
 ship(__name__)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int) -> pd.DataFrame:
-    """Up to per_class whole texts of either label (0, 1), those with the smallest id hashes; sorted by id. A doc with several labels counts as its smallest."""
+#: A text of more characters takes no part in a fit, and the texts of a class have so many together at most.
+LONGEST = 200_000
+CHARS = 24_000_000
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, longest: int = LONGEST, chars: int = CHARS) -> pd.DataFrame:
+    """Whole texts of either label (0, 1), those with the smallest id hashes; sorted by id. A doc with several labels counts as its smallest.
+
+    Bounds, for each class: ``per_class`` ids are drawn; texts of more than ``longest`` characters are left out, and the
+    rest is taken in the order of the hashes up to ``chars`` characters in all. Nothing beyond them reaches the driver.
+    """
     y = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = None
     for c in (0, 1):
         part = y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * per_class rows of two numbers are broadcast.
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
-    return got.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    # At most 2 * per_class rows of two numbers are broadcast. Of the rows of a repeated id the smallest hash counts.
+    got = docs.select("doc_id", "text").where((F.col("text").isNotNull()) & (F.length("text") <= longest)).join(F.broadcast(chosen), "doc_id")
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    got = got.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    before = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    got = got.withColumn("_c", F.sum(F.length("text")).over(before)).where(F.col("_c") <= chars).drop("_c")
+    return got.toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:

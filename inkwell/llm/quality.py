@@ -5,8 +5,9 @@ digits and marks; a mark that the word repeats its predecessor). Each indicator
 rows are scaled to length one, and a linear hinge-loss model is fitted by dual coordinate descent. A sigmoid fitted on margins of held-back
 training rows makes the score.
 
-Fitted on the driver from at most ``per_class`` labelled texts of either class and ``features`` n-grams; every text is
-scored whole. Null and empty texts have no features and get the score of the offset. Rows that repeat are scored each.
+Fitted on the driver from at most ``per_class`` labelled texts of either class, whose characters are bounded too (see
+``labelled.sample``), and ``features`` n-grams; every text, very long ones too, is scored whole. Rows with other columns of
+any name are read for doc_id and text alone. Null and empty texts have no features and get the score of the offset. Rows that repeat are scored each.
 If one class has no usable label, all scores are 1.0 or 0.0 for the class that has; without any label they are 0.5.
 """
 

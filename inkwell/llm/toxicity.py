@@ -7,7 +7,8 @@ worst window. Labels are for texts, so training alternates: every window of toxi
 only those that the model finds worst, against the worst windows of the other texts. A sigmoid fitted on held-back
 training texts makes the score.
 
-Fitted on the driver from at most ``per_class`` labelled texts of either class. Every text is scored whole; null texts
+Fitted on the driver from at most ``per_class`` labelled texts of either class, whose characters are bounded too (see
+``labelled.sample``). Every text, very long ones too, is scored whole, every row by itself, also repeated ones; null texts
 and texts without words get the score of the offset. If one class has no label all scores are that of the other (0.0 or 1.0).
 """
 
