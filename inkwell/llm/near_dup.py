@@ -13,7 +13,8 @@ Where the other members of a bucket are then still in several classes, all their
 exactly, in tiles of bounded size; so every pair of a bucket is in one class or refuted.
 
 Null texts are classes of their own. Texts without words, such as empty ones, are a class where they are equal. Rows
-that repeat an id count once; rows without an id are left out. Only doc_id and text are read.
+that repeat an id give one result row; where their texts differ, the id has the smallest class of theirs. Rows without an
+id are left out. Very long texts are sketched whole, one at a time. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -236,4 +237,5 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     rep = marks.select("doc_id", "d1", "d2").distinct().join(same, ["d1", "d2"]).select("doc_id", "rep")
     classes = rep.join(labels.toDF("rep", "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     null_text = docs.where("text is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
-    return classes.unionByName(null_text).withColumn("keep", F.col("doc_id") == F.col("class_id"))
+    classes = classes.unionByName(null_text).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    return classes.withColumn("keep", F.col("doc_id") == F.col("class_id"))
