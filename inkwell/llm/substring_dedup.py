@@ -3,14 +3,23 @@
 A text is cut into sentences (up to and including its end mark and the space after it, or a line end). Sentences of more
 than ``PIECE`` words are cut further, before each word whose hash is the smallest of some ``PIECE`` neighbours in the
 sentence: no piece is longer, and copies of a passage are cut alike wherever they stand. Pieces count as sentences from
-here on. Characters of scripts written without spaces count as words. From every sentence the shortest run forward, and to every sentence the shortest run backward, that has at least ``min_sentences``
-sentences and ``min_words`` words is hashed (128 bits; case and spacing don't matter). Runs that occur more than once are
-repeated; their first occurrence (smallest id, then position) stays, and every sentence covered by another occurrence
-goes. With 25 words a run and 13 a piece, every repeated stretch of more than 50 words holds a whole run, even in
-mid-sentence; it is covered to its first and last whole sentence.
-
-Null texts stay null and have no sentences; empty texts stay. Rows without an id keep their text. Repeated rows of an id
-aren't told apart (ids are keys). Only doc_id and text are read.
+here on. Characters of scripts written without spaces count as words.
+
+A run is ``min_sentences`` consecutive sentences or more with ``min_words`` words or more. Runs that occur more than once
+are repeated; their first occurrence (smallest id, then position) stays, and every sentence covered by another occurrence
+of any run goes. Of all runs it is enough to hash (128 bits; case and spacing don't matter) the shortest one from every
+sentence forward and the shortest one to every sentence backward. For let R be a repeated run, at one of its other
+occurrences. The shortest runs forward from its sentences that end inside R are parts of R, so they repeat, and their
+occurrences here aren't their first. If the one from sentence j is the last that ends inside R, what follows j in R is no
+run, so the shortest run backward to R's end begins at j. Together these cover R.
+
+With 25 words a run and 13 a piece, every repeated stretch of more than 50 words holds a whole run, even in mid-sentence;
+it is covered to its first and last whole sentence.
+
+Null texts stay null and have no sentences; empty texts stay. Rows without an id keep their text and make no run repeat.
+Repeated rows are copies of each other: of rows with one id the first stays whole, in the order of their texts' hashes, and
+equal rows of one id stay all (nothing tells them apart). Very long texts are read whole; a text's runs grow with its
+length. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WORD, ship, written
+from inkwell.llm.common import WORD, ship, small_side, written
 from inkwell.llm.shingles import WordHashes, mix
 
 ship(__name__)
@@ -111,24 +120,30 @@ def runs(size: np.ndarray, h: np.ndarray, min_sentences: int, min_words: int) ->
     return full[start], full[end - 1] + 1, sums[0].view(np.int64), sums[1].view(np.int64)
 
 
+_SPANS = "h1 long, h2 long, doc_id long, t int, start int, end int"
+
+
 def _spans(min_sentences: int, min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            n = [len(r[2][0]) for r in rows]
+            start, end, h1, h2 = (np.concatenate([r[2][i] for r in rows]) for i in range(4))
+            return pd.DataFrame({"h1": h1, "h2": h2, "doc_id": np.repeat([r[0] for r in rows], n), "t": np.repeat([r[1] for r in rows], n), "start": start, "end": end})
+
         for f in frames:
-            ids, cols = [], ([], [], [], [])
-            held = 0
-            for i, text in zip(f["doc_id"], f["text"]):
+            rows, held = [], 0
+            for i, t, text in zip(f["doc_id"], f["t"], f["text"]):
                 got = runs(*cut(text, known)[1:], min_sentences, min_words)
                 if len(got[0]):
-                    ids.append(np.full(len(got[0]), i, np.int64))
-                    for c, g in zip(cols, got):
-                        c.append(g)
+                    rows.append((i, t, got))
                     held += len(got[0])
                 if held > 100_000:
-                    yield pd.DataFrame({"h1": np.concatenate(cols[2]), "h2": np.concatenate(cols[3]), "doc_id": np.concatenate(ids), "start": np.concatenate(cols[0]), "end": np.concatenate(cols[1])})
-                    ids, cols, held = [], ([], [], [], []), 0
-            if ids:
-                yield pd.DataFrame({"h1": np.concatenate(cols[2]), "h2": np.concatenate(cols[3]), "doc_id": np.concatenate(ids), "start": np.concatenate(cols[0]), "end": np.concatenate(cols[1])})
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     return run
 
@@ -136,35 +151,29 @@ def _spans(min_sentences: int, min_words: int):
 def _without(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = WordHashes()
     for f in frames:
-        total, n_removed, removed, texts = [], [], [], []
+        texts = []
         for text, spans in zip(f["text"], f["removed"]):
-            spans = [] if spans is None else [[int(x) for x in s] for s in spans]
-            pieces = [] if text is None else cut(text, known)[0]
-            if spans:
-                keep, at = [], 0
-                for start, end in spans:
-                    keep += pieces[at:start]
-                    at = end
-                text = "".join(keep + pieces[at:])
-            total.append(len(pieces))
-            n_removed.append(sum(end - start for start, end in spans))
-            removed.append(spans)
-            texts.append(text)
-        yield pd.DataFrame({"doc_id": f["doc_id"], "n_sentences": total, "n_removed": n_removed, "removed": removed, "text": texts})
+            pieces, keep, at = cut(text, known)[0], [], 0
+            for start, end in spans:
+                keep += pieces[at : int(start)]
+                at = int(end)
+            texts.append("".join(keep + pieces[at:]))
+        yield pd.DataFrame({"doc_id": f["doc_id"], "n_removed": f["n_removed"], "removed": f["removed"], "text": texts})
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end (sentence numbers, end exclusive) of every occurrence of a repeated run but its first."""
-    spans = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_spans(min_sentences, min_words), "h1 long, h2 long, doc_id long, start int, end int")
-    first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = written(first.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "repeated")
-    return spans.join(first, ["h1", "h2"]).where("doc_id <> first_doc or start <> first_start").select("doc_id", "start", "end")
+    """doc_id, t (hash of the row's text), start, end (sentence numbers, end exclusive) of every occurrence of a repeated run but its first."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("t"), "text")
+    spans = written(rows.mapInPandas(_spans(min_sentences, min_words), _SPANS), "spans")
+    first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(first.select("h1", "h2", F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), F.col("first.start").alias("s0")), "repeated")
+    return spans.join(first, ["h1", "h2"]).where("doc_id <> d0 or t <> t0 or start <> s0").select("doc_id", "t", "start", "end")
 
 
 def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed, removed (list of [start, end) sentence spans), text without them."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = repeated_spans(docs, min_sentences, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    """One row for each row: doc_id, n_removed, removed (list of [start, end) sentence spans), text without them."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("t"))
+    gone = repeated_spans(docs, min_sentences, min_words).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     begin = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(acc, x):
@@ -172,8 +181,9 @@ def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
         return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), grown).otherwise(F.concat(acc, F.array(x)))
 
-    gone = gone.select("doc_id", F.aggregate("spans", begin, merge).alias("removed"))
-    # Ids travel as strings: a null among whole numbers would turn them into floats.
-    rows = docs.join(gone, "doc_id", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.transform("removed", lambda s: F.array(s["start"], s["end"])).alias("removed"))
-    out = rows.mapInPandas(_without, "doc_id string, n_sentences long, n_removed long, removed array<array<int>>, text string")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    gone = gone.select("doc_id", "t", F.transform(F.aggregate("spans", begin, merge), lambda s: F.array(s["start"], s["end"])).alias("removed"))
+    gone = written(gone.withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + (F.get(s, F.lit(1)) - F.get(s, F.lit(0))))), "gone", narrow=True)
+    side = small_side(gone)
+    none = [F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<array<int>>").alias("removed")]
+    whole = docs.join(side, ["doc_id", "t"], "left_anti").select("doc_id", *none, "text")
+    return whole.unionByName(docs.join(side, ["doc_id", "t"]).mapInPandas(_without, "doc_id long, n_removed long, removed array<array<int>>, text string"))
