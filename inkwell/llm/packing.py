@@ -1,15 +1,17 @@
 """Packing tokens into fixed windows by Karmarkar-Karp multiway differencing.
 
-Every partition tokenizes its documents and packs them in groups, so nothing is shuffled. A document's ids, closed by
-``end_id``, are first cut into full windows. What is left of the group's documents is dealt by differencing: each rest
-starts as a partition with one loaded window; the two partitions with the largest imbalance merge, heaviest window onto
-lightest, until one partition of near-equal windows is left. The window count is the least that holds all tokens, after
-the part that fills no window has been set aside; a window above the capacity hands its excess to windows with room
-(cutting is free), and where there is no room the window count rises. The part set aside is cut into windows whose
-lengths are powers of two, which need no padding. So a group is packed without padding.
-
-Null texts are empty texts: one piece that holds end_id alone. Rows are packed one by one, so repeated rows and ids are
-packed each time they occur. Only doc_id and text are read. sequence_id is unique over all partitions.
+Every partition tokenizes its documents and packs them in groups, so nothing is shuffled, and which documents share a
+window depends on how the rows are partitioned. A document's ids, closed by ``end_id``, are first cut into full windows.
+What is left of the group's documents is dealt by differencing: each rest starts as a partition with one loaded window;
+the two partitions with the largest imbalance merge, heaviest window onto lightest, until one partition of near-equal
+windows is left. The window count begins at the least that could hold all tokens and rises as long as a window exceeds the
+capacity. The room that this leaves is then closed from the lightest windows, by cutting, until all windows but one are
+full. The pieces of that one go on to the partition's next group; the last group of a partition cuts them into lengths that
+are powers of two, which need no padding. So nothing is padded, and a partition has at most one sequence of each such length.
+
+Null texts are empty texts: one piece that holds end_id alone. Rows are packed one by one, so repeated rows and ids, also
+null ones, are packed each time they occur. Very long texts are cut whole. Only doc_id and text are read. sequence_id is
+unique over all partitions. An empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ ship(__name__)
 
 WINDOW = 2048
 END_ID = 1
-#: Rests packed together: their number bounds a group's memory and the width of a partition.
-GROUP = 1500
+#: Rests packed together, at least, and the windows that they fill at least; one more document closes the group.
+GROUP = 300
+GROUP_WINDOWS = 16
 #: Distinct words whose ids a worker remembers.
 MEMORY = 300_000
 
@@ -65,49 +68,58 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def pack(rests: list[tuple[int, int, int]], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """rests: (owner, start, length), each shorter than a window. Sequences of such pieces; only the lengths are changed."""
-    total = sum(r[2] for r in rests)
-    k, over = divmod(total, window)
-    rests, alone = list(rests), []
-    if over:
-        # The last pieces give the part that fills no window, cut into powers of two.
-        bit = 1
-        while over >> 1 >= bit:
-            bit <<= 1
-        room = [b for b in (1 << i for i in range(bit.bit_length() - 1, -1, -1)) if over & b]
-        rests.sort(key=lambda r: r[2])
-        for size in room:
-            got = []
-            while size:
-                owner, start, length = rests.pop()
-                take = min(size, length)
-                if take < length:
-                    rests.append((owner, start, length - take))
-                got.append((owner, start + length - take, take))
-                size -= take
-            alone.append(got)
+def balanced(sizes: list[int], window: int) -> list[list[int]]:
+    """Differencing to the smallest number of windows, from the least possible on, that exceeds no capacity."""
+    k = max(1, -(-sum(sizes) // window))
     while True:
-        windows = [[rests[i] for i in w] for w in difference([r[2] for r in rests], k)] if k else []
-        if total - over <= k * window:
-            break
+        windows = difference(sizes, k)
+        if max(sum(sizes[i] for i in w) for w in windows) <= window:
+            return windows
         k += 1  # capacity exceeded
-    sums = [sum(p[2] for p in w) for w in windows]
-    room = [i for i, s in enumerate(sums) if s < window]
-    for i, w in enumerate(windows):
-        w.sort(key=lambda p: p[2])
-        while sums[i] > window:
-            j = room[-1]
-            owner, start, length = w.pop()
-            take = min(length, sums[i] - window, window - sums[j])
+
+
+def pack(rests: list[tuple[int, int, int]], window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """rests: (owner, start, length), each shorter than a window. Full windows of such pieces, and the pieces left over."""
+    if not rests:
+        return [], []
+    windows = [[rests[i] for i in w] for w in balanced([r[2] for r in rests], window) if w]
+    windows.sort(key=lambda w: -sum(p[2] for p in w))
+    # The fullest windows are filled from the lightest ones, whose shortest pieces go first.
+    full, last, pool = [], len(windows), []
+    while len(full) < last:
+        mine = windows[len(full)]
+        gap = window - sum(p[2] for p in mine)
+        while gap:
+            if not pool:
+                if last - 1 <= len(full):
+                    return full, mine
+                last -= 1
+                pool = sorted(windows[last], key=lambda p: -p[2])
+            owner, start, length = pool.pop()
+            take = min(gap, length)
             if take < length:
-                w.append((owner, start, length - take))
-            windows[j].append((owner, start + length - take, take))
-            sums[i] -= take
-            sums[j] += take
-            if sums[j] == window:
-                room.pop()
-    return [w for w in windows if w] + alone
+                pool.append((owner, start, length - take))
+            mine.append((owner, start + length - take, take))
+            gap -= take
+        full.append(mine)
+    return full, pool
+
+
+def powers(rest: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Pieces as sequences whose lengths are different powers of two."""
+    total, rest, out = sum(p[2] for p in rest), list(rest), []
+    for size in (1 << i for i in range(total.bit_length() - 1, -1, -1)):
+        if total & size:
+            got, need = [], size
+            while need:
+                owner, start, length = rest.pop()
+                take = min(need, length)
+                if take < length:
+                    rest.append((owner, start, length - take))
+                got.append((owner, start + length - take, take))
+                need -= take
+            out.append(got)
+    return out
 
 
 def _byte_of() -> dict[str, int]:
@@ -184,23 +196,33 @@ def _packer(path: str, window: int, end_id: int, group: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = Ids(path)
         sequence = TaskContext.get().partitionId() << 40
-        docs: dict[int, tuple[int, int, bytes]] = {}  # rests of the open group
+        docs: dict[int, tuple[int, int, bytes, int]] = {}  # rests of the open group
         out: list[tuple] = []
 
-        def flush() -> None:
-            nonlocal sequence
-            for w in pack([(i, d[1], (len(d[2]) >> 1)) for i, d in docs.items()], window):
+        def flush(end_of_partition: bool) -> None:
+            nonlocal sequence, number, held
+            windows, rest = pack([(i, d[1], (len(d[2]) >> 1)) for i, d in docs.items()], window)
+            left = []
+            for w in windows + powers(rest) if end_of_partition else windows:
                 offset = 0
                 for owner, start, length in w:
-                    doc_id, base, rest, n = docs[owner][0], docs[owner][1], docs[owner][2], docs[owner][3]
+                    doc_id, base, ids, n = docs[owner]
                     at = (start - base) << 1
-                    crc = zlib.crc32(np.frombuffer(rest[at : at + (length << 1)], "<u2").astype("<u4").tobytes())
+                    crc = zlib.crc32(np.frombuffer(ids[at : at + (length << 1)], "<u2").astype("<u4").tobytes())
                     out.append((doc_id, start, length, crc, n, sequence, offset))
                     offset += length
                 sequence += 1
+            for owner, start, length in rest if not end_of_partition else ():
+                doc_id, base, ids, n = docs[owner]
+                at = (start - base) << 1
+                left.append((doc_id, start, ids[at : at + (length << 1)], n))
             docs.clear()
+            held = sum(len(d[2]) >> 1 for d in left)
+            for d in left:
+                docs[number] = d
+                number += 1
 
-        number = 0
+        number = held = 0
         for f in frames:
             for doc_id, text in zip(f["doc_id"].astype("Int64"), f["text"]):
                 ids = ids_of.of(text or "") + end
@@ -213,12 +235,13 @@ def _packer(path: str, window: int, end_id: int, group: int):
                 if n > full * window:
                     docs[number] = (doc_id, full * window, ids[full * window * 2 :], n)
                     number += 1
-                    if len(docs) >= group:
-                        flush()
+                    held += n - full * window
+                    if len(docs) >= group and held >= GROUP_WINDOWS * window:
+                        flush(False)
             if len(out) > 20_000:
                 yield _frame(out)
                 out.clear()
-        flush()
+        flush(True)
         if out:
             yield _frame(out)
 
