@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm import secrets
 from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.line_dedup import line_dedup
 from inkwell.llm.near_dup import near_dup
 from inkwell.llm.packing import pack_documents
 from inkwell.llm.quality import quality
-from inkwell.llm.secrets import document_report
 from inkwell.llm.substring_dedup import substring_dedup
 from inkwell.llm.topk import quantized, topk
 from inkwell.llm.toxicity import toxicity
@@ -50,7 +50,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_report(table(spark, sf_dir, "documents"))
+    """The documents, by a ledger that has met each document without its last line: texts of one line aren't scanned again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.new_ledger(docs)
+    secrets.scan_versions(docs.withColumn("text", secrets.without_last_line(F.col("text"))), "doc_id", "text", ledger)
+    return secrets.document_report(docs, ledger)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixity drill: the replica has lost the last character of every body whose page_id is divisible by 97."""
-    hurt = F.when(F.col("page_id") % 97 == 0, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    hurt = F.when(F.col("page_id") % 97 == 0, F.expr("left(html, greatest(length(html) - 1, 0))")).otherwise(F.col("html"))
     return fixity_report(table(spark, sf_dir, "pages"), hurt)
 
 

@@ -23,13 +23,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-_OP2 = """
+_BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+
+_OP2 = f"""
 WITH l AS (
   SELECT doc_id, coalesce(source, '') AS site, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
 ),
-b AS (SELECT trim(line) AS t FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
-m AS (SELECT l.doc_id, l.pos, l.line, trim(l.line) <> '' AS full_line, b.t IS NOT NULL AS dropped FROM l LEFT JOIN b ON trim(l.line) = b.t)
+t AS (SELECT *, trim(line, {_BLANK}) AS t FROM l),
+b AS (SELECT t FROM t WHERE t <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+m AS (SELECT t.doc_id, t.pos, t.line, t.t <> '' AS full_line, b.t IS NOT NULL AS dropped FROM t LEFT JOIN b ON t.t = b.t)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text
 FROM documents d LEFT JOIN (
@@ -60,8 +63,10 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
-_RECORD = """'WARC/1.1' || crlf || 'WARC-Type: response' || crlf || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf
- || 'Content-Type: text/html' || crlf || 'Content-Length: ' || strlen(coalesce(html, '')) || crlf || crlf || coalesce(html, '')"""
+
+def _record(html: str) -> str:
+    return f"""'WARC/1.1' || crlf || 'WARC-Type: response' || crlf || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf
+ || 'Content-Type: text/html' || crlf || 'Content-Length: ' || strlen(coalesce({html}, '')) || crlf || crlf || coalesce({html}, '')"""
 
 
 def _level(below: str) -> str:
@@ -70,17 +75,20 @@ def _level(below: str) -> str:
  FROM (SELECT *, count(*) OVER (PARTITION BY file) AS n FROM {below}) GROUP BY file, node // 16)"""
 
 
+# The replica's bodies, as the drill has it; what is damaged or shifted follows from its records' hashes and lengths.
+_HURT = "(CASE WHEN page_id % 97 = 0 THEN left(html, greatest(length(html) - 1, 0)) ELSE html END)"
+
 _OP10 = f"""
-WITH r AS (SELECT page_id, {_RECORD} AS rec FROM (SELECT *, chr(13) || chr(10) AS crlf FROM pages)),
-d AS (SELECT page_id, strlen(rec) + 4 AS length, sha256(rec) AS digest FROM r),
+WITH r AS (SELECT page_id, {_record("html")} AS rec, {_record(_HURT)} AS rec2 FROM (SELECT *, chr(13) || chr(10) AS crlf FROM pages)),
+d AS (SELECT page_id, strlen(rec) + 4 AS length, sha256(rec) AS digest, strlen(rec2) + 4 AS length2, sha256(rec2) AS digest2 FROM r),
 t AS (SELECT greatest(1, CAST(ceil(sum(length) / 8388608.0) AS BIGINT)) AS files FROM d),
 c AS (SELECT *, row_number() OVER (PARTITION BY page_id, digest) - 1 AS copy FROM d),
-f AS (SELECT page_id, digest, length, copy, (CAST('0x' || substr(digest, 1, 8) AS BIGINT) + copy) % files AS file FROM c, t),
-o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY digest, page_id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM f WINDOW w AS (PARTITION BY file ORDER BY digest, page_id, copy)),
+f AS (SELECT *, (CAST('0x' || substr(digest, 1, 8) AS BIGINT) + copy) % files AS file FROM c, t),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER v, 0) AS BIGINT) AS start, CAST(coalesce(sum(length2) OVER v, 0) AS BIGINT) AS start2
+  FROM f WINDOW w AS (PARTITION BY file ORDER BY digest, page_id, copy), v AS (PARTITION BY file ORDER BY digest, page_id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l0 AS (SELECT file, seq AS node, sha256(digest || ':' || start || ':' || (start + length)) AS h FROM o),
 root AS (SELECT file, h FROM {_level(_level(_level(_level("l0"))))})
-SELECT page_id, file, seq, start, CAST(length AS BIGINT) AS length, digest, h AS root, coalesce(page_id % 97 = 0, false) AS damaged FROM o JOIN root USING (file)
+SELECT page_id, file, seq, start, CAST(length AS BIGINT) AS length, digest, h AS root, digest <> digest2 AS damaged, digest = digest2 AND start <> start2 AS shifted FROM o JOIN root USING (file)
 """
 
 ORACLES = {"op1_decontaminate": _OP1, "op2_line_dedup": _OP2, "op4_near_dup": _OP4, "op5_topk": _OP5, "op10_warc": _OP10}

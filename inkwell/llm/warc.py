@@ -6,8 +6,11 @@ records in offset order: a leaf is the SHA-256 of a record's digest and its rang
 child hashes. Replicas are compared root by root; only children of mismatching nodes are compared on the next level,
 down to the records that differ or are missing.
 
-Null urls and bodies are written as empty, a null id too. Repeated rows are records of their own. Extra columns are ignored.
-An empty table has no files.
+A replica is a copy of the files: it keeps their records and order, but has offset ranges of its own, from the lengths that
+its records really have. So a record is damaged if its digest differs, shifted if it is whole but lies elsewhere.
+
+Null urls and bodies are written as empty, a null id too. Repeated rows are records of their own, very long pages are
+records like any other. Extra columns are ignored. An empty table has no files.
 """
 
 from __future__ import annotations
@@ -39,27 +42,35 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def placed(records: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """records (page_id, digest, length, and columns that depend on them): with file, seq and start.
+    """records (page_id, digest, length, and narrow columns that depend on them): with file, seq, copy and start.
 
     Equal rows are counted first, so a record with very many copies is one row until its copies are dealt to the files.
     """
     total = records.agg(F.sum("length")).head()[0] or 0
     files = max(1, -(-total // file_bytes))
     copies = records.groupBy(*records.columns).agg(F.count(F.lit(1)).alias("_n"))
-    each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") + F.col("_copy")
+    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") + F.col("copy")
     dealt = each.withColumn("file", F.pmod(at, F.lit(files))).drop("_n")
-    order = Window.partitionBy("file").orderBy("digest", "page_id", "_copy")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("seq", (F.row_number().over(order) - 1).cast("long")).withColumn("start", before.cast("long")).drop("_copy")
+    order = Window.partitionBy("file").orderBy("digest", "page_id", "copy")
+    return offsets(dealt.withColumn("seq", (F.row_number().over(order) - 1).cast("long")))
+
+
+def offsets(records: DataFrame) -> DataFrame:
+    """records (file, seq, length): with start, the bytes before them in their file (whose size bounds the window)."""
+    before = F.sum("length").over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return records.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def _digested(text: Column) -> tuple[Column, Column]:
+    return F.sha2(text, 256), (F.octet_length(text) + len(END)).cast("long")
 
 
 def archive(pages: DataFrame, file_bytes: int = FILE_BYTES, **more: Column) -> DataFrame:
     """page_id, digest, length, file, seq, start of every page's record, and what ``more`` makes of each page."""
-    text = record(F.col("page_id"), F.col("url"), F.col("html"))
-    length = (F.octet_length(text) + len(END)).cast("long")
-    rows = pages.select("page_id", F.sha2(text, 256).alias("digest"), length.alias("length"), *[c.alias(k) for k, c in more.items()])
-    return written(placed(written(rows, "records"), file_bytes), "archive")
+    digest, length = _digested(record(F.col("page_id"), F.col("url"), F.col("html")))
+    rows = pages.select("page_id", digest.alias("digest"), length.alias("length"), *[c.alias(k) for k, c in more.items()])
+    return written(placed(written(rows, "records"), file_bytes).drop("copy"), "archive")
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -105,24 +116,38 @@ def audit(good: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def fixity_report(pages: DataFrame, replica_html: Column | None = None, file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """page_id, file, seq, start, length, digest, root (of the file), damaged for every record.
+    """page_id, file, seq, start, length, digest, root (of the file), damaged and shifted for every record.
 
     ``replica_html`` says, from a page's columns, what the replica holds as the page's body; None means an intact one.
     """
-    other = F.sha2(record(F.col("page_id"), F.col("url"), F.col("html") if replica_html is None else replica_html), 256)
-    rows = archive(pages, file_bytes, replica=other)
+    digest, length = _digested(record(F.col("page_id"), F.col("url"), F.col("html") if replica_html is None else replica_html))
+    rows = archive(pages, file_bytes, replica=digest, replica_length=length)
+    copy = offsets(rows.select("file", "seq", F.col("replica").alias("digest"), F.col("replica_length").alias("length")))
     mine = tree(rows.select("file", "seq", "start", "length", "digest"), fanout)
-    theirs = tree(rows.select("file", "seq", "start", "length", F.col("replica").alias("digest")), fanout)
-    bad = audit(mine, theirs, fanout).withColumn("damaged", F.lit(True))
+    theirs = tree(copy, fanout)
+    bad = located(audit(mine, theirs, fanout), rows, copy)
     roots = mine.where("level = depth").select("file", F.col("hash").alias("root"))
-    out = rows.drop("replica").join(roots, "file").join(bad, ["file", "seq"], "left")
-    return out.select("page_id", "file", "seq", "start", "length", "digest", "root", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    out = rows.drop("replica", "replica_length").join(roots, "file").join(bad, ["file", "seq"], "left")
+    said = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return out.select("page_id", "file", "seq", "start", "length", "digest", "root", said("damaged"), said("shifted"))
+
+
+def located(mismatches: DataFrame, good: DataFrame, other: DataFrame) -> DataFrame:
+    """mismatches (file, seq) of an audit: damaged (another digest, or missing on one side), or else shifted."""
+    side = lambda df, n: df.select("file", "seq", F.col("digest").alias(n))
+    m = mismatches.join(side(good, "a"), ["file", "seq"], "left").join(side(other, "b"), ["file", "seq"], "left")
+    return m.select("file", "seq", (~F.col("a").eqNullSafe(F.col("b"))).alias("damaged"), F.col("a").eqNullSafe(F.col("b")).alias("shifted"))
 
 
 def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write the archive as WARC files, one in each folder file=N, by Spark's own writer, so path may be in any store."""
+    """Write the archive as WARC files, one in each folder file=N, by Spark's own writer, so path may be in any store.
+
+    Places are found from digests and lengths alone; texts meet them by digest and move once more, to their file.
+    """
+    places = archive(pages, file_bytes).select("digest", "file", "seq")
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = archive(pages, file_bytes, record=text)
+    texts = pages.select(F.sha2(text, 256).alias("digest"), text.alias("record")).dropDuplicates(["digest"])
+    rows = texts.join(places, "digest")
     rows.repartition("file").sortWithinPartitions("file", "seq").select("file", "record").write.partitionBy("file").option("lineSep", END).text(path)
 
 
