@@ -6,12 +6,12 @@ stages the rows are written to the shared folder and read again, so a lost execu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import quality as quality_model
 from inkwell.llm.common import held_out, small_side, written
-from inkwell.llm.decontaminate import decontaminate
+from inkwell.llm.decontaminate import clean
 from inkwell.llm.line_dedup import line_dedup
 from inkwell.llm.near_dup import near_dup
 from inkwell.llm.packing import pack_documents
@@ -32,15 +32,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id."""
-    gone = written(near_dup(docs).where(~F.col("keep")).select("doc_id"), "copies")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class stays, the one with the smallest id; of rows that repeat an id, the one with the smallest text hash."""
+    gone = written(near_dup(docs).where(~F.col("keep")).select("doc_id"), "copies", narrow=True)
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated", narrow=True)
+    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    side, first = small_side(twice), Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = kept.join(side, "doc_id", "left_semi").withColumn("_copy_no", F.row_number().over(first)).where("_copy_no = 1").select(*docs.columns)
+    return kept.join(side, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by a benchmark item go."""
-    gone = written(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "contaminated")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
