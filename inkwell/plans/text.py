@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from inkwell.functions import detect as D
 from inkwell.functions import scores, text, validate
 from inkwell.operators import chunking as K
 from inkwell.operators import references as X
@@ -94,37 +93,6 @@ def paragraphs(spark, sf_dir):
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("p")).alias("chars"))
 
 
-_KINDS = {d.kind: d.pattern for d in D.DETECTORS if d.kind in ("SSN", "Email Address", "API Key", "Internal URL", "Supplier Contact")}
-
-
-@query("WITH m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in _KINDS.items()) + ") SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs, min(value) AS least FROM m GROUP BY 1")
-def sensitive_detections(spark, sf_dir):
-    found = D.detections(docs(spark, sf_dir), detectors=[d for d in D.DETECTORS if d.kind in _KINDS])
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("value").alias("least"))
-
-
-@query()
-def policy_decisions(spark, sf_dir):
-    return D.decide(D.detections(docs(spark, sf_dir)))
-
-
-@query()
-def masked_documents(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", D.mask_text("text").alias("text"))
-
-
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in D.PROMPT_RULES) + " END AS rule FROM conversations")
-def prompt_guard(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", D.prompt_rule("text").alias("rule"))
-
-
-@query("""SELECT doc_id, CASE WHEN regexp_matches(t, '\\b(?:idiot|moron)\\b') THEN 'block' WHEN regexp_matches(t, '\\b(?:scum|trash)\\b') THEN 'human_review' WHEN regexp_matches(t, '\\b(?:clown)\\b') THEN 'warning' ELSE 'allow' END AS action
-FROM (SELECT doc_id, replace(lower(text), 'the trash', ' ') AS t FROM documents)""")
-def keyword_policy(spark, sf_dir):
-    terms = {"block": ["idiot", "moron"], "human_review": ["scum", "trash"], "warning": ["clown"]}
-    return docs(spark, sf_dir).select("doc_id", D.keyword_policy("text", terms, ["the trash"]).alias("action"))
-
-
 @query("SELECT vec_id, CASE WHEN s >= 0.95 THEN 'block' WHEN s >= 0.85 THEN 'human_review' WHEN s >= 0.75 THEN 'warning' ELSE 'allow' END AS action FROM (SELECT vec_id, 0.7 + CAST(embedding[1] AS DOUBLE) AS s FROM embeddings)")
 def similarity_risk(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", scores.similarity_risk(0.7 + F.get("embedding", F.lit(0)).cast("double")).alias("action"))
