@@ -4,60 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import scores, text
+from inkwell.operators.blocks import met, reaching, summaries, tiled
+from inkwell.sources.shared import broadcast_if, written
 
+# Parameters of BM25.
 K1, B = 1.2, 0.75
 #: Rows of a query table up to which it is broadcast; a larger one is joined by shuffling.
 SMALL = 100_000
+#: Vectors and queries that are multiplied at once.
+TILE, QUERY_TILE = 8192, 1024
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """Broadcast df if a bounded count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def postings(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
-    """doc_id, dl and, for each distinct term, tf. Write it once to search it often."""
-    t = docs.select(doc_id, text.tokens(body).alias("_t"))
-    return t.select(doc_id, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return broadcast_if(df, rows)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, doc_id: str = "doc_id", body: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """queries (query_id, terms: distinct tokens): query_id, doc_id, bm25, rank of the k best documents.
 
-    Only terms that a query asks for leave the scan; lengths and the document count cover all documents.
+    Documents are tokenized once: their lengths and the frequencies of terms that a query asks for are written, and
+    document frequencies, lengths and scores come from that table.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term"))
-    stats = docs.select(F.size(text.tokens(body)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    t = docs.select(doc_id, text.tokens(body).alias("_t")).select(doc_id, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    tf = t.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    table = written(counted(docs, asked, doc_id, body), "postings")
+    stats = table.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = table.where("term is not null")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weights = tf.join(df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "avgdl"), "term").select(doc_id, "term", weight.alias("w"))
+    weights = tf.join(small(df.join(F.broadcast(stats))), "term").select(doc_id, "term", weight.alias("w"))
     scored = weights.join(small(asked), "term").groupBy("query_id", doc_id).agg(F.sum("w").alias("bm25"))
     return scored if k is None else top(scored, "bm25", doc_id, k)
 
 
+def counted(docs: DataFrame, asked: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
+    """doc_id, dl, term, tf of the asked terms (term), and one row with a null term for each document."""
+    t = docs.select(doc_id, text.tokens(body).alias("_t"))
+    every = t.select(doc_id, F.size("_t").alias("dl"), F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
+    known = small(asked.select("term").distinct().withColumn("known", F.lit(True)))
+    kept = every.join(known, "term", "left").where(F.col("term").isNull() | F.col("known"))
+    return kept.groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def top(rows: DataFrame, score: str, key: str, k: int, by: str = "query_id") -> DataFrame:
     """The k best rows of each group, ties by key, with their rank. Each task keeps its own k best before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.desc(score), key)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False, digits: int = 9) -> DataFrame:
+    """Exact: vectors (vec_id, embedding), queries (query_id, query_vector): similarity = clamp(dot), rounded, and rank.
 
-
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """Exact: vectors (vec_id, embedding), queries (query_id, query_vector): similarity = clamp(dot) and rank."""
-    pairs = vectors.join(small(queries, 10_000), (F.col("query_id") != F.col("vec_id")) if exclude_self else F.lit(True))
-    scored = pairs.select("query_id", "vec_id", scores.clamp(dot(F.col("embedding"), F.col("query_vector"))).alias("similarity"))
-    return top(scored, "similarity", "vec_id", k)
+    Tiles of queries meet tiles of vectors as matrix products; each pair keeps its k best, so only those are shuffled.
+    """
+    v = tiled(vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding"), TILE)
+    q = tiled(queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("embedding")), QUERY_TILE)
+    pairs = reaching(summaries(q), summaries(v), float("-inf"))
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        s = np.round(np.clip(np.stack(x["embedding"]).astype(np.float64) @ np.stack(y["embedding"]).astype(np.float64).T, 0.0, 1.0), digits)
+        qi, vi = x["id"].to_numpy(), y["id"].to_numpy()
+        if exclude_self:
+            s[qi[:, None] == vi[None, :]] = -1.0
+        order = np.argsort(vi, kind="stable")
+        s, vi = s[:, order], vi[order]
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties by id
+        at = np.repeat(np.arange(len(qi)), best.shape[1])
+        out = pd.DataFrame({"query_id": qi[at], "vec_id": vi[best.ravel()], "similarity": s[at, best.ravel()]})
+        return out[out["similarity"] >= 0]
+
+    return top(met(pairs, q, v, product, "query_id long, vec_id long, similarity double"), "similarity", "vec_id", k)
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:

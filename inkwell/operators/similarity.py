@@ -4,43 +4,43 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.blocks import met, reaching, summaries, tiled
 from inkwell.sources.shared import written
 
 TILE = 4096
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", group: str | None = None, tile: int = TILE) -> DataFrame:
-    """Pairs a < b with cosine >= threshold (and, with group, from different groups).
+    """Pairs a < b with a product >= threshold (and, with group, from different groups).
 
-    Rows are dealt to tiles of bounded size; each pair of tiles is one matrix product, and only pairs that pass leave it.
+    Vectors lie in compact tiles; only tiles whose bounds let them hold such a pair meet, as one matrix product, and only
+    pairs that pass leave it. Exact: the bound is the largest product that two balls allow.
     """
-    n = vectors.count()
-    tiles = max(1, -(-n // tile))
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    t = vectors.where("embedding is not null").select(F.col(key).alias("id"), "embedding", g.alias("g"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("tile"))
-    left = t.withColumn("other", F.explode(F.sequence(F.col("tile"), F.lit(tiles - 1))))
-    right = t.select(F.col("id").alias("id2"), F.col("embedding").alias("e2"), F.col("g").alias("g2"), F.col("tile").alias("second"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("first"))
+    tiles = tiled(vectors.select(F.col(key).cast("long").alias("id"), "embedding", g.alias("g")).where("id is not null"), tile)
+    s = summaries(tiles)
+    pairs = reaching(s, s, threshold).where("a <= b")
 
-    def product(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
-        s = np.stack(x["embedding"]).astype(np.float64) @ np.stack(y["e2"]).astype(np.float64).T
-        i, j = np.nonzero(s >= threshold)
-        a, b = x["id"].to_numpy()[i], y["id2"].to_numpy()[j]
-        ok = (a < b) if x["tile"].iloc[0] == y["second"].iloc[0] else np.ones(len(a), bool)
+        dots = np.stack(x["embedding"]).astype(np.float64) @ np.stack(y["embedding"]).astype(np.float64).T
+        i, j = np.nonzero(dots >= threshold)
+        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        ok = (a < b) if x["tile"].iloc[0] == y["tile"].iloc[0] else a != b
         if group:
-            ok &= x["g"].to_numpy()[i] != y["g2"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": s[i, j][ok]})
+            ok &= x["g"].to_numpy()[i] != y["g"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": dots[i, j][ok]})
 
-    return left.groupBy("tile", "other").cogroup(right.groupBy("first", "second")).applyInPandas(product, "a long, b long, similarity double")
+    return met(pairs, tiles, tiles, product, "a long, b long, similarity double")
 
 
-def match_percentages(vectors: DataFrame, threshold: float, key: str = "vec_id", group: str | None = None) -> DataFrame:
-    """Each vector's best match elsewhere, in percent; 0 under the threshold."""
-    p = similar_pairs(vectors, threshold, key, group)
+def match_percentages(vectors: DataFrame, threshold: float, key: str = "vec_id", group: str | None = None, eligible: Column | None = None) -> DataFrame:
+    """Each vector's best match elsewhere, in percent; 0 under the threshold. eligible: which rows may match (long enough, no duplicates)."""
+    p = similar_pairs(vectors if eligible is None else vectors.where(eligible), threshold, key, group)
     best = p.select("a", "similarity").unionByName(p.select(F.col("b").alias("a"), "similarity")).groupBy("a").agg(F.max("similarity").alias("s"))
     return vectors.select(key).join(best.withColumnRenamed("a", key), key, "left").select(key, F.coalesce(F.round(F.least(F.col("s"), F.lit(1.0)) * 100, 2), F.lit(0.0)).alias("match_pct"))
 
@@ -61,25 +61,61 @@ def greedy_near_duplicates(pairs: DataFrame) -> DataFrame:
             return state.where("not kept").select("id")
 
 
-def clusters(pairs: DataFrame, vectors: DataFrame, threshold: float, key: str = "vec_id", group: str = "label") -> DataFrame:
-    """id, cluster_id: components over the pairs, members near their centroid, from two groups at least; numbered by their first member."""
-    label = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().withColumn("root", F.col("id"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b): node and root, the smallest node of its component, for every node that has a link.
+
+    Every node points at its smallest neighbour (a minimum, so hubs are pre-aggregated) and chains are halved until they
+    are flat; links between different roots go to the next round. Rounds are logarithmic; each is a written table.
+    """
+    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    label = None
     while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        label = label.withColumnRenamed("root", "old").join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("old", "near").alias("root"), (F.col("near") < F.col("old")).alias("moved")).cache()
-        done = label.where("moved").isEmpty()
-        label = label.drop("moved")
-        if done:
-            break
-    member = label.join(vectors.select(F.col(key).alias("id"), "embedding", F.col(group).alias("g")), "id")
-    parts = member.select("root", "id", "g", F.posexplode("embedding").alias("i", "x"))
+        up = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+        while True:
+            above = up.select(F.col("node").alias("root"), F.col("root").alias("over"))
+            jumped = written(up.join(above, "root").select("node", F.col("over").alias("root"), (F.col("over") != F.col("root")).alias("moved")), "up")
+            up = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        step = up.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        label = up if label is None else written(label.join(step, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "label")
+        side = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        edges = edges.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        edges = written(edges, "edges")
+        if edges.isEmpty():
+            return label
+
+
+def clusters(pairs: DataFrame, vectors: DataFrame, threshold: float, key: str = "vec_id", group: str = "label") -> DataFrame:
+    """id, cluster_id: components over the pairs, members near their centroid, from two groups at least; numbered by their first member.
+
+    Numbers come from counts over ranges of roots, so no task holds all of them.
+    """
+    member = components(pairs).join(vectors.select(F.col(key).alias("node"), "embedding", F.col(group).alias("g")), "node")
+    parts = member.select("root", F.col("node").alias("id"), "g", F.posexplode("embedding").alias("i", "x"))
     mean = parts.groupBy("root", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     norm = mean.groupBy("root").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     near = parts.join(mean, ["root", "i"]).groupBy("root", "id", "g").agg(F.sum(F.col("x") * F.col("m")).alias("dot")).join(norm, "root").where(F.col("dot") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0) >= threshold)
-    good = near.groupBy("root").agg(F.count_distinct("g").alias("n")).where("n >= 2")
-    # Numbered over the roots only; a root is the first member of its component.
-    from pyspark.sql import Window
-
-    number = good.withColumn("cluster_id", F.row_number().over(Window.orderBy("root"))).select("root", "cluster_id")
-    return near.join(number, "root").select("id", "cluster_id")
+    near = written(near.select("root", "id", "g"), "near")
+    good = near.groupBy("root").agg(F.count_distinct("g").alias("n")).where("n >= 2").select("root")
+    return near.join(numbered(good, "root").withColumnRenamed("number", "cluster_id"), "root").select("id", "cluster_id")
+
+
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """rows with number, from 1 in the order of a distinct column: ranges are numbered by themselves and shifted by what lies before them."""
+    ranged = written(rows.repartitionByRange(by).withColumn("_p", F.spark_partition_id()), "ranged")
+    size = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as partitions
+    before = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(by))
+    return ranged.join(F.broadcast(before), "_p").withColumn("number", (within + F.col("_before")).cast("int")).drop("_p", "_before")
+
+
+def pairwise_report(pairs: DataFrame, chunks: DataFrame, min_similarity: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b, similarity) of chunks (id, doc_id, section): the best similarity of each ordered pair of documents, and of their sections."""
+    side = lambda c: chunks.select(F.col("id").alias(c), F.col("doc_id").alias(f"doc_{c}"), F.col("section").alias(f"section_{c}"))
+    m = pairs.where(F.col("similarity") >= max(min_similarity, 0.75)).join(side("a"), "a").join(side("b"), "b").where("doc_a <> doc_b")
+    turn = m.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), F.col("section_b").alias("section_a"), F.col("section_a").alias("section_b"), "similarity")
+    both = m.select("doc_a", "doc_b", "section_a", "section_b", "similarity").unionByName(turn)
+    per_doc = both.groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("matches"))
+    per_section = both.groupBy("doc_a", "doc_b", "section_a", "section_b").agg(F.max("similarity").alias("similarity"))
+    return per_doc, per_section

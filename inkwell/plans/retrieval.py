@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 from inkwell.functions import scores, text
 from inkwell.operators import retrieval as R
 from inkwell.plans.registry import query
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-_BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({_TOK}, 1, 6)) AS term FROM benchmark),
+_BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark),
 d AS (SELECT doc_id, source, {_TOK} AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 w AS (SELECT doc_id, p.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w FROM p JOIN df USING (term), st),
 bm AS (SELECT query_id, doc_id, sum(w) AS bm25 FROM w JOIN q USING (term) GROUP BY 1, 2)"""
-_VEC = """qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id < 40),
+_VEC = """qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
 ve AS (SELECT query_id, vec_id, greatest(0.0, least(1.0, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])))) AS similarity FROM embeddings, qv)"""
 
 
 def asked(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark")
-    return t.select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(text.tokens("text"), 1, 6)).alias("terms"))
+    return t.select(F.col("item_id").alias("query_id"), F.array_distinct(text.tokens("text")).alias("terms"))
 
 
 def asked_vectors(spark, sf_dir):
@@ -40,19 +40,19 @@ def rounded_rank(df, score, key):
 @query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm)
 SELECT query_id, doc_id, bm25, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def bm25_search(spark, sf_dir):
-    return rounded_rank(R.bm25(table(spark, sf_dir, "documents"), asked(spark, sf_dir), None), "bm25", "doc_id")
+    return rounded_rank(R.bm25(spread(table(spark, sf_dir, "documents")), asked(spark, sf_dir), None), "bm25", "doc_id")
 
 
 @query(f"""WITH {_VEC}, r AS (SELECT query_id, vec_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM ve)
 SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def vector_search(spark, sf_dir):
-    return rounded_rank(R.vector_top(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 1_000), "similarity", "vec_id")
+    return rounded_rank(R.vector_top(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 10, digits=6), "similarity", "vec_id")
 
 
 def sides(spark, sf_dir):
     """Both candidate lists, 40 wide; a vector stands for the document with its id."""
-    dense = R.top(R.vector_top(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 1_000).drop("rank").withColumn("similarity", F.round("similarity", 6)), "similarity", "vec_id", 40)
-    sparse = R.top(R.bm25(table(spark, sf_dir, "documents"), asked(spark, sf_dir), None).withColumn("bm25", F.round("bm25", 6)), "bm25", "doc_id", 40)
+    dense = R.vector_top(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 40, digits=6)
+    sparse = R.top(R.bm25(spread(table(spark, sf_dir, "documents")), asked(spark, sf_dir), None).withColumn("bm25", F.round("bm25", 6)), "bm25", "doc_id", 40)
     return dense.select("query_id", F.col("vec_id").alias("key"), F.col("similarity").alias("vector_score"), "rank"), sparse.select("query_id", F.col("doc_id").alias("key"), F.col("bm25").alias("bm25_score"), "rank")
 
 
@@ -94,7 +94,7 @@ def candidate_analysis(spark, sf_dir):
 pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, key) AS r FROM s QUALIFY r <= 3)
 SELECT query_id, key, source, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM pp QUALIFY rank <= 10""")
 def multi_repository_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     scored = R.bm25(d, asked(spark, sf_dir), None).join(d.select("doc_id", "source"), "doc_id")
     return R.per_scope_top(scored.select("query_id", F.col("doc_id").alias("key"), "source", F.round("bm25", 6).alias("score")), "source", "score", "key", 10, 20)
 
@@ -122,11 +122,11 @@ def subquery_merge(spark, sf_dir):
     return R.append_unseen(rows, 12)
 
 
-@query(f"""WITH {_BM25} SELECT query_id, count(*) FILTER (round(bm25, 6) >= 5) >= 2 AS sufficient FROM bm GROUP BY 1""")
+@query(f"""WITH {_BM25} SELECT query_id, count(*) FILTER (round(bm25, 6) >= 60) >= 2 AS sufficient FROM bm GROUP BY 1""")
 def evidence_sufficiency(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     rows = R.bm25(d, asked(spark, sf_dir), None).join(d.select("doc_id", "text"), "doc_id").withColumn("score", F.round("bm25", 6))
-    return R.evidence_is_sufficient(rows, 5.0, 2)
+    return R.evidence_is_sufficient(rows, 60.0, 2)
 
 
 @query()
