@@ -41,15 +41,6 @@ def evidence_filter(spark, sf_dir):
     return hits.select("doc_id", F.size("h").cast("long").alias("n_hits"), text.has_evidence(F.col("h"), terms).alias("kept"))
 
 
-@query("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '[a-z]+') AS w, greatest(len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: trim(x) <> '')), 1)::DOUBLE AS s FROM d),
-y AS (SELECT doc_id, len(w) AS nw, greatest(len(w), 1)::DOUBLE AS n, s, coalesce(list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+'))))), 0)::DOUBLE AS y FROM w),
-e AS (SELECT *, greatest(0, least(100, 206.835 - 1.015 * (n / s) - 84.6 * (y / n))) AS ease, greatest(0, 0.39 * (n / s) + 11.8 * (y / n) - 15.59) AS grade FROM y)
-SELECT doc_id, CAST(nw AS INT) AS n_words, CAST(s AS INT) AS n_sentences, CAST(y AS INT) AS n_syllables, round(ease, 6) AS ease, round(grade, 6) AS grade, round(0.65 * (1 - ease / 100) + 0.35 * least(1, grade / 18), 6) AS complexity FROM e""")
-def readability(spark, sf_dir):
-    r = text.readability("text")
-    return docs(spark, sf_dir).select("doc_id", *[(F.round(c, 6) if n in ("ease", "grade", "complexity") else c).alias(n) for n, c in r.items()])
-
-
 @query("""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 150) / 100.0)) AS BIGINT) * 100 + 1, 100)) AS i FROM w)
 SELECT doc_id, CAST(i / 100 AS INT) AS chunk_no, md5(array_to_string(list_slice(w, i + 1, i + 150), ' ')) AS h, CAST(least(150, len(w) - i) AS INT) AS n_words FROM s""")
