@@ -76,15 +76,6 @@ def with_confidence(rows, query: str = "query_id", document: str = "doc_key", ov
     return out.drop("_s", "_sibling")
 
 
-def grounding(coverage: Column, density: Column, cited: Column, n_terms: Column) -> Column:
-    return F.when(n_terms == 0, 0.0).otherwise(clamp(0.70 * coverage + 0.20 * density + 0.10 * F.when(cited, 1.0).otherwise(0.0)))
-
-
-def quality(text: Column, metadata: Column, evidence: Column, score: Column, duplicate: Column, ocr: Column) -> Column:
-    x = 0.40 * text + 0.30 * metadata + 0.30 * evidence + 0.10 * F.coalesce(score, F.lit(0.0))
-    return clamp(x - F.when(duplicate, 0.40).otherwise(0.0) - F.when(ocr < 0.5, 0.15).otherwise(0.0))
-
-
 #: Bands of similarity to blocked content.
 SIMILARITY_BANDS = ((0.95, "block"), (0.85, "human_review"), (0.75, "warning"))
 
@@ -93,13 +84,16 @@ def similarity_risk(similarity: Column) -> Column:
     return level(similarity, SIMILARITY_BANDS, "allow")
 
 
-#: How urgent a queue message is.
+# How urgent a queue message is.
 DISPATCH = {"queued": 1000, "first_time": 500, "late": 300, "age_cap": 120, "chunking": 50}
+DEFAULT_PROCESSOR = "chunking_vectorizing"
 
 
 def dispatch_priority(status: Column, requeued: Column, age_s: Column, processor: Column, sla_s: float = 30.0) -> Column:
+    """Points for queued, first-time and late messages (ten seconds before the limit), age and the first processor; an unknown age adds none."""
     p = DISPATCH
+    age = F.greatest(age_s, F.lit(0.0))
     return (
-        F.when(status == "QUEUED", p["queued"]).otherwise(0) + F.when(~requeued, p["first_time"]).otherwise(0) + F.when(age_s >= sla_s, p["late"]).otherwise(0)
-        + F.least(age_s.cast("int"), F.lit(p["age_cap"])) + F.when(processor == "chunking", p["chunking"]).otherwise(0)
+        F.when(status == "QUEUED", p["queued"]).otherwise(0) + F.when(F.coalesce(requeued, F.lit(False)), 0).otherwise(p["first_time"]) + F.when(age_s.isNotNull() & (age >= max(0.0, sla_s - 10)), p["late"]).otherwise(0)
+        + F.when(age_s.isNull(), 0).otherwise(F.least(age.cast("int"), F.lit(p["age_cap"]))) + F.when(F.lower(F.trim(F.coalesce(F.nullif(processor, F.lit("")), F.lit(DEFAULT_PROCESSOR)))) == DEFAULT_PROCESSOR, p["chunking"]).otherwise(0)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
+from inkwell.sources.shared import broadcast_if, written
 
 
 def filters(rows: DataFrame, wanted: dict, allowed: dict[str, str]) -> DataFrame:
@@ -72,23 +73,49 @@ def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def flattened(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, field, value) of a flat JSON object column."""
-    return rows.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))
+    """(key, field, value) of a JSON object column, nested objects by dotted paths; everything else keeps its JSON text."""
+    level = rows.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))
+    done = None
+    while True:
+        nested = F.coalesce(F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$") & F.from_json("value", "map<string,string>").isNotNull(), F.lit(False))
+        level = written(level.withColumn("_nested", nested), "level")
+        leaves = level.where("not _nested").select(key, "field", "value")
+        done = leaves if done is None else done.unionByName(leaves)
+        deeper = level.where("_nested")
+        if deeper.isEmpty():
+            return done
+        level = deeper.select(key, F.col("field").alias("_f"), F.explode(F.from_json("value", "map<string,string>")).alias("_k", "value")).select(key, F.concat_ws(".", "_f", "_k").alias("field"), "value")
 
 
-def ancestors(nodes: DataFrame, limit: int = 32) -> DataFrame:
-    """nodes (id, parent): id, ancestor, depth by doubling the distance each round; a cycle ends at the limit."""
-    reach = nodes.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    step, span = reach, 1
-    while span < limit:
-        # depth d + e for every pair of hops; hops of 1..span are known, so span doubles
-        far = reach.alias("x").join(step.where(F.col("depth") == span).alias("y"), F.col("x.id") == F.col("y.ancestor")).select(F.col("y.id").alias("id"), F.col("x.ancestor").alias("ancestor"), (F.col("x.depth") + span).alias("depth"))
-        far = far.where((F.col("depth") <= limit) & (F.col("id") != F.col("ancestor")))
-        reach = reach.unionByName(far)
-        step, span = reach, span * 2
-        if span >= limit or far.isEmpty():
-            break
-    return reach
+def deep_changes(old: DataFrame, new: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, field, old, new) of the dotted paths whose values differ between two JSON columns."""
+    return changes(flattened(old, key, json), flattened(new, key, json), [key])
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """nodes (id, parent): id, ancestor and depth, the least distance. A walk that meets a node again ends there.
+
+    Distances double each round, so rounds are logarithmic in the longest chain; each is a written table.
+    """
+    reach = written(nodes.where("parent is not null and id <> parent").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "reach")
+    span = 1
+    while True:
+        x, y = reach.alias("x"), reach.where(F.col("depth") == span).alias("y")
+        far = y.join(x, F.col("x.id") == F.col("y.ancestor")).select(F.col("y.id").alias("id"), F.col("x.ancestor").alias("ancestor"), (F.col("x.depth") + span).alias("depth"))
+        far = far.where("id <> ancestor").groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).join(reach.select("id", "ancestor"), ["id", "ancestor"], "left_anti")
+        far = written(far, "far")
+        if far.isEmpty():
+            return reach
+        reach, span = written(reach.unionByName(far), "reach"), span * 2
+
+
+def circular(nodes: DataFrame) -> DataFrame:
+    """id and circular: whether the walk from a node comes back to one it has met."""
+    reach = ancestors(nodes)
+    back = reach.alias("r").join(nodes.alias("n"), (F.col("r.ancestor") == F.col("n.id")) & (F.col("n.parent") == F.col("r.id"))).select(F.col("r.id").alias("id"))
+    on_cycle = back.unionByName(nodes.where("id = parent").select("id")).distinct()
+    into = reach.join(on_cycle.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id").unionByName(on_cycle).distinct()
+    return nodes.select("id").distinct().join(into.withColumn("circular", F.lit(True)), "id", "left").select("id", F.coalesce("circular", F.lit(False)).alias("circular"))
 
 
 def nearest_definition(chain: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -122,3 +149,101 @@ def repeated_lines(docs: DataFrame, min_count: int = 3, max_words: int = 8) -> D
     many = F.filter(runs, lambda x: F.size(F.split(x, r"\s+")) <= max_words) if min_count > 1 else F.array_distinct("l")
     kept = t.withColumn("m", many).withColumn("k", F.filter("l", lambda x: ~F.array_contains("m", x)))
     return kept.select("doc_id", F.array_join("k", "\n").alias("text"), (F.size("l") - F.size("k")).alias("n_removed"))
+
+
+def record_keys(records: DataFrame) -> DataFrame:
+    """key, document_id and priority of everything that may name a record: its id, its name, its original file name."""
+    names = F.array(*[F.struct(F.lit(i).alias("priority"), F.trim(F.col(c).cast("string")).alias("key")) for i, c in enumerate(("document_id", "document_name", "original_file_name"))])
+    return records.select("document_id", F.explode(names).alias("k")).select("k.key", "k.priority", "document_id").where("key <> ''")
+
+
+def owner_of_key(records: DataFrame) -> DataFrame:
+    """key and the document that it names; a key that several records claim names the last of them."""
+    return record_keys(records).groupBy("key").agg(F.max("document_id").alias("document_id"))
+
+
+def rank_documents(chunk_scores: DataFrame, records: DataFrame, top_k: int = 10, min_score: float = 0.0) -> DataFrame:
+    """chunk_scores (query_id, key, score): the best score of each document that a key names, the top_k of each query from min_score on."""
+    best = chunk_scores.where(F.col("score") >= min_score).join(owner_of_key(records), "key").groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+
+def indexed_stats(records: DataFrame, stats: DataFrame) -> DataFrame:
+    """records with the index statistics (key, n_chunks, n_embedded, category) of their id, else name, else original name; else none."""
+    found = record_keys(records).join(stats, "key").groupBy("document_id").agg(F.min_by(F.struct("n_chunks", "n_embedded", "category"), "priority").alias("s"))
+    out = records.join(found, "document_id", "left")
+    return out.select(records["*"], F.coalesce("s.n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("s.n_embedded", F.lit(0)).alias("n_embedded"), F.col("s.category").alias("category"), (F.coalesce("s.n_chunks", F.lit(0)) > 0).alias("indexed"))
+
+
+def catalog_page(records: DataFrame, stats: DataFrame, jobs: DataFrame, order: list[Column], offset: int, limit: int, indexed: dict) -> DataFrame:
+    """A page of records with index statistics and job states; filters on statistics apply behind the page, which may come back short."""
+    rows = indexed_stats(records.orderBy(*order).offset(offset).limit(limit), stats).join(jobs.select("document_id", F.col("status").alias("job_status")), "document_id", "left")
+    return filters(rows, {k: v for k, v in indexed.items()}, {"category": "category", "indexed": "indexed"})
+
+
+def accessible_page(records: DataFrame, allowed: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of records, and of it those whose repository the user may see."""
+    return records.orderBy(*order).offset(offset).limit(limit).join(broadcast_if(allowed.select("repository_id").distinct(), 100_000), "repository_id", "left_semi")
+
+
+def rows_of(rows: DataFrame, wanted: DataFrame, key: str = "document_id") -> DataFrame:
+    """Rows of the wanted keys."""
+    return rows.join(broadcast_if(wanted.select(key).distinct(), 100_000), key, "left_semi")
+
+
+def marked_imported(records: DataFrame, imported: DataFrame, keys: list[str]) -> DataFrame:
+    """records with already_imported: whether their key is there."""
+    have = imported.select(*keys).distinct().withColumn("_have", F.lit(True))
+    return records.join(have, keys, "left").withColumn("already_imported", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
+def resolved_values(fields: DataFrame, extracted: DataFrame) -> DataFrame:
+    """fields (doc_id, field_id, field_name), extracted (doc_id, pos, item_id, name, value): the value by id, else by name whatever its case."""
+    by_id = fields.join(extracted.where("item_id is not null"), (fields["doc_id"] == extracted["doc_id"]) & (F.lower(fields["field_id"]) == F.lower(F.trim("item_id")))).groupBy(fields["doc_id"], "field_id").agg(F.min_by("value", "pos").alias("v1"))
+    by_name = fields.join(extracted.where("name is not null"), (fields["doc_id"] == extracted["doc_id"]) & (F.lower(F.trim("field_name")) == F.lower(F.trim("name"))) & (F.trim("name") != "")).groupBy(fields["doc_id"], "field_id").agg(F.min_by("value", "pos").alias("v2"))
+    out = fields.join(by_id, ["doc_id", "field_id"], "left").join(by_name, ["doc_id", "field_id"], "left")
+    return out.select("doc_id", "field_id", F.coalesce("v1", "v2").alias("value"))
+
+
+def resolve_ids(wanted: DataFrame, id_map: DataFrame, key: str = "pmid") -> DataFrame:
+    """wanted ids with what the map knows of them; unknown ones keep nulls."""
+    return wanted.join(broadcast_if(id_map.dropDuplicates([key]), 1_000_000), key, "left")
+
+
+def latest(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """The last row of each key by an order of columns."""
+    w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def list_reviews(reviews: DataFrame, wanted: dict, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Reviews that fit every filter given, the last touched first."""
+    columns = {c: c for c in ("repository_id", "status", "document_type_id", "assigned_to", "document_id")}
+    return page(filters(reviews, wanted, columns), F.desc("updated_at"), F.col("review_id"), offset=offset, limit=limit)
+
+
+def members(bindings: DataFrame, repository_id) -> DataFrame:
+    """Bindings of a repository that aren't revoked, by role and user."""
+    return bindings.where((F.col("repository_id") == repository_id) & F.col("revoked_at").isNull()).orderBy("role", "user_id")
+
+
+def user_repositories(bindings: DataFrame) -> DataFrame:
+    return bindings.where("revoked_at is null and repository_id is not null").select("user_id", "repository_id").distinct()
+
+
+def sorted_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks (document_id, chunk_id, page, section_path, section_name, line_start) numbered in reading order; what is unknown comes first."""
+    w = Window.partitionBy("document_id").orderBy(F.coalesce("page", F.lit(0)), F.coalesce("section_path", "section_name", F.lit("")), F.coalesce("line_start", F.lit(0)), F.coalesce("chunk_id", F.lit("")))
+    return chunks.withColumn("position", F.row_number().over(w))
+
+
+def retrieval_filters(wanted: dict | None, document_id: str | None = None) -> dict:
+    """Filters without empty values; an explicit document wins over one among them."""
+    out = {k: v for k, v in (wanted or {}).items() if v not in (None, "", [], ())}
+    return out | {"document_id": document_id} if document_id else out
+
+
+def references_for(resolved: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """resolved (source, target, resolved_id), unresolved (source, target): the distinct union of both, by source."""
+    return resolved.select("source", "target", F.col("resolved_id").cast("string").alias("resolved_id")).unionByName(unresolved.select("source", "target", F.lit(None).cast("string").alias("resolved_id"))).distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import broadcast_if, written
+
 
 def json_number(metadata: Column | str, *keys: str) -> Column:
     """The first of the keys that holds something; an empty string holds nothing, and what isn't a number is null."""
@@ -32,23 +34,58 @@ def in_range(events: DataFrame, date_from: str | None = None, date_to: str | Non
     return events
 
 
-def aggregate_by_metric_name(events: DataFrame) -> DataFrame:
+def aggregate_by(events: DataFrame, *by: str) -> DataFrame:
+    """Counts, successes, failures and the mean, least and greatest duration of each group."""
     ok, bad = F.count_if(F.col("status") == "success"), F.count_if(F.col("status") == "failure")
-    return events.groupBy("metric_name").agg(
+    return events.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), ok.alias("success_count"), bad.alias("failure_count"), F.avg("duration_ms").alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms")
     )
 
 
+def aggregate_by_metric_name(events: DataFrame) -> DataFrame:
+    return aggregate_by(events, "metric_name")
+
+
 def status_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, ps: list[float], buckets: int = 200) -> DataFrame:
+    """by..., n and p (the interpolated percentiles, exact) of a column's values that aren't null.
+
+    A sketch of each group gives the borders of ``buckets`` ranges; counting says in which of them the wanted ranks lie, and
+    only the values there are ranked. No task holds a group's values, nor more than about a bucket of them at once.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    cuts = [(i + 1) / buckets for i in range(buckets - 1)]
+    sketch = v.groupBy(*by).agg(F.percentile_approx("v", cuts, 4 * buckets).alias("cuts"))
+    ranged = broadcast_if(written(sketch, "borders"), 100_000)
+    same = lambda other: [F.col(f"x.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in by]
+    x = v.alias("x").join(ranged.alias("b"), same("b")).select("x.*", F.size(F.filter("b.cuts", lambda c: c < F.col("x.v"))).alias("bucket")) if by else v.join(F.broadcast(sketch)).select("v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    sizes = written(x.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("m")), "buckets")  # a bounded number for each group
+    before = sizes.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("n", F.sum("m").over(Window.partitionBy(*by)))
+    # The two ranks around each percentile, and the bucket that holds them.
+    at = [((F.col("n") - 1) * F.lit(p)) for p in ps]
+    ranks = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at])))).alias("rank")
+    wanted = before.select(*by, "bucket", "before", "m", "n", ranks).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
+    wanted = written(wanted, "ranks")
+    some = broadcast_if(wanted.select(*by, "bucket", "before").distinct(), 100_000)
+    near = x.alias("x").join(some.alias("w"), [*same("w"), F.col("x.bucket") == F.col("w.bucket")]).select("x.*", "w.before")
+    ranked = near.withColumn("rank", (F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("v")) - 1 + F.col("before")).cast("long"))
+    got = ranked.alias("x").join(wanted.alias("w"), [*same("w"), F.col("x.rank") == F.col("w.rank")]).groupBy(*[F.col(f"x.{c}").alias(c) for c in by]).agg(F.first("w.n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.col("x.rank"), F.col("x.v")))).alias("v"))
+    value_at = lambda r: F.element_at("v", r.cast("long"))
+    out = [value_at(F.floor(a)) + (value_at(F.ceil(a)) - value_at(F.floor(a))) * (a - F.floor(a)) for a in at]
+    return got.select(*by, "n", F.array(*out).alias("p"))
+
+
 def top_slow_operations(events: DataFrame, limit: int = 10) -> DataFrame:
     """Mean, maximum and interpolated 95th percentile for each metric, the slowest first; the limit is clamped to 1..100."""
-    agg = events.where("duration_ms is not null").groupBy("metric_name").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.percentile("duration_ms", F.lit(0.95)).alias("p95_ms")
-    )
-    return agg.orderBy(F.desc("avg_ms"), "metric_name").limit(max(1, min(limit, 100)))
+    timed = events.where("duration_ms is not null")
+    agg = timed.groupBy("metric_name").agg(F.count(F.lit(1)).alias("n"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
+    slow = written(agg.orderBy(F.desc("avg_ms"), "metric_name").limit(max(1, min(limit, 100))), "slow")
+    p = percentiles(timed.join(F.broadcast(slow.select("metric_name")), "metric_name", "left_semi"), ["metric_name"], "duration_ms", [0.95])
+    return slow.join(p.select("metric_name", F.get("p", F.lit(0)).alias("p95_ms")), "metric_name").orderBy(F.desc("avg_ms"), "metric_name")
 
 
 def metadata_numeric(events: DataFrame, *keys: str) -> DataFrame:
@@ -76,14 +113,21 @@ def daily_rollup(events: DataFrame, allowed: list[str] | None = None) -> DataFra
     """One row for each day and metric: count (of durations, else of statuses), mean, p50, p95, p99, max, failures."""
     if allowed:
         events = events.where(F.col("metric_name").isin(allowed))
-    p = F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = events.groupBy(F.to_date("ts").alias("day"), "metric_name").agg(
-        F.count("duration_ms").alias("timed"), F.count("status").alias("stated"), F.avg("duration_ms").alias("avg_ms"), p.alias("p"), F.max("duration_ms").alias("max_ms"), F.count_if(F.col("status") == "failure").alias("failures")
-    )
+    e = events.withColumn("day", F.to_date("ts"))
+    out = e.groupBy("day", "metric_name").agg(F.count("duration_ms").alias("timed"), F.count("status").alias("stated"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.count_if(F.col("status") == "failure").alias("failures"))
+    p = percentiles(e, ["day", "metric_name"], "duration_ms", [0.5, 0.95, 0.99]).select(F.col("day").alias("_d"), F.col("metric_name").alias("_m"), "p")
+    out = out.join(p, F.col("day").eqNullSafe(F.col("_d")) & F.col("metric_name").eqNullSafe(F.col("_m")), "left")
     n = F.when(F.col("timed") > 0, F.col("timed")).otherwise(F.col("stated"))
     return out.select("day", "metric_name", n.alias("n"), "avg_ms", F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"), "max_ms", "failures")
 
 
+def latency_summary(events: DataFrame) -> DataFrame:
+    """n, avg_ms, p50, p95, p99, max_ms of all durations."""
+    p = percentiles(events, [], "duration_ms", [0.5, 0.95, 0.99])
+    a = events.agg(F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
+    return p.join(F.broadcast(a)).select("n", "avg_ms", *[F.get("p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((50, 95, 99))], "max_ms")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows replace current ones with the same key (null keys match null keys)."""
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
@@ -104,8 +148,9 @@ def summary(events: DataFrame) -> DataFrame:
 def merged_stats(groups: DataFrame, by: str) -> DataFrame:
     """Merge group rows (n, success_count, failure_count, avg_ms, min_ms, max_ms): the mean is the plain mean of the means."""
     n = F.sum("n")
+    rate = lambda c: F.round(F.when(n > 0, F.sum(c) * 100.0 / n).otherwise(0.0), 1)
     return groups.groupBy(by).agg(
-        n.alias("n"), F.avg("avg_ms").alias("avg_ms"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"), F.round(F.when(n > 0, F.sum("success_count") * 100.0 / n).otherwise(0.0), 1).alias("success_rate")
+        n.alias("n"), F.avg("avg_ms").alias("avg_ms"), F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"), rate("success_count").alias("success_rate"), rate("failure_count").alias("failure_rate")
     )
 
 

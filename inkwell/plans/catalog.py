@@ -118,11 +118,6 @@ def effective_fields(spark, sf_dir):
     return C.nearest_definition(chain, define("r%", "color").unionByName(define("n1%", "size")).unionByName(define("c%7", "color")))
 
 
-@query("SELECT DISTINCT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
-def references_union(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))).distinct()
-
-
 @query("""WITH l AS (SELECT doc_id, pos, trim(line) AS line FROM (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line) <> ''),
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) >= 3 AND len(regexp_split_to_array(line, '\\s+')) <= 8 AS gone FROM l)
 SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, CAST(coalesce(count(*) FILTER (gone), 0) AS INT) AS n_removed FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from inkwell.functions import scores, text, validate
@@ -11,14 +9,15 @@ from inkwell.operators import chunking as K
 from inkwell.operators import references as X
 from inkwell.plans.observability import events
 from inkwell.plans.registry import query
-from inkwell.sources.tables import table
+from inkwell.sources.shared import shared_dir
+from inkwell.sources.tables import spread, table
 from inkwell.streaming import jobs as J
 
 STOP = ["that", "this", "with", "from"]
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, CASE WHEN length(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) >= 80 THEN sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) END AS hash FROM documents")
@@ -122,13 +121,6 @@ def reference_extraction(spark, sf_dir):
     return X.extract(docs(spark, sf_dir))
 
 
-@query("""SELECT event_id AS "offset", CASE WHEN event_type = 'signup' THEN 1000 ELSE 0 END + CASE WHEN user_id % 2 = 0 THEN 500 ELSE 0 END + CASE WHEN value >= 30 THEN 300 ELSE 0 END + least(CAST(trunc(value) AS INT), 120) + CASE WHEN event_type = 'click' THEN 50 ELSE 0 END AS priority FROM events""")
-def dispatch_priorities(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    m = e.select(F.col("event_id").alias("offset"), F.when(F.col("event_type") == "signup", "QUEUED").otherwise("HELD").alias("status"), (F.col("user_id") % 2 == 1).alias("requeued"), F.col("value").alias("age_s"), F.when(F.col("event_type") == "click", "chunking").otherwise("x").alias("processor"))
-    return J.dispatch_order(m).select("offset", "priority")
-
-
 @query("""WITH j AS (SELECT event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'DISPATCHING' WHEN 1 THEN 'ASSIGNED' WHEN 2 THEN 'IN_PROGRESS' ELSE 'QUEUED' END AS status, ts FROM events)
 SELECT job_id, CASE WHEN status = 'IN_PROGRESS' THEN 'TIMED_OUT' ELSE 'QUEUED' END AS next_status FROM j WHERE epoch(TIMESTAMP '2024-01-15') - floor(epoch(ts)) > CASE status WHEN 'DISPATCHING' THEN 30 WHEN 'ASSIGNED' THEN 120 WHEN 'IN_PROGRESS' THEN 1800 ELSE 1e18 END ORDER BY ts, job_id LIMIT 50""")
 def stale_jobs(spark, sf_dir):
@@ -146,7 +138,7 @@ def streaming_hourly(spark, sf_dir):
     from uuid import uuid4
 
     name = f"hourly_{uuid4().hex}"
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
+    where = f"{shared_dir(spark)}/inkwell/checkpoints"
     out = J.hourly(events_of(raw)).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "metric_name", "n", "failed", F.round("avg_ms", 6).alias("avg_ms"))
     run = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -158,10 +150,4 @@ def events_of(raw):
     return raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("metric_name"), status.alias("status"), F.col("value").alias("duration_ms"))
 
 
-@query("""SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^a-zA-Z0-9]', '', 'g')) AS score FROM pages""")
-def ocr_text_score(spark, sf_dir):
-    plain = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[^a-zA-Z0-9]", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(plain).cast("long").alias("score"))
-
-
 __all__ = ["events"]

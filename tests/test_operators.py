@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import detect, scores, text, validate
-from inkwell.operators import catalog, chunking, policy, references, retrieval, similarity
+from inkwell.operators import catalog, chunking, observability, policy, references, retrieval, similarity
 from inkwell.streaming import jobs
 
 
@@ -123,10 +123,32 @@ def test_references(spark):
 
 def test_hierarchy_cycle_ends(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", None)], "id string, parent string")
-    got = {(r.id, r.ancestor) for r in catalog.ancestors(df, 8).collect()}
+    got = {(r.id, r.ancestor) for r in catalog.ancestors(df).collect()}
     assert ("a", "b") in got and ("a", "c") in got
 
 
+def test_long_hierarchies_are_whole(spark):
+    df = spark.createDataFrame([(i, i + 1 if i < 200 else None) for i in range(201)], "id long, parent long")
+    got = {r.ancestor: r.depth for r in catalog.ancestors(df).where("id = 0").collect()}
+    assert got == {i: i for i in range(1, 201)}
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, None), (6, 6)], "id long, parent long")
+    assert {r.id: r.circular for r in catalog.circular(loop).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True}
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.exponential(50, 3000), [7.0] * 500, [1.0, 2.0]])
+    g = np.where(np.arange(len(x)) < len(x) - 2, "big", "small")
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, x)] + [("big", None), ("none", None)], "g string, v double")
+    got = {r.g: (r.n, r.p) for r in observability.percentiles(df, ["g"], "v", [0.0, 0.5, 0.95, 0.99, 1.0], buckets=20).collect()}
+    for name in ("big", "small"):
+        n, p = got.pop(name)
+        assert n == (g == name).sum() and p == pytest.approx(np.percentile(x[g == name], [0, 50, 95, 99, 100]))
+    assert not got
+
+
 def test_job_rules(spark):
     m = F.create_map(F.lit("chunk"), F.lit("COMPLETED"), F.lit("ner"), F.lit("FAILED"))
     assert one(spark, jobs.plan_status(m), jobs.ready(m, ["chunk"], ["ner", "absent"]), jobs.ready(m, ["ner"], [])) == ("FAILED", True, False)
