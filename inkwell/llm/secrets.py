@@ -129,4 +129,4 @@ def new_ledger(df: DataFrame) -> str:
 
 def without_last_line(text: Column) -> Column:
     """What a text was before its last line was added; a text of one line is as it was."""
-    return F.when(F.instr(text, "\n") > 0, F.substring_index(text, "\n", F.size(F.split(text, "\n")) - 1)).otherwise(text)
+    return F.regexp_replace(text, r"\n[^\n]*\z", "")

@@ -464,3 +464,40 @@ def test_warc_audit_missing_records(spark):
     lost = leaves.where("not (file = 1 and seq = 2)")
     bad = {(r.file, r.seq) for r in warc.audit(warc.tree(leaves, 4), warc.tree(lost, 4), 4).collect()}
     assert (1, 2) in bad and all(f == 1 for f, _ in bad)
+
+
+def test_secrets_query_scans_changed_texts_only(spark, tmp_path):
+    from inkwell.llm.queries import op7_secrets
+
+    rows = [(1, "token=abcdef1"), (2, "token=abcdef1"), (3, "one line\nsecret: abcdefgh"), (4, None), (5, "x\n"), (None, "one line\nsecret: abcdefgh"), (3, "token=abcdef1")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("path", "content", "blob", "place", "scanned")}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op7_secrets(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.scanned, r.n_assign) for r in got) == [(0, True, 1), (1, False, 1), (2, False, 1), (3, False, 1), (3, True, 1), (4, False, 0), (5, True, 0)]
+
+
+def test_added_secret_rules_against_brute_force():
+    text = "a xoxb-1234567890 eyJabcdefgh1.eyJabcdefgh2.abcdefgh3 ghp_abcdefghijklmnopqrst ftp://me:pass@host -----BEGIN EC PRIVATE KEY----- ghp_short xoxb-12 -----BEGIN PUBLIC KEY-----"
+    got = {(secrets.RULES[r][0], text[s:e]) for s, r, e in secrets.scan_text(text, secrets.compiled())}
+    want = {(k, m.group(0)) for k, p, g, least in secrets.RULES for m in re.finditer(p, text) if len(m.group(g)) >= least}
+    assert got == want and {k for k, _ in got} == {"private_key", "jwt", "vcs_token", "chat_token", "url_login"}
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_decontaminate_rows_without_id_and_repeated_ids(spark, broadcast_rows):
+    item = " ".join(f"w{i}" for i in range(13))
+    rows = [(None, f"x {item} y"), (None, "clean one"), (7, f"{item} and {item}"), (7, "other text"), (7, "other text"), (8, None), (9, item.upper()), (10, "long " * 5000 + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("r1", "r2", "items", "n_words", "_row", "contaminated")})
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item.upper())], "item_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, bench, broadcast_rows=broadcast_rows).collect())
+    assert got == [(-1, 2, 0, 0, False), (-1, 15, 13, 2, True), (7, 2, 0, 0, False), (7, 2, 0, 0, False), (7, 27, 26, 2, True), (8, 0, 0, 0, False), (9, 13, 13, 2, True), (10, 5013, 13, 2, False)]
+    from inkwell.llm.decontaminate import clean
+
+    left = clean(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id or -1 for r in left.collect()) == [-1, 7, 7, 8, 10]
+
+
+def test_line_dedup_keeps_rows_of_one_id_apart(spark):
+    rows = [(i, f"common\nown {i}", f"s{i}") for i in range(10)] + [(1, "own first\nown second", "s1"), (None, "common\r\nx", "s1"), (1, "common\nown 1", "s2"), (30, "y\n" * 20_000 + "common", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("r1", "h1", "pos", "_lines")})
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_removed) for r in line_dedup(docs, min_sites=4).collect())
+    assert got[:5] == [(-1, "x", 1), (0, "own 0", 1), (1, "own 1", 1), (1, "own 1", 1), (1, "own first\nown second", 0)] and got[-1] == (30, "\n".join(["y"] * 20_000), 1)
