@@ -22,6 +22,24 @@ def as_date(v: Column) -> Column:
     return F.coalesce(*[F.try_to_date(F.trim(v), f) for f in DATE_FORMATS])
 
 
+# Words of truth that a field may hold, and dates as they are written.
+TRUE, FALSE = ("true", "yes", "y", "1", "on"), ("false", "no", "n", "0", "off")
+
+
+def coerced(v: Column, kind: Column) -> Column:
+    """The value as its type writes it, or null: booleans as true and false, the first number in the text, dates that are dates, other texts trimmed."""
+    t = F.nullif(F.trim(v), F.lit(""))
+    truth = F.when(F.lower(t).isin(*TRUE), "true").when(F.lower(t).isin(*FALSE), "false")
+    number = F.nullif(F.regexp_extract(F.replace(t, F.lit(","), F.lit("")), r"[-+]?\d+(?:\.\d+)?", 0), F.lit(""))
+    return F.when(kind == "boolean", truth).when(kind == "number", number).when(kind.isin("date", "datetime"), F.when(as_date(t).isNotNull(), t)).otherwise(t)
+
+
+def enum_value(v: Column, values: list[str]) -> Column:
+    """The allowed value that is the same but for case; without any, the text itself."""
+    t = F.nullif(F.trim(v), F.lit(""))
+    return t if not values else F.coalesce(*[F.when(F.lower(t) == x.lower(), F.lit(x)) for x in values])
+
+
 def reason(kind: Column, v: Column) -> Column:
     """null if the value has its type, else a reason code."""
     bad = lambda test, code: F.when(test.isNull(), code)

@@ -47,7 +47,15 @@ def chunk_sliding_window(spark, sf_dir):
     return K.sliding_window(docs(spark, sf_dir)).select("doc_id", "chunk_no", F.md5("text").alias("h"), "n_words")
 
 
-@query()
+# The SQL engine's word ends are those of ASCII, so letters around an abbreviation are named.
+_ABBR = text.ABBREVIATION.removeprefix(r"\b").removesuffix(r"\.")
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_SENT = f"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){_ABBR}\\.', '\\1\\2.' || chr(1), 'g'), '([.!?])\\s+([A-Z0-9"])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), ''), {_BLANK})), lambda x: x <> '')"""
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), i AS (SELECT doc_id, s, unnest(range(0, CAST(greatest(0, ceil((len(s) - 5) / 4.0)) AS BIGINT) * 4 + 1, 4)) AS i FROM s WHERE len(s) > 0),
+c AS (SELECT doc_id, CAST(i / 4 AS INT) AS chunk_no, array_to_string(list_slice(s, i + 1, i + 5), ' ') AS text FROM i)
+SELECT doc_id, chunk_no, text, CAST(len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS INT) AS n_words FROM c""")
 def chunk_sentence_based(spark, sf_dir):
     return K.sentence_based(docs(spark, sf_dir)).select("doc_id", "chunk_no", "text", "n_words")
 
@@ -57,24 +65,29 @@ def chunk_fixed_overlap(spark, sf_dir):
     return K.fixed_overlap(docs(spark, sf_dir))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i, t, len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) AS w FROM (SELECT doc_id, unnest(range(0, len(ps))) AS no, trim(unnest(ps)) AS t FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n|[\\r\\n]+') AS ps FROM documents)) WHERE t <> ''),
+b AS (SELECT doc_id, i, 0 AS batch, 1 AS n, w AS words FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN n >= 3 OR words + p.w > 150 THEN batch + 1 ELSE batch END, CASE WHEN n >= 3 OR words + p.w > 150 THEN 1 ELSE n + 1 END, CASE WHEN n >= 3 OR words + p.w > 150 THEN p.w ELSE words + p.w END FROM b JOIN p ON p.doc_id = b.doc_id AND p.i = b.i + 1),
+c AS (SELECT doc_id, CAST(batch AS INT) AS chunk_no, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text, CAST(sum(w) AS INT) AS n_words FROM b JOIN p USING (doc_id, i) GROUP BY 1, 2) SELECT * FROM c""")
 def chunk_paragraph_based(spark, sf_dir):
     return K.paragraph_based(docs(spark, sf_dir)).select("doc_id", "chunk_no", "text", "n_words")
 
 
 @query()
 def chunk_section_based(spark, sf_dir):
-    return K.section_based(K.blocks_of(docs(spark, sf_dir)))
+    return K.section_based(K.sections_of_text(docs(spark, sf_dir)))
 
 
 @query()
 def chunk_hierarchical(spark, sf_dir):
-    return K.hierarchical(K.blocks_of(docs(spark, sf_dir)))
+    return K.hierarchical(K.sections_of_text(docs(spark, sf_dir)))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, no, t, len(string_split(regexp_replace(t, '\\s+', ' ', 'g'), ' ')) <= 6 AND NOT regexp_matches(t, '[.!?,;:]$') AS h FROM (SELECT doc_id, unnest(range(0, len(ls))) AS no, trim(unnest(ls)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE t <> ''),
+g AS (SELECT *, sum(CAST(h AS INT)) OVER (PARTITION BY doc_id ORDER BY no) AS grp FROM l), b AS (SELECT *, max(CASE WHEN h THEN t END) OVER (PARTITION BY doc_id, grp) AS path FROM g),
+r AS (SELECT doc_id, coalesce(path, '') AS section_path, t AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS sec, row_number() OVER (PARTITION BY doc_id, grp ORDER BY no) - 1 AS part FROM b WHERE NOT h)
+SELECT doc_id, CAST(sec * 10000 + part AS INT) AS chunk_no, section_path, text FROM r""")
 def chunk_semantic_hierarchy(spark, sf_dir):
-    return K.semantic_hierarchy(K.blocks_of(docs(spark, sf_dir)))
+    return K.semantic_hierarchy(K.sections_of_text(docs(spark, sf_dir))).select("doc_id", "chunk_no", "section_path", "text")
 
 
 @query("""SELECT doc_id, count(*) AS n, CAST(sum(length(p)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[\\r\\n]+'))) AS p FROM documents) WHERE p <> '' GROUP BY 1""")
