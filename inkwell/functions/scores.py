@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """x between the bounds; a null becomes the upper one, so tell nulls apart before."""
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
 def distance_to_similarity(distance: Column) -> Column:
-    return clamp(1 - distance)
+    """1 - distance between 0 and 1; null stays null."""
+    return F.when(distance.isNotNull(), clamp(1 - distance))
 
 
 def min_max(x: Column, *by: str) -> Column:
@@ -29,7 +31,7 @@ def alpha_hybrid(vector: Column, bm25: Column, alpha: float) -> Column:
 
 def result_score(score: Column, distance: Column, position: Column) -> Column:
     """The score, else what the distance gives, else a value that falls with the position."""
-    return F.coalesce(score, clamp(1 - distance), F.greatest(F.lit(0.01), 1 - 0.025 * position))
+    return F.coalesce(score, distance_to_similarity(distance), F.greatest(F.lit(0.01), 1 - 0.025 * position))
 
 
 #: Weights of the confidence parts, levels from below.

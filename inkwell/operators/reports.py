@@ -54,7 +54,9 @@ def supporting_blocks(blocks: DataFrame, wanted: str = "needles") -> DataFrame:
 
 def pages_needing_ocr(blocks: DataFrame, page_counts: DataFrame) -> DataFrame:
     """blocks (doc_id, page, text), page_counts (doc_id, n): the pages from 1 to n whose joined text isn't usable."""
-    joined = blocks.groupBy("doc_id", "page").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    order = "line" if "line" in blocks.columns else "text"
+    parts = F.array_sort(F.collect_list(F.struct(order, F.col("text").alias("t"))))
+    joined = blocks.groupBy("doc_id", "page").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
     good = joined.where(T.usable_native_text("text")).select("doc_id", "page")
     return page_counts.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page")).join(good, ["doc_id", "page"], "left_anti")
 
@@ -122,3 +124,17 @@ def title_accuracy(query: Column, title: Column) -> Column:
     have = F.regexp_extract_all(F.lower(title), F.lit("[a-z0-9]+"), F.lit(0))
     share = F.size(F.array_intersect(q, have)) / F.greatest(F.size(q), F.lit(1))
     return F.when(F.size(q) == 0, 0.0).when(F.contains(F.lower(title), F.lower(query)), 100.0).when(share == 1, 85.0).otherwise(F.bround(share * 80, 0))
+
+
+def confidence_distribution(rows: DataFrame) -> DataFrame:
+    """rows (query_id, confidence): how many are of each level, none left out, with the mean and the highest confidence."""
+    band = lambda low, high: F.count_if((F.col("confidence") >= low) & (F.col("confidence") < high))
+    return rows.groupBy("query_id").agg(
+        F.count_if(F.col("confidence") >= 0.85).alias("very_high"), band(0.70, 0.85).alias("high"), band(0.50, 0.70).alias("medium"), F.count_if(F.col("confidence") < 0.50).alias("low"),
+        F.avg("confidence").alias("avg_confidence"), F.max("confidence").alias("max_confidence"), F.min("confidence").alias("min_confidence"),
+    )
+
+
+def page_range(blocks: DataFrame, by: str = "chunk_id") -> DataFrame:
+    """First and last page and line of the blocks of a chunk; what isn't known stays out."""
+    return blocks.groupBy(by).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min(F.coalesce("line_start", "line_number")).alias("line_start"), F.max(F.coalesce("line_end", "line_start", "line_number")).alias("line_end"))

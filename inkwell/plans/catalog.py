@@ -69,12 +69,19 @@ def match_percentages(spark, sf_dir):
     return S.match_percentages(table(spark, sf_dir, "embeddings"), 0.4, group="label")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a, b FROM ({_PAIR}) WHERE s >= 0.4), n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS r FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+e AS MATERIALIZED (SELECT n.id, r, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS before FROM n LEFT JOIN p ON p.b = n.id GROUP BY 1, 2),
+k AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT e.r, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, id) END FROM k JOIN e ON e.r = k.r + 1)
+SELECT id FROM n WHERE NOT list_contains((SELECT kept FROM k ORDER BY r DESC LIMIT 1), id)""")
 def greedy_near_duplicates(spark, sf_dir):
     return S.greedy_near_duplicates(S.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a, b FROM ({_PAIR}) WHERE s >= 0.45 AND la <> lb), y AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT a AS id, a AS o FROM y UNION SELECT r.id, y.b FROM reach r JOIN y ON r.o = y.a),
+c AS (SELECT id, min(o) AS root FROM reach GROUP BY 1), u AS (SELECT root, id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM c JOIN embeddings ON vec_id = id), m AS (SELECT root, i, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY 1, 2),
+l AS (SELECT root, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), d AS (SELECT u.root, id, label, sum(x * m) / CASE WHEN any_value(n) > 0 THEN any_value(n) ELSE 1 END AS s FROM u JOIN m USING (root, i) JOIN l USING (root) GROUP BY 1, 2, 3),
+g AS (SELECT root, id, label FROM d WHERE s >= 0.45), k AS (SELECT root, row_number() OVER (ORDER BY root) AS cluster_id FROM g GROUP BY root HAVING count(DISTINCT label) >= 2)
+SELECT id, CAST(cluster_id AS INT) AS cluster_id FROM g JOIN k USING (root)""")
 def cross_document_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return S.clusters(S.similar_pairs(e, 0.45, group="label"), e, 0.45)

@@ -129,10 +129,18 @@ def evidence_sufficiency(spark, sf_dir):
     return R.evidence_is_sufficient(rows, 60.0, 2)
 
 
-@query()
+_SET = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) <= 20),
+w AS (SELECT query_id, doc_id, {_SET.format('b.text')} AS q, {_SET.format('d.text')} AS t FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
+s AS (SELECT query_id, doc_id AS key, len(list_filter(q, lambda x: list_contains(t, x))) / greatest(len(q), 1) AS share FROM w), l AS (SELECT query_id, key, round(ln((share + 0.01) / (1.01 - share)), 6) AS rerank_score FROM s)
+SELECT query_id, key, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, key) AS INT) AS rank FROM l QUALIFY rank <= 10""")
 def reranked_search(spark, sf_dir):
     """The 20 best BM25 rows of each query, scored again by a vectorised scorer and cut to 10."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    best = R.bm25(d, asked(spark, sf_dir), 20).join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    d, b = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    best = R.top(R.bm25(d, asked(spark, sf_dir), None).withColumn("bm25", F.round("bm25", 6)), "bm25", "doc_id", 20)
+    best = best.join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     rows = best.select("query_id", F.col("doc_id").alias("key"), "query", "text", F.col("bm25").alias("score"))
-    return R.rerank(rows, R.overlap_scorer).select("query_id", "key", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+    scored = R.rerank(rows, R.overlap_scorer, after=20).drop("rank").withColumn("rerank_score", F.round("rerank_score", 6))
+    return R.top(scored, "rerank_score", "key", 10).select("query_id", "key", "rerank_score", "rank")
