@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.detect import found
 from inkwell.functions.scores import clamp
-from inkwell.functions.text import col
+from inkwell.functions.text import col, held
 
 
 def highlights(text: Column | str, terms: Column | str) -> Column:
@@ -129,16 +129,28 @@ def complexity(text: Column | str, entities: Column | None = None) -> dict[str,
     """complexity_score and level, and the densities it is made of. entities: how many are known already (0: they are estimated)."""
     t = F.coalesce(col(text), F.lit(""))
     r = readability(t)
-    words, sentences = F.greatest(r["n_words"], F.lit(1)), F.greatest(r["n_sentences"], F.lit(1))
     some = lambda ps: F.size(F.array_distinct(F.flatten(F.array(*[found(t, p) for p in ps]))))
     many = lambda *ps: sum((F.size(found(t, p)) for p in ps), F.lit(0))
-    of_words = lambda n: F.when(r["n_words"] <= 0, 0.0).otherwise(clamp(n / words))
-    technical = of_words(some(TECHNICAL))
-    guessed = some(ENTITIES)
-    entity = of_words(guessed if entities is None else F.when(entities > 0, entities).otherwise(guessed))
-    density = {"lists": clamp(many(BULLETS) / sentences), "tables": clamp(many(*TABLES) / sentences), "equations": clamp(many(EQUATIONS) / words), "code": clamp(many(*CODE) / sentences)}
-    structural = clamp(sum((density[k] * w for k, w in STRUCTURE.items()), F.lit(0.0)))
-    w = COMPLEXITY
-    score = clamp(r["complexity"] * w["readability"] + technical * w["technical"] + entity * w["entity"] + structural * w["structural"])
-    level = F.when(score <= COMPLEXITY_LEVELS[0], "Low").when(score >= COMPLEXITY_LEVELS[1], "High").otherwise("Medium")
-    return {"complexity_score": score, "complexity_level": level, "technical_density": technical, "entity_density": entity, "list_density": density["lists"], "table_density": density["tables"], "structural_density": structural}
+    parts = {
+        "words": r["n_words"], "sentences": r["n_sentences"], "hard": r["complexity"], "technical": some(TECHNICAL), "guessed": some(ENTITIES), "known": F.coalesce(entities, F.lit(0)) if entities is not None else F.lit(0),
+        "lists": many(BULLETS), "tables": many(*TABLES), "equations": many(EQUATIONS), "code": many(*CODE),
+    }
+
+    def densities(c: Column) -> Column:
+        words, sentences = F.greatest(c["words"], F.lit(1)), F.greatest(c["sentences"], F.lit(1))
+        of_words = lambda n: F.when(c["words"] <= 0, 0.0).otherwise(clamp(n / words))
+        entity = of_words(F.when(c["known"] > 0, c["known"]).otherwise(c["guessed"]))
+        d = {"hard": c["hard"], "technical": of_words(c["technical"]), "entity": entity, "lists": clamp(c["lists"] / sentences), "tables": clamp(c["tables"] / sentences), "equations": clamp(c["equations"] / words), "code": clamp(c["code"] / sentences)}
+        return F.struct(*[v.cast("double").alias(k) for k, v in d.items()])
+
+    def scored(d: Column) -> Column:
+        structural = clamp(sum((d[k] * w for k, w in STRUCTURE.items()), F.lit(0.0)))
+        w = COMPLEXITY
+        score = clamp(d["hard"] * w["readability"] + d["technical"] * w["technical"] + d["entity"] * w["entity"] + structural * w["structural"])
+        return F.struct(score.alias("score"), structural.alias("structural"), d.alias("d"))
+
+    # Each step is held once: the counts, the densities made of them, and the score.
+    s = held(held(held(F.struct(*[v.alias(k) for k, v in parts.items()]), densities), scored), lambda x: x)
+    level = F.when(s["score"] <= COMPLEXITY_LEVELS[0], "Low").when(s["score"] >= COMPLEXITY_LEVELS[1], "High").otherwise("Medium")
+    d = s["d"]
+    return {"complexity_score": s["score"], "complexity_level": level, "technical_density": d["technical"], "entity_density": d["entity"], "list_density": d["lists"], "table_density": d["tables"], "structural_density": s["structural"]}

@@ -133,8 +133,8 @@ _SET = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) <= 20),
-w AS (SELECT query_id, doc_id, {_SET.format('b.text')} AS q, {_SET.format('d.text')} AS t FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
-s AS (SELECT query_id, doc_id AS key, len(list_filter(q, lambda x: list_contains(t, x))) / greatest(len(q), 1) AS share FROM w), l AS (SELECT query_id, key, round(ln((share + 0.01) / (1.01 - share)), 6) AS rerank_score FROM s)
+ws AS (SELECT query_id, doc_id, {_SET.format('b.text')} AS q, {_SET.format('d.text')} AS t FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
+s AS (SELECT query_id, doc_id AS key, len(list_filter(q, lambda x: list_contains(t, x))) / greatest(len(q), 1) AS share FROM ws), l AS (SELECT query_id, key, round(ln((share + 0.01) / (1.01 - share)), 6) AS rerank_score FROM s)
 SELECT query_id, key, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, key) AS INT) AS rank FROM l QUALIFY rank <= 10""")
 def reranked_search(spark, sf_dir):
     """The 20 best BM25 rows of each query, scored again by a vectorised scorer and cut to 10."""
