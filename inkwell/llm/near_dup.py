@@ -13,8 +13,8 @@ Where the other members of a bucket are then still in several classes, all their
 exactly, in tiles of bounded size; so every pair of a bucket is in one class or refuted.
 
 Null texts are classes of their own. Texts without words, such as empty ones, are a class where they are equal. Rows
-that repeat an id give one result row; where their texts differ, the id has the smallest class of theirs. Rows without an
-id are left out. Very long texts are sketched whole, one at a time. Only doc_id and text are read.
+that repeat an id give one result row; where their texts differ, they are in one class all the same, since the id is. Rows
+without an id are left out. Very long texts are sketched whole, one at a time. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -231,10 +231,13 @@ def near_dup(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
         links = links.unionByName(more)
         labels = components(links)
     rest = written(remaining(members, buckets, labels, docs, shingle, threshold), "links", narrow=True)
+    # An id with several texts links the representatives of all of them.
+    rep = written(marks.select("doc_id", "d1", "d2").distinct().join(same, ["d1", "d2"]).select("doc_id", "rep"), "reps", narrow=True)
+    several = rep.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("doc_id", "b")
+    rest = rest.unionByName(written(rep.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "links", narrow=True))
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
 
-    rep = marks.select("doc_id", "d1", "d2").distinct().join(same, ["d1", "d2"]).select("doc_id", "rep")
     classes = rep.join(labels.toDF("rep", "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     null_text = docs.where("text is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
     classes = classes.unionByName(null_text).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -501,3 +501,155 @@ def test_line_dedup_keeps_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("r1", "h1", "pos", "_lines")})
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_removed) for r in line_dedup(docs, min_sites=4).collect())
     assert got[:5] == [(-1, "x", 1), (0, "own 0", 1), (1, "own 1", 1), (1, "own 1", 1), (1, "own first\nown second", 0)] and got[-1] == (30, "\n".join(["y"] * 20_000), 1)
+
+
+def every_run(rows, min_sentences=2, min_words=25):
+    """Brute force: all runs of the pieces of all rows; what is covered by an occurrence that isn't its run's first."""
+    from inkwell.llm.shingles import WordHashes
+    from inkwell.llm.substring_dedup import _UNIT, cut
+
+    known, seen, covered, pieces = WordHashes(), {}, {}, {}
+    for i, text in sorted((i, t) for i, t in rows if t is not None):
+        pieces[i], size, _ = cut(text, known)
+        words = [tuple(_UNIT.findall(fold(p))) for p in pieces[i]]
+        full = [k for k, w in enumerate(words) if w]
+        for a in range(len(full)):
+            run = ()
+            for b in range(a, len(full)):
+                run += words[full[b]]
+                if b - a + 1 >= min_sentences and len(run) >= min_words:
+                    first = seen.setdefault(run, (i, full[a]))
+                    if first != (i, full[a]):
+                        covered.setdefault(i, set()).update(range(full[a], full[b] + 1))
+    return {i: "".join(p for k, p in enumerate(ps) if k not in covered.get(i, set())) for i, ps in pieces.items()}
+
+
+def test_substring_dedup_equals_every_run(spark):
+    rng = random.Random(21)
+    parts = [prose(rng.randint(8, 70), rng) + rng.choice([". ", "! ", "\n", " "]) for _ in range(14)]
+    rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.6 else prose(rng.randint(3, 30), rng) + ". " for _ in range(rng.randint(1, 7)))) for i in range(40)]
+    rows += [(50, rows[0][1] * 2), (51, None), (52, ""), (53, "... !!! \n\n ... "), (54, rows[3][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("t", "start", "removed", "h1")})
+    got = {r.doc_id: r.text for r in substring_dedup(docs).collect()}
+    want = every_run(rows) | {51: None}
+    assert got == want and sum(a != b for (_, a), b in zip(rows, [want[i] for i, _ in rows])) > 10
+
+
+def test_substring_dedup_rows_of_one_id(spark):
+    rng = random.Random(22)
+    a, b = prose(80, rng) + ".", prose(80, rng) + "."
+    rows = [(1, a), (1, b), (1, a), (None, a), (2, b + " " + prose(30, rng)), (3, "x. " * 3000 + a)]
+    got = sorted(((r.doc_id or 0), r.n_removed > 0, len(r.text)) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(g[0], g[1]) for g in got] == [(0, False), (1, False), (1, False), (1, False), (2, True), (3, True)]
+
+
+def test_topk_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(40, 32))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    x = centers[np.arange(2000) % 40] + 0.01 * rng.normal(size=(2000, 32))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counts = []
+    got = {(r.query_id, r.vec_id): r.score for r in topk(quantized(df), F.col("vec_id") % 20 == 0, k=10, block=25, query_block=20, counts=counts).collect()}
+    q = np.floor(64 * x).astype(np.int64)
+    for i in range(0, 2000, 20):
+        s = q @ q[i]
+        best = sorted((-int(s[j]), j) for j in range(2000) if j != i)[:10]
+        assert all(got[(i, j)] == -m for m, j in best)
+    assert len(got) == 1000 and counts[0] < counts[1] / 2
+
+
+def test_cover_tree_levels_and_pruning():
+    from inkwell.llm import topk as T
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 16)) * 100
+    x = np.floor(centers[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 16)))
+    t = T.build(x, 32)
+    p = x[t["order"]]
+    for i in range(len(t["from"])):
+        inside = p[t["from"][i] : t["to"][i]]
+        assert np.sqrt(((inside - t["center"][i]) ** 2).sum(1)).max() <= t["radius"][i] + 1e-9
+        kids, j = [], i + 1
+        while j < t["next"][i]:
+            kids.append(j)
+            j = t["next"][j]
+        if len(kids) > 1:  # the centers of a level are more than its scale apart, and cover what is theirs within it
+            c = t["center"][kids]
+            d = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.eye(len(kids)) * 1e9
+            assert d.min() > t["scale"][i] and max(t["radius"][k] for k in kids) <= t["scale"][i] + 1e-9
+    ids, counts = np.arange(1500), {}
+    q = ids % 10 == 0
+    a, b, s = T.search((ids[q], x[q], T.build(x[q], 16)), (ids, x, t), 5, None, counts)
+    assert counts["made"] < 0.5 * counts["all"] and len(a) == 5 * q.sum()
+    for i in (0, 70):
+        dots = x @ x[i]
+        assert sorted(s[a == i], reverse=True) == sorted(np.delete(dots, i), reverse=True)[:5]
+
+
+def test_packing_window_count_rises():
+    rests = [(i, 0, 1500) for i in range(4)]  # three windows would hold all tokens, no two rests fit one window
+    assert len(packing.balanced([r[2] for r in rests], 2048)) == 4
+    full, rest = packing.pack(rests)
+    assert [sum(p[2] for p in w) for w in full] == [2048, 2048] and sum(p[2] for p in rest) == 6000 - 4096
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 2047) for _ in range(300)]
+    parts = packing.balanced(sizes, 2048)
+    assert max(sum(sizes[i] for i in p) for p in parts) <= 2048 and len(parts) >= -(-sum(sizes) // 2048)
+    tails = packing.powers([(0, 0, 700), (1, 5, 3)])
+    assert [sum(p[2] for p in w) for w in tails] == [512, 128, 32, 16, 8, 4, 2, 1]
+
+
+def test_packing_repeated_rows_and_many_short_texts(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "word " * 30_000)] + [(10 + i, "") for i in range(3000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer_file()).collect()
+    assert len([r for r in got if r.doc_id == 1 and r.start == 0]) == 2 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    windows = {}
+    for r in got:
+        windows[r.sequence_id] = windows.get(r.sequence_id, 0) + r.length
+    assert sorted(n for n in windows.values() if n < 2048) == sorted({n for n in windows.values() if n < 2048})  # each short length once
+
+
+def test_near_dup_families_on_templates(spark):
+    # Families of 100 texts that are 0.78 alike, two of them in the middle 0.81: all such pairs must be linked, and nothing else.
+    rows = []
+    for f in range(8):
+        for i in range(100):
+            own = [f"o{f}x{i}y{j}" for j in range(70)]
+            if i in (50, 51):
+                own[:10] = [f"s{f}y{j}" for j in range(10)]
+            rows.append((f * 100 + i, " ".join([f"t{f}x{j}" for j in range(500)] + own)))
+    got = {r.doc_id: r.class_id for r in near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: i - 1 if i % 100 == 51 else i for i in got}
+    assert got == jaccard_classes(rows[:100]) | {i: c for i, c in got.items() if i >= 100} and got == want
+
+
+def test_near_dup_repeated_ids(spark):
+    rng = random.Random(31)
+    a, b = prose(60, rng), prose(60, rng)
+    rows = [(1, a), (2, b), (2, a), (2, a), (3, b), (None, a), (4, "word " * 200_000), (7, prose(50, rng)), (8, a), (8, prose(50, random.Random(1))), (9, prose(50, random.Random(1)))]
+    got = sorted((r.doc_id, r.class_id, r.keep) for r in near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (7, 7, True), (8, 1, False), (9, 1, False)]
+
+
+def test_warc_replica_has_its_own_layout(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i + 5)) for i in range(200)] + [(300, "u", "y" * 200_000)], "page_id long, url string, html string").withColumn("damaged", F.lit(1))
+    hurt = F.when(F.col("page_id") == 60, F.expr("left(html, length(html) - 3)")).when(F.col("page_id") == 61, F.translate("html", "x", "z")).otherwise(F.col("html"))
+    got = warc.fixity_report(pages, hurt, file_bytes=6000).collect()
+    by = {r.page_id: r for r in got}
+    assert {r.page_id for r in got if r.damaged} == {60, 61}
+    # behind the shortened record of its file everything is whole but lies elsewhere
+    assert {r.page_id for r in got if r.shifted} == {r.page_id for r in got if r.file == by[60].file and r.seq > by[60].seq} - {61}
+
+
+def test_classifiers_on_repeated_and_long_rows(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(40, rng) if i % 2 else prose(40, rng).upper() + " snortface!!") for i in range(200)]
+    rows += [(1, rows[1][1]), (1, "other " * 30), (None, rows[0][1]), (900, "b " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("y", "_n", "_c", "label", "predicted")})
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(200)] + [(1, 1, 0), (900, 1, 0)], "doc_id long, quality int, toxic int")
+    q, t = quality.quality(docs, labels).collect(), toxicity.toxicity(docs, labels).collect()
+    assert len(q) == len(t) == len(rows)
+    assert len({r.score for r in q if r.doc_id == 1}) == 2 and len({r.score for r in t if r.doc_id == 1}) >= 1
+    got = labelled.sample(docs, labels, "quality", F.lit(True), 50, longest=1000, chars=5000)
+    assert got["doc_id"].is_unique and 900 not in set(got["doc_id"]) and all(got[got["y"] == c]["text"].str.len().sum() <= 5000 for c in (0, 1))

@@ -67,3 +67,10 @@ def test_nulls_and_empty(spark, sf_dir):
         n = stage(spark, docs, sf_dir).count()
         assert n >= 3 or name in ("quality", "packing")
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_repeated_rows_leave_one_document(spark, sf_dir):
+    a, b = "one two three four five six seven", "entirely other words stand here now indeed"
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a, "en", "t", 1), (3, b, "en", "s", 1), (3, b, "de", "s", 1), (None, b, "en", "s", 1), (4, None, "en", "s", 0), (4, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 3, 4]
