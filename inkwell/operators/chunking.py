@@ -197,19 +197,24 @@ def _packed(sections: DataFrame, size: int, overlap: int, min_words: int) -> Dat
     return out.select("doc_id", (F.col("section_no") * 10_000 + F.col("part")).alias("chunk_no"), "section_path", "text", "n_words")
 
 
-def section_based(found: DataFrame, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
-    """found: sections. Chunks never cross a section; chunk_no orders them in their document."""
-    return _packed(found, size, overlap, min_words)
+def _found(rows: DataFrame) -> DataFrame:
+    """Sections as they are; blocks as their sections."""
+    return rows if "texts" in rows.columns else sections(rows)
 
 
-def hierarchical(found: DataFrame, max_depth: int = 2, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
+def section_based(rows: DataFrame, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
+    """rows: sections, or blocks. Chunks never cross a section; chunk_no orders them in their document."""
+    return _packed(_found(rows), size, overlap, min_words)
+
+
+def hierarchical(rows: DataFrame, max_depth: int = 2, size: int = 150, overlap: int = 2, min_words: int = 60) -> DataFrame:
     cut = F.array_join(F.slice(F.split("section_path", " > "), 1, max_depth), " > ")
-    return _packed(found.withColumn("section_path", cut), size, overlap, min_words)
+    return _packed(_found(rows).withColumn("section_path", cut), size, overlap, min_words)
 
 
-def semantic_hierarchy(found: DataFrame) -> DataFrame:
+def semantic_hierarchy(rows: DataFrame) -> DataFrame:
     """One chunk for each element under its heading path, with an id that its place and text give."""
-    rows = found.select("doc_id", "section_no", "section_path", F.posexplode("texts").alias("part", "text"))
+    rows = _found(rows).select("doc_id", "section_no", "section_path", F.posexplode("texts").alias("part", "text"))
     chunk_id = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "section_path", F.col("section_no").cast("string"), F.col("part").cast("string"), "text"), 256)
     return rows.select("doc_id", (F.col("section_no") * 10_000 + F.col("part")).alias("chunk_no"), "section_path", "text", T.token_count("text").alias("n_words"), chunk_id.alias("chunk_id"))
 
