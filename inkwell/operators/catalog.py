@@ -53,8 +53,8 @@ def insert_new(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> Dat
 
 def mark_duplicates(rows: DataFrame, key: str = "doc_id", body: str = "text", min_words: int = 10) -> DataFrame:
     """Short texts are duplicates; of equal normalised texts all but the first are. Keeps the first by key."""
-    norm = text.fingerprint_text(body)
-    t = rows.select(key, F.md5(norm).alias("_h"), F.when(norm == "", 0).otherwise(F.size(F.split(norm, " "))).alias("n_words"))
+    said = text.held(text.fingerprint_text(body), lambda n: F.struct(F.md5(n).alias("h"), F.when(n == "", 0).otherwise(F.size(F.split(n, " "))).alias("n")))
+    t = rows.select(key, said.alias("s")).select(key, F.col("s.h").alias("_h"), F.col("s.n").alias("n_words"))
     first = t.where(F.col("n_words") >= min_words).groupBy("_h").agg(F.min(key).alias("_first"))
     return t.join(first, "_h", "left").select(key, "n_words", ((F.col("n_words") < min_words) | (F.col(key) != F.col("_first"))).alias("is_duplicate"))
 

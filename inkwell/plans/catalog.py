@@ -8,7 +8,7 @@ from inkwell.functions import text
 from inkwell.operators import catalog as C
 from inkwell.operators import similarity as S
 from inkwell.plans.registry import query
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 
 _FP = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -38,7 +38,7 @@ def folder_assignment(spark, sf_dir):
 SELECT a.doc_id AS document_id, min(b.doc_id) AS duplicate_of FROM h a JOIN h b ON a.source = b.source AND a.doc_id <> b.doc_id AND (a.c = b.c OR a.t = b.t) WHERE b.lang <> 'fr' GROUP BY 1""")
 def find_duplicates(spark, sf_dir):
     """Duplicates within the source; French rows stand for a status that blocks nobody."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source", F.col("lang").alias("status"), F.sha2("text", 256).alias("content_hash"), text.text_hash("text").alias("content_text_hash"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(F.col("doc_id").alias("document_id"), "source", F.col("lang").alias("status"), F.sha2("text", 256).alias("content_hash"), text.text_hash("text").alias("content_text_hash"))
     return C.find_duplicates(d, d, ["source"], ["fr"])
 
 
@@ -46,7 +46,7 @@ def find_duplicates(spark, sf_dir):
 f AS (SELECT h, min(doc_id) AS first FROM h WHERE n_words >= 10 GROUP BY 1)
 SELECT doc_id, n_words, n_words < 10 OR doc_id <> first AS is_duplicate FROM h LEFT JOIN f USING (h)""")
 def mark_duplicates(spark, sf_dir):
-    return C.mark_duplicates(table(spark, sf_dir, "documents")).withColumn("n_words", F.col("n_words").cast("long"))
+    return C.mark_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("n_words", F.col("n_words").cast("long"))
 
 
 @query("SELECT item_id FROM benchmark WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark WHERE item_id % 2 = 0)")
