@@ -10,11 +10,14 @@ from inkwell.llm.decontaminate import decontaminate
 from inkwell.llm.line_dedup import line_dedup
 from inkwell.llm.near_dup import near_dup
 from inkwell.llm.packing import pack_documents
+from inkwell.llm.phrases import phrases
+from inkwell.llm.pieces import fingerprints
 from inkwell.llm.quality import quality
 from inkwell.llm.substring_dedup import substring_dedup
 from inkwell.llm.topk import quantized, topk
 from inkwell.llm.toxicity import toxicity
 from inkwell.llm.warc import fixity_report
+from inkwell.llm.whitening import whiten
 from inkwell.sources.tables import table
 
 
@@ -25,6 +28,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    """The public merge-type piece model that op11 encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +81,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_report(table(spark, sf_dir, "pages"), hurt)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"), piece_file())
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_line_dedup, op3_quality, op4_near_dup, op5_topk, op6_substring_dedup, op7_secrets, op8_packing, op9_toxicity, op10_warc)
+    for f in (
+        op1_decontaminate, op2_line_dedup, op3_quality, op4_near_dup, op5_topk, op6_substring_dedup, op7_secrets, op8_packing, op9_toxicity, op10_warc, op11_pieces, op12_whitening, op13_phrases,
+    )
 }

@@ -91,4 +91,31 @@ root AS (SELECT file, h FROM {_level(_level(_level(_level("l0"))))})
 SELECT page_id, file, seq, start, CAST(length AS BIGINT) AS length, digest, h AS root, digest <> digest2 AS damaged, digest = digest2 AND start <> start2 AS shifted FROM o JOIN root USING (file)
 """
 
-ORACLES = {"op1_decontaminate": _OP1, "op2_line_dedup": _OP2, "op4_near_dup": _OP4, "op5_topk": _OP5, "op10_warc": _OP10}
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+g AS MATERIALIZED (
+  SELECT lang, size, array_to_string(list_slice(w, s + 1, s + size), ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(0, len(w) - size + 1)) AS s FROM p, (VALUES (1), (2), (3), (4)) AS t(size) WHERE len(w) >= size)
+),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, size), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+),
+heads AS MATERIALIZED (SELECT parts.*, f.f AS l FROM parts JOIN f ON f.lang = parts.lang AND f.phrase = head),
+cut AS MATERIALIZED (
+  SELECT heads.lang, heads.phrase, a, k, l, f.f AS r, CAST(a AS HUGEINT) * 2000000 // (CAST(l AS HUGEINT) + CAST(f.f AS HUGEINT)) AS score
+  FROM heads JOIN f ON f.lang = heads.lang AND f.phrase = tail
+),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, a AS longer, array_to_string(list_slice(w, s + 1, s + m), ' ') AS phrase FROM (SELECT *, unnest(range(0, size - m + 1)) AS s FROM c, (VALUES (2), (3)) AS t(m) WHERE m < size)),
+gone AS (SELECT DISTINCT worst.lang, worst.phrase FROM worst JOIN inner_of AS i ON i.lang = worst.lang AND i.phrase = worst.phrase WHERE 100 * i.longer >= 80 * worst.a),
+kept AS (SELECT worst.* FROM worst LEFT JOIN gone USING (lang, phrase) WHERE gone.phrase IS NULL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op1_decontaminate": _OP1, "op2_line_dedup": _OP2, "op4_near_dup": _OP4, "op5_topk": _OP5, "op10_warc": _OP10, "op13_phrases": _OP13}
