@@ -209,3 +209,10 @@ def reviewer_overrides(documents: DataFrame, queue: DataFrame) -> DataFrame:
     said = F.when(F.col("status") == "APPROVED", "ALLOW").when(F.col("status") == "APPROVED_MASKED", "MASK_AND_ALLOW").when(F.col("status") == "REJECTED", "BLOCK")
     first = queue.groupBy("document_id").agg(F.min_by(said, "review_id").alias("override"))
     return documents.select("document_id").join(first, "document_id", "left")
+
+
+def census(docs: DataFrame, key: str = "doc_id", found: str = "found") -> DataFrame:
+    """docs with status and detections: documents and matches by status, kind and severity; documents without any have null kinds."""
+    m = docs.select(key, "status", F.explode_outer(found).alias("m")).select(key, "status", "m.kind", "m.severity", F.col("m.value").isNotNull().cast("int").alias("one"))
+    each = m.groupBy("status", "kind", "severity", key).agg(F.sum("one").alias("one"))
+    return each.groupBy("status", "kind", "severity").agg(F.count(F.lit(1)).alias("documents"), F.sum("one").alias("matches"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import detect as D
 from inkwell.operators import policy as P
 from inkwell.plans.registry import query
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 
 _N = "lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')"
 #: One text for each detector and for what it must leave alone, in expressions that Spark and the SQL engine read alike.
@@ -89,11 +89,19 @@ def masked_documents(spark, sf_dir):
     return texts(spark, sf_dir).select("k", D.mask_text("text").alias("text"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS without_text FROM documents")
+_CORPUS = f"t AS (SELECT doc_id AS k, concat(coalesce(text, ''), chr(10), coalesce({_TEXT.replace('o_orderkey', 'doc_id')}, '')) AS text FROM documents)"
+
+
+@query(f"""WITH {_CORPUS}, {_scan_sql(D.DETECTORS)},
+a AS (SELECT k, coalesce(bool_or(kind IN ('API Key', 'Private Key')), false) OR (coalesce(bool_or(kind = 'PHI/medical record'), false) AND coalesce(bool_or(lower(v) LIKE '%patient%'), false)) AS critical,
+  coalesce(bool_or(severity IN ('high', 'medium')), false) AS review FROM t LEFT JOIN s USING (k) GROUP BY ALL),
+d AS (SELECT k, CASE WHEN critical OR review THEN 'human_review' ELSE 'allow' END AS status FROM a)
+SELECT status, kind, severity, count(DISTINCT k) AS documents, count(v) AS matches FROM d LEFT JOIN s USING (k) GROUP BY ALL""")
 def scanned_corpus(spark, sf_dir):
-    """Every document is decided, the clean ones too."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").isNull().alias("none"), D.scan("text").alias("found"))
-    return P.decided(d).where("status is not null").agg(F.count(F.lit(1)).alias("n"), F.count_if("none").alias("without_text"))
+    """The upload scan over all documents, each with one planted line: documents and matches by decision, kind and severity."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce(F.expr(_TEXT.replace("o_orderkey", "doc_id")), F.lit("")))
+    d = P.decided(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("k"), D.scan(text).alias("found"))).select("k", "status", "found")
+    return P.census(d, "k")
 
 
 # Inputs of the decision, from the order: document type, topic action, similarity, keyword action, moderation.

@@ -85,7 +85,7 @@ def chunk_hierarchical(spark, sf_dir):
 @query("""WITH l AS (SELECT doc_id, no, t, len(string_split(regexp_replace(t, '\\s+', ' ', 'g'), ' ')) <= 6 AND NOT regexp_matches(t, '[.!?,;:]$') AS h FROM (SELECT doc_id, unnest(range(0, len(ls))) AS no, trim(unnest(ls)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE t <> ''),
 g AS (SELECT *, sum(CAST(h AS INT)) OVER (PARTITION BY doc_id ORDER BY no) AS grp FROM l), b AS (SELECT *, max(CASE WHEN h THEN t END) OVER (PARTITION BY doc_id, grp) AS path FROM g),
 r AS (SELECT doc_id, coalesce(path, '') AS section_path, t AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS sec, row_number() OVER (PARTITION BY doc_id, grp ORDER BY no) - 1 AS part FROM b WHERE NOT h)
-SELECT doc_id, CAST(sec * 10000 + part AS INT) AS chunk_no, section_path, text FROM r""")
+SELECT doc_id, CAST(sec AS BIGINT) * 4294967296 + part AS chunk_no, section_path, text FROM r""")
 def chunk_semantic_hierarchy(spark, sf_dir):
     return K.semantic_hierarchy(K.sections_of_text(docs(spark, sf_dir))).select("doc_id", "chunk_no", "section_path", "text")
 

@@ -223,12 +223,12 @@ def sorted_chunks(spark, sf_dir):
     return C.sorted_chunks(c).select("document_id", "chunk_id", "position")
 
 
-@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN c_custkey + 5 WHEN c_custkey % 10 = 9 THEN NULL ELSE c_custkey + 1 END AS parent FROM customer),
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN c_custkey + 5 WHEN c_custkey % 20 = 8 THEN c_custkey - 3 WHEN c_custkey % 10 = 9 THEN NULL ELSE c_custkey + 1 END AS parent FROM customer),
 w AS (SELECT id, id AS at, [id] AS seen, false AS back FROM n UNION ALL SELECT w.id, n.parent, list_append(seen, n.parent), list_contains(seen, n.parent) FROM w JOIN n ON w.at = n.id WHERE n.parent IS NOT NULL AND NOT back)
 SELECT id, bool_or(back) AS circular FROM w GROUP BY 1""")
 def circular_hierarchies(spark, sf_dir):
     k = F.col("c_custkey")
-    n = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 50 == 0, k + 5).when(k % 10 == 9, None).otherwise(k + 1).alias("parent"))
+    n = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 50 == 0, k + 5).when(k % 20 == 8, k - 3).when(k % 10 == 9, None).otherwise(k + 1).alias("parent"))
     return C.circular(n)
 
 

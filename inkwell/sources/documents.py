@@ -80,7 +80,7 @@ def parsed(files: DataFrame) -> DataFrame:
             for path, content in zip(f["path"], f["content"]):
                 try:
                     rows = [(path, i, *b) for i, b in enumerate(PARSERS[path.rsplit(".", 1)[-1].lower()](bytes(content)))]
-                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                except Exception as e:  # whatever a broken file raises, it ends as a row
                     rows = [(path, 0, f"{type(e).__name__}: {e}", None, "paragraph", None, "error")]
                 out = pd.DataFrame(rows, columns=["path", "block_no", "text", "page", "component_type", "heading_level", "style"])
                 yield out.astype({"page": "Int32", "heading_level": "Int32"})
