@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import scores, text
+from inkwell.operators import bm25_index as I
 from inkwell.operators import retrieval as R
 from inkwell.plans.registry import query
+from inkwell.sources.shared import shared_path
 from inkwell.sources.tables import spread, table
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -40,7 +42,22 @@ def rounded_rank(df, score, key):
 @query(f"""WITH {_BM25}, r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM bm)
 SELECT query_id, doc_id, bm25, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def bm25_search(spark, sf_dir):
-    return rounded_rank(R.bm25(spread(table(spark, sf_dir, "documents")), asked(spark, sf_dir), None), "bm25", "doc_id")
+    """Answered by the stored index, which the first query over these files builds."""
+    return I.index_of(table(spark, sf_dir, "documents")).search(asked(spark, sf_dir), 10, digits=6)
+
+
+@query(f"""WITH live AS (SELECT * FROM documents WHERE doc_id % 10 <> 7), {_BM25.replace('FROM documents', 'FROM live')},
+r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM bm JOIN live USING (doc_id) WHERE lang = 'en')
+SELECT query_id, doc_id, bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS INT) AS rank FROM r WHERE bm25 >= 20 QUALIFY rank <= 20""")
+def scoped_bm25_search(spark, sf_dir):
+    """An index of three batches, one of them added and removed again, asked for the better documents of one language."""
+    docs, of = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
+    index = I.Bm25Index(spark, shared_path(spark, "scoped-bm25"))
+    index.add(docs.where(of < 5), scopes=("lang", "source"))
+    index.add(docs.where(of == 7), scopes=("lang", "source"))
+    index.remove(docs.where(of == 7).select("doc_id"))
+    index.add(docs.where((of >= 5) & (of != 7)), scopes=("lang", "source"))
+    return index.search(asked(spark, sf_dir), 20, F.col("lang") == "en", min_score=20.0, digits=6)
 
 
 @query(f"""WITH {_VEC}, r AS (SELECT query_id, vec_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM ve)
@@ -52,7 +69,7 @@ def vector_search(spark, sf_dir):
 def sides(spark, sf_dir):
     """Both candidate lists, 40 wide; a vector stands for the document with its id."""
     dense = R.vector_top(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 40, digits=6)
-    sparse = R.top(R.bm25(spread(table(spark, sf_dir, "documents")), asked(spark, sf_dir), None).withColumn("bm25", F.round("bm25", 6)), "bm25", "doc_id", 40)
+    sparse = I.index_of(table(spark, sf_dir, "documents")).search(asked(spark, sf_dir), 40, digits=6)
     return dense.select("query_id", F.col("vec_id").alias("key"), F.col("similarity").alias("vector_score"), "rank"), sparse.select("query_id", F.col("doc_id").alias("key"), F.col("bm25").alias("bm25_score"), "rank")
 
 
@@ -139,7 +156,7 @@ SELECT query_id, key, rerank_score, CAST(row_number() OVER (PARTITION BY query_i
 def reranked_search(spark, sf_dir):
     """The 20 best BM25 rows of each query, scored again by a vectorised scorer and cut to 10."""
     d, b = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
-    best = R.top(R.bm25(d, asked(spark, sf_dir), None).withColumn("bm25", F.round("bm25", 6)), "bm25", "doc_id", 20)
+    best = I.index_of(table(spark, sf_dir, "documents")).search(asked(spark, sf_dir), 20, digits=6)
     best = best.join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     rows = best.select("query_id", F.col("doc_id").alias("key"), "query", "text", F.col("bm25").alias("score"))
     scored = R.rerank(rows, R.overlap_scorer, after=20).drop("rank").withColumn("rerank_score", F.round("rerank_score", 6))

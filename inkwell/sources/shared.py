@@ -21,10 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's folder. Results are lazy, so call it after they have been read or written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df to the application's folder and read it back: cuts the lineage and survives lost executors. It stays until ``clear``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
