@@ -11,7 +11,7 @@ the sums by phrase drop later, so counts are exact at any size.
 Cuts of candidates meet the counts of their parts by joins on language and phrase. Scores are decimals of 38 digits, divided
 as whole numbers. A candidate inside a longer one that is at least ``inside`` percent as frequent goes; as every phrase between
 the two is as frequent as the longer one, it's enough to look at the extensions by one word. Ranks are taken per language,
-behind a first cut to the wanted number in every task.
+of the best of each of its ``SHARES`` shares.
 
 Null texts are empty, a null language is ``und`` (together with rows that say so). Repeated rows and ids count each time they
 occur; other columns are ignored. An empty table has no phrases. A chunk holds one text at least, so memory follows the longest.
@@ -37,6 +37,8 @@ CHUNK = 2_000_000
 #: Places of pairs whose hashes a task counts at once.
 PAIRS = 3_000_000
 LEAST_BITS, MOST_BITS = 20, 30
+#: Shares of a language that are ranked before it is.
+SHARES = 32
 _GRAMS = "lang string, n_words int, phrase string, f long"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -264,6 +266,9 @@ def phrases(docs: DataFrame, max_n: int = 4, least: int = 30, inside: int = 80,
     longer = known.where("n_words > 2").select("lang", F.col("f").alias("longer"), F.explode(F.array(of(words, F.lit(1), F.size(words) - 1), of(words, F.lit(2), F.size(words) - 1))).alias("phrase"))
     covered = candidates.join(longer, ["lang", "phrase"]).where(F.col("longer").cast("decimal(19,0)") * 100 >= F.col("a").cast("decimal(19,0)") * inside).select("lang", "phrase")
     kept = worst.join(covered, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "m.l", "m.r", "m.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    # Spark's own cut before the shuffle ends at 1,000 rows: each share of a language keeps its best first.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share")
+    first = kept.select("*", share).withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*best))).where(F.col("place") <= top).drop("place", "share")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
