@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import scores, text
 from inkwell.operators import bm25_index as I
 from inkwell.operators import retrieval as R
+from inkwell.operators import similar_content as S
 from inkwell.plans.registry import query
 from inkwell.sources.shared import shared_path
 from inkwell.sources.tables import spread, table
@@ -161,3 +162,30 @@ def reranked_search(spark, sf_dir):
     rows = best.select("query_id", F.col("doc_id").alias("key"), "query", "text", F.col("bm25").alias("score"))
     scored = R.rerank(rows, R.overlap_scorer, after=20).drop("rank").withColumn("rerank_score", F.round("rerank_score", 6))
     return R.top(scored, "rerank_score", "key", 10).select("query_id", "key", "rerank_score", "rank")
+
+
+def _content(spark, sf_dir):
+    """Vectors named by their label; every hundredth asks, without itself, its successor, and the documents of one name."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("Doc-"), F.col("label").cast("string")).alias("name"))
+    me = F.col("vec_id")
+    q = e.where(me % 100 == 0).select(me.alias("query_id"), F.col("embedding").alias("vector"), F.array(me.cast("string"), (me + 1).cast("string")).alias("exclude_ids"), F.array(F.lit("DOC-1")).alias("exclude_names"))
+    return e, q
+
+
+_SIMILAR = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, 'Doc-' || label AS name, round(greatest(0.0, least(1.0, list_dot_product(CAST(embedding AS DOUBLE[]), qe))), 6) AS similarity FROM embeddings, q),
+w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10),
+a AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM w WHERE vec_id NOT IN (query_id, query_id + 1) AND lower(name) <> 'doc-1')
+SELECT query_id, vec_id, name, similarity, CASE WHEN similarity >= 0.95 THEN 'block' WHEN similarity >= 0.85 THEN 'human_review' WHEN similarity >= 0.75 THEN 'warning' ELSE 'allow' END AS severity, rank FROM a WHERE rank <= 5"""
+
+
+@query(_SIMILAR)
+def similar_content(spark, sf_dir):
+    return S.search(*_content(spark, sf_dir), exact=True)
+
+
+@query()
+def similar_content_indexed(spark, sf_dir):
+    """By the inverted file; the test holds it against the exact search."""
+    e, q = _content(spark, sf_dir)
+    return S.search(e, q, index=S.SimilarContent(e))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import scores, text, validate
 from inkwell.operators import chunking as K
+from inkwell.operators import mentions as N
 from inkwell.operators import references as X
-from inkwell.plans.observability import events
+from inkwell.plans.observability import E, events, rounded
 from inkwell.plans.registry import query
-from inkwell.sources.shared import shared_dir
+from inkwell.sources.shared import shared_path
 from inkwell.sources.tables import spread, table
 from inkwell.streaming import jobs as J
+from inkwell.streaming import outcomes as O
+from inkwell.streaming.tables import DailyTable, UpsertTable, run
 
 STOP = ["that", "this", "with", "from"]
 
@@ -129,9 +133,42 @@ def reference_resolution(spark, sf_dir):
     return X.resolve(p.select((F.col("document_id") + 1).alias("source"), text.document_id("name").alias("target")), p).select("source", "target", F.coalesce("resolved", F.lit(-1).cast("long")).alias("resolved"))
 
 
-@query()
+#: Lines that every third document but one gets, with ids of orders: led, labelled, in a sentence of references, untold, behind a colon, unknown, again.
+_MENTIONS = (
+    "concat('Refer to DOC-', doc_id, '-A for details.')", "concat('SOP No: doc_', doc_id + 1, '_a')", "concat('In accordance with DOC--', doc_id + 2, '-A and DOC-', doc_id + 3, '-A.pdf')",
+    "concat('Nothing but DOC-', doc_id + 4, '-A')", "concat('Details: DOC-', doc_id + 5, '-A.')", "concat('See XDOC-', doc_id + 6, '-A or DOC-', doc_id + 7, '-AB')", "concat('doc-', doc_id, '-a is described in DOC-', doc_id + 1, '-A')",
+)
+_PLANTED = "concat_ws(chr(10), coalesce(text, ''), " + ", ".join(f"CASE WHEN (doc_id + {i}) % 3 > 0 THEN {m} END" for i, m in enumerate(_MENTIONS)) + ")"
+_FOUND = rf"""WITH d AS (SELECT doc_id, 'DOC-' || (doc_id + 2) || '-A' AS own, string_split({_PLANTED}, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, own, unnest(range(len(ls))) AS i, trim(unnest(ls)) AS raw FROM d),
+n AS (SELECT *, regexp_replace(translate(raw, 'abcdefghijklmnopqrstuvwxyz_', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ-'), '-+', '-', 'g') AS u FROM l WHERE contains(upper(raw), 'DOC')),
+t AS (SELECT *, unnest(regexp_extract_all(u, '[A-Z0-9][A-Z0-9/.-]*[A-Z0-9]')) AS token FROM n),
+k AS (SELECT DISTINCT 'DOC-' || o_orderkey || '-A' AS target FROM orders),
+r AS (SELECT doc_id, target, i, raw, CASE
+    WHEN regexp_matches(u, '\b(SOP|FORM|WI|REPORT|PROTOCOL|DOCUMENT)\s+NO\.?\s*[:#-]?\s*' || token || '$') THEN 'label'
+    WHEN regexp_matches(u, '\b(REFER(\s+TO)?|SEE(\s+ALSO)?|AS\s+PER|ACCORDING\s+TO|BASED\s+ON)\s+' || token || '(\s|$)') THEN 'lead'
+    WHEN regexp_matches(lower(raw), 'refer|in accordance with|described in|(^|[^\w-])see([^\w-]|$)') THEN 'trigger'
+    WHEN regexp_matches(u, ':\s*' || token || '\.?\s*$') THEN 'colon' END AS rule
+  FROM t JOIN k ON k.target = regexp_replace(token, '\.(PDF|DOCX?|TXT)$', '') WHERE target <> own),
+f AS (SELECT doc_id, target, arg_min(rule, i) AS rule, arg_min(raw, i) AS sentence, CAST(count(DISTINCT raw) AS INT) AS evidence FROM r WHERE rule IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, CASE rule WHEN 'label' THEN 0.92 WHEN 'lead' THEN 0.88 WHEN 'trigger' THEN 0.85 ELSE 0.9 END AS confidence FROM f)"""
+
+
+def _mentioned(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PLANTED).alias("text"), F.expr("concat('doc_', doc_id + 2, '_A.docx')").alias("name"))
+    known = table(spark, sf_dir, "orders").select(F.expr("concat('doc-', o_orderkey, '-A')").alias("name"))
+    return N.mentions(spread(d), known, "name"), known
+
+
+@query(_FOUND + " SELECT doc_id, target, CASE rule WHEN 'label' THEN 'sop' ELSE 'document' END AS type, rule, CAST(confidence AS DOUBLE) AS confidence, sentence, evidence FROM c")
 def reference_extraction(spark, sf_dir):
-    return X.extract(docs(spark, sf_dir))
+    """References of all documents, each with planted lines, to the orders' ids; none to itself."""
+    return _mentioned(spark, sf_dir)[0]
+
+
+@query(_FOUND + " SELECT lower(left(target, 3)) || substr(target, 4) AS name, count(*) AS documents, CAST(sum(evidence) AS BIGINT) AS mentions, CAST(max(confidence) AS DOUBLE) AS confidence FROM c GROUP BY target")
+def reference_counts(spark, sf_dir):
+    return N.document_references(*_mentioned(spark, sf_dir))
 
 
 @query("""WITH j AS (SELECT event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'DISPATCHING' WHEN 1 THEN 'ASSIGNED' WHEN 2 THEN 'IN_PROGRESS' ELSE 'QUEUED' END AS status, ts FROM events)
@@ -148,14 +185,58 @@ def streaming_hourly(spark, sf_dir):
     """The stream of events in tumbling hours, run to its end in one trigger."""
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/events*")
-    from uuid import uuid4
-
-    name = f"hourly_{uuid4().hex}"
-    where = f"{shared_dir(spark)}/inkwell/checkpoints"
+    at = shared_path(spark, "hourly")
     out = J.hourly(events_of(raw)).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "metric_name", "n", "failed", F.round("avg_ms", 6).alias("avg_ms"))
-    run = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    kept = UpsertTable(spark, f"{at}/table", ["hour", "metric_name"])
+    run(out, kept.apply, f"{at}/checkpoint", "update")
+    return kept.read()
+
+
+def _arrivals(spark, sf_dir, late):
+    """The events as a stream of two batches: the rows that come late are a second file behind the first."""
+    at, e = shared_path(spark, "arrivals"), table(spark, sf_dir, "events")
+    for when in (~late, late):
+        e.where(when).coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{at}/in"), at
+
+
+@query(f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, metric_name, CASE WHEN count(duration_ms) > 0 THEN count(duration_ms) ELSE count(status) END AS n, round(avg(duration_ms), 6) AS avg_ms,
+ round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95, round(quantile_cont(duration_ms, 0.99), 6) AS p99, max(duration_ms) AS max_ms,
+ count(*) FILTER (status = 'failure') AS failures FROM {E} GROUP BY 1, 2""")
+def streaming_daily(spark, sf_dir):
+    """Every fifth event comes late, of all days: its batch recomputes the days that it touches."""
+    raw, at = _arrivals(spark, sf_dir, F.col("event_id") % 5 == 0)
+    kept = DailyTable(spark, f"{at}/daily")
+    run(events_of(raw), kept.apply, f"{at}/checkpoint")
+    return rounded(kept.read(), "avg_ms", "p50", "p95", "p99").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH m AS (SELECT user_id * 1000 + dayofyear(ts) AS job_id, event_type AS processor, CASE WHEN value < 20 THEN 'FAILED' WHEN value < 90 THEN 'COMPLETED' ELSE 'IN_PROGRESS' END AS status, ts, event_id AS no FROM events),
+z AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM m),
+p AS (SELECT job_id, processor, arg_max(status, (ts, no)) AS status FROM m GROUP BY 1, 2),
+j AS (SELECT job_id, CAST(count(*) AS INT) AS processors, bool_and(status IN ('COMPLETED', 'FAILED')) AS ended, coalesce(string_agg(CASE WHEN status = 'FAILED' THEN processor END, ',' ORDER BY processor), '') AS failed FROM p GROUP BY 1),
+h AS (SELECT job_id, CAST(count(*) AS INT) AS outcomes, max(ts) AS last FROM m GROUP BY 1)
+SELECT job_id, CASE WHEN ended AND failed <> '' THEN 'FAILED' WHEN ended THEN 'COMPLETED' WHEN epoch_ms(last) + 43200000 <= epoch_ms(mark) THEN 'TIMED_OUT' ELSE 'IN_PROGRESS' END AS status, processors, outcomes, failed FROM j JOIN h USING (job_id), z""")
+def streaming_outcomes(spark, sf_dir):
+    """Jobs (a user's day) and the outcomes of their processors (kinds of events) as keyed state; twelve silent hours time a job out."""
+    raw, at = _arrivals(spark, sf_dir, F.lit(False))
+    state = F.when(F.col("value") < 20, "FAILED").when(F.col("value") < 90, "COMPLETED").otherwise("IN_PROGRESS")
+    job = F.col("user_id") * 1000 + F.dayofyear("ts")
+    told = raw.select(job.alias("job_id"), F.col("event_type").alias("processor"), state.alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("no"))
+    return outcome_table(spark, told, at).read().select("job_id", "status", "processors", "outcomes", "failed")
+
+
+def outcome_table(spark, told, at, timeout=43200.0):
+    """The stream of outcomes, kept as a table by job; the state store of RocksDB is set for the time in which it starts."""
+    kept, key = UpsertTable(spark, f"{at}/jobs", ["job_id"]), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, O.PROVIDER)
+    try:
+        last = Window.partitionBy("job_id").orderBy(F.desc("version"))
+        run(O.outcomes(told, timeout), lambda rows, no: kept.apply(rows.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r"), no), f"{at}/checkpoint", "update")
+    finally:
+        spark.conf.set(key, before)
+    return kept
 
 
 def events_of(raw):
