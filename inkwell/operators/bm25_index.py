@@ -9,7 +9,8 @@ blocks of a term lie in the order of their weights. ``best`` is the largest tf /
 with the segment's own average length; as lengths only enter through dl / avgdl, the bound for another average is at most
 max(1, avgdl / the segment's) times that.
 
-Searching is exact. A first look at the best block of every asked term gives each query a score that k documents reach.
+Searching is exact. Few postings are scored at once. For more, a first look at the best block of
+every asked term gives each query a score that k documents reach.
 Terms whose best weights together stay below it can't make a result (they are the tail of the query); of the other
 terms only blocks are read that can reach it with the best weights of all others, and documents whose weight so far and
 the tail's best weights stay below it go before the tail is looked up for what is left.
@@ -32,9 +33,11 @@ from inkwell.operators.retrieval import K1, B, small, top
 from inkwell.sources.shared import application_dir, written
 
 #: Postings of a block, and folders that terms are dealt to.
-BLOCK, BUCKETS = 128, 64
-#: Up to so many asked terms are given to the scan as a list; more are joined.
-LISTED = 20_000
+BLOCK, BUCKETS = 128, 32
+#: Up to so many asked terms are also given to the scan as a list.
+LISTED = 50
+#: Up to so many pairs of a query and a posting are scored at once; beyond it the bounds save more than their jobs cost.
+DIRECT = 40_000_000
 #: Room for rounding in bounds and scores.
 SLACK = 1e-5
 
@@ -68,21 +71,24 @@ class Bm25Index:
     def _part(self, name: str, schema: str) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        return (self.spark.read if name == "docs" else self.spark.read.schema(schema)).parquet(f"{self.path}/{name}")
 
     def _ledger(self) -> list:
         """One row for each batch; their number is the number of calls, not of documents."""
-        return self._part("segments", "segment string, kind string, n long, length long").collect()
+        return self._part("segments", "segment long, kind string, n long, length long").collect()
 
-    def _live(self) -> dict[str, float]:
-        return {r["segment"]: r["length"] / max(r["n"], 1) for r in self._ledger() if r["kind"] == "add"}
+    def _live(self, ledger: list | None = None) -> dict[int, float]:
+        """Segments with their average lengths."""
+        return {r["segment"]: r["length"] / max(r["n"], 1) for r in (self._ledger() if ledger is None else ledger) if r["kind"] == "add"}
 
-    def _commit(self, segment: str, kind: str, n: int, length: int) -> None:
-        self.spark.createDataFrame([(segment, kind, n, length)], "segment string, kind string, n long, length long").coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+    def _commit(self, segment: int, kind: str, n: int, length: int) -> None:
+        self.spark.createDataFrame([(segment, kind, n, length)], "segment long, kind string, n long, length long").coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
 
-    def add(self, docs: DataFrame, doc_id: str = "doc_id", body: str = "text", scopes: tuple[str, ...] = ()) -> str:
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", body: str = "text", scopes: tuple[str, ...] = ()) -> int:
         """Append a segment of documents that aren't in the index; rows without an id stay out, null texts are empty."""
-        segment = uuid.uuid4().hex
+        segment = uuid.uuid4().int >> 66
         t = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), *scopes, text.tokens(body).alias("t"))
         out = f"{self.path}/docs/segment={segment}"
         t.select("doc_id", *scopes, F.size("t").alias("dl")).write.parquet(out)
@@ -104,30 +110,33 @@ class Bm25Index:
         n, length = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).head()
         if not n:
             return
-        batch = uuid.uuid4().hex
-        postings = self._part("postings", "").where(F.col("segment").isin(live)).select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.doc_id")
+        batch = uuid.uuid4().int >> 66
+        postings = self._part("postings", f"segment long, {_BLOCKS}").where(F.col("segment").isin(live)).select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.doc_id")
         terms = postings.join(small(gone.select("segment", "doc_id")), ["segment", "doc_id"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         terms.write.parquet(f"{self.path}/removed_terms/batch={batch}")
         gone.select("segment", "doc_id").write.parquet(f"{self.path}/removed/batch={batch}")
         self._commit(batch, "remove", n, length)
 
-    def _removed(self, name: str, schema: str) -> DataFrame:
-        batches = [r["segment"] for r in self._ledger() if r["kind"] == "remove"]
-        return self._part(name, schema + ", batch string").where(F.col("batch").isin(batches)).drop("batch")
+    def _removed(self, name: str, schema: str, ledger: list | None = None) -> DataFrame | None:
+        """Rows of finished removals; None before the first."""
+        batches = [r["segment"] for r in (self._ledger() if ledger is None else ledger) if r["kind"] == "remove"]
+        return None if not batches else self._part(name, schema + ", batch long").where(F.col("batch").isin(batches)).drop("batch")
 
-    def _alive(self, live: list[str]) -> DataFrame:
-        docs = self._part("docs", "segment string, doc_id long, dl int").where(F.col("segment").isin(live))
-        return docs.join(self._removed("removed", "segment string, doc_id long"), ["segment", "doc_id"], "left_anti")
+    def _alive(self, live: list[int]) -> DataFrame:
+        docs = self._part("docs", "segment long, doc_id long, dl int").where(F.col("segment").isin(live))
+        gone = self._removed("removed", "segment long, doc_id long")
+        return docs if gone is None else docs.join(gone, ["segment", "doc_id"], "left_anti")
 
-    def blocks(self, asked: DataFrame) -> DataFrame:
+    def blocks(self, asked: DataFrame, live: list[int] | None = None) -> DataFrame:
         """The blocks of asked terms (term) in live segments: segment, term, n, best, postings."""
-        rows = self._part("postings", f"segment string, {_BLOCKS}").where(F.col("segment").isin(list(self._live())))
-        terms = asked.select("term").distinct()
-        listed = [r["term"] for r in terms.limit(LISTED + 1).collect()]
-        if len(listed) > LISTED:
-            return rows.join(terms, "term", "left_semi")
-        buckets = self.spark.createDataFrame([(t,) for t in listed], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()
-        return rows.where(F.col("bucket").isin([r[0] for r in buckets]) & F.col("term").isin(listed))
+        rows = self._part("postings", f"segment long, {_BLOCKS}").where(F.col("segment").isin(list(self._live()) if live is None else live))
+        terms = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        buckets = [str(r[0]) for r in terms.select("bucket").distinct().collect()]
+        rows = rows.where(f"bucket in ({', '.join(buckets)})") if buckets else rows.limit(0)
+        few = [r["term"] for r in terms.limit(LISTED + 1).collect()]
+        if len(few) <= LISTED:  # row groups are skipped by their terms
+            rows = rows.where(F.col("term").isin(few))
+        return rows.join(small(terms.select("term")), "term", "left_semi")
 
     def search(self, queries: DataFrame, k: int = 10, where: Column | None = None, min_score: float | None = None, digits: int = 9) -> DataFrame:
         """queries (query_id, terms: distinct tokens): query_id, doc_id, bm25 (rounded) and rank of the k best live documents.
@@ -136,31 +145,39 @@ class Bm25Index:
         """
         asked = written(queries.select("query_id", F.explode("terms").alias("term")).distinct(), "asked_terms")
         ledger = self._ledger()
+        live = self._live(ledger)
         n, length = (sum((1 if r["kind"] == "add" else -1) * r[c] for r in ledger) for c in ("n", "length"))
-        found = self.blocks(asked)
+        found = self.blocks(asked, list(live))
         avgdl = max(length / max(n, 1), 1e-9)
         # Document frequencies of live documents, the best weight of each term, and of each block.
-        own = reduce(lambda c, s: c.when(F.col("segment") == s[0], F.lit(max(1.0, avgdl / max(s[1], 1e-9)))), self._live().items(), F.when(F.lit(False), F.lit(1.0))).otherwise(1.0)
-        head = found.select("segment", "term", "n", F.least(F.col("best") * own, F.lit(1.0)).alias("best"))
-        lost = self._removed("removed_terms", "term string, n long").groupBy("term").agg(F.sum("n").alias("lost"))
-        df = head.groupBy("term").agg(F.sum("n").alias("all"), F.max("best").alias("best")).join(lost, "term", "left").withColumn("df", F.col("all") - F.coalesce("lost", F.lit(0)))
+        own = reduce(lambda c, s: c.when(F.col("segment") == s[0], F.lit(max(1.0, avgdl / max(s[1], 1e-9)))), live.items(), F.when(F.lit(False), F.lit(1.0))).otherwise(1.0)
+        df = found.groupBy("term").agg(F.sum("n").alias("df"), F.max(F.least(F.col("best") * own, F.lit(1.0))).alias("best"))
+        lost = self._removed("removed_terms", "term string, n long", ledger)
+        if lost is not None:
+            df = df.join(lost.groupBy("term").agg(F.sum("n").alias("lost")), "term", "left").withColumn("df", F.col("df") - F.coalesce("lost", F.lit(0)))
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        terms = written(df.where("df > 0").select("term", idf.alias("idf"), (idf * F.col("best") * (self.k1 + 1)).alias("most")), "index_terms")
-        wanted = asked.join(small(terms), "term")
-        alive = self._alive(list(self._live()))
-        scope = None if where is None else alive.where(where).select("segment", "doc_id")
-        gone = self._removed("removed", "segment string, doc_id long")
+        terms = df.where("df > 0").select("term", "df", idf.alias("idf"), (idf * F.col("best") * (self.k1 + 1)).alias("most"))
+        wanted = written(asked.join(terms, "term"), "wanted_terms")
+        scope = None if where is None else self._alive(list(live)).where(where).select("segment", "doc_id")
+        gone = self._removed("removed", "segment long, doc_id long", ledger)
 
         def weights(rows: DataFrame) -> DataFrame:
             """rows (query_id, term, idf, segment, postings): the weights of live documents in scope."""
             p = rows.select("query_id", "segment", "idf", F.explode("postings").alias("p")).select("query_id", "segment", "p.doc_id", "idf", "p.tf", "p.dl")
-            p = p.join(gone, ["segment", "doc_id"], "left_anti") if scope is None else p.join(scope, ["segment", "doc_id"], "left_semi")
+            if scope is not None:
+                p = p.join(scope, ["segment", "doc_id"], "left_semi")
+            elif gone is not None:
+                p = p.join(gone, ["segment", "doc_id"], "left_anti")
             w = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
             return p.select("query_id", "segment", "doc_id", w.alias("w"))
 
         def scored(rows: DataFrame) -> DataFrame:
             return rows.groupBy("query_id", "segment", "doc_id").agg(F.sum("w").alias("s"))
 
+        pairs = wanted.agg(F.coalesce(F.sum("df"), F.lit(0))).head()[0]
+        if pairs <= DIRECT:
+            total = scored(weights(found.join(small(wanted.select("query_id", "term", "idf")), "term")))
+            return self._ranked(total, k, min_score, digits)
         # The k-th best of what the best blocks alone give.
         order = Window.partitionBy("segment", "term").orderBy(F.desc("best"), F.desc("n"))
         first = found.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
@@ -168,18 +185,20 @@ class Bm25Index:
         reached = look.where(F.col("rank") == k).select("query_id", (F.col("s") - SLACK).alias("least"))
         before = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         every = Window.partitionBy("query_id")
-        plan = wanted.join(small(reached), "query_id", "left").withColumns({"upto": F.sum("most").over(before), "total": F.sum("most").over(every)})
+        plan = wanted.join(reached, "query_id", "left").withColumns({"upto": F.sum("most").over(before), "total": F.sum("most").over(every)})
         plan = plan.withColumns({"is_tail": F.coalesce(F.col("upto") < F.col("least"), F.lit(False)), "others": F.col("total") - F.col("most")})
-        plan = written(plan.withColumn("tail_most", F.coalesce(F.sum(F.when(F.col("is_tail"), F.col("most"))).over(every), F.lit(0.0))), "search_plan")
+        plan = small(written(plan.withColumn("tail_most", F.coalesce(F.sum(F.when(F.col("is_tail"), F.col("most"))).over(every), F.lit(0.0))), "search_plan"))
         bound = F.col("idf") * F.least(F.col("best") * own, F.lit(1.0)) * (self.k1 + 1) + F.col("others")
-        essential = found.join(small(plan.where("not is_tail").select("query_id", "term", "idf", "others", "least")), "term").where(F.col("least").isNull() | (bound >= F.col("least")))
-        leads = scored(weights(essential)).join(small(plan.select("query_id", "least", "tail_most").distinct()), "query_id")
+        essential = found.join(plan.where("not is_tail"), "term").where(F.col("least").isNull() | (bound >= F.col("least")))
+        leads = scored(weights(essential)).join(plan.groupBy("query_id").agg(F.first("least").alias("least"), F.first("tail_most").alias("tail_most")), "query_id")
         leads = written(leads.where(F.col("least").isNull() | (F.col("s") + F.col("tail_most") >= F.col("least"))).select("query_id", "segment", "doc_id", F.col("s").alias("w")), "leads")
-        rest = found.join(small(plan.where("is_tail").select("query_id", "term", "idf")), "term")
-        tail = weights(rest).join(leads.select("query_id", "segment", "doc_id"), ["query_id", "segment", "doc_id"], "left_semi")
-        total = scored(leads.unionByName(tail)).select("query_id", "doc_id", F.round("s", digits).alias("bm25"))
-        total = total if min_score is None else total.where(F.col("bm25") >= min_score)
-        return top(total, "bm25", "doc_id", k)
+        tail = weights(found.join(plan.where("is_tail"), "term")).join(leads.select("query_id", "segment", "doc_id"), ["query_id", "segment", "doc_id"], "left_semi")
+        return self._ranked(scored(leads.unionByName(tail)), k, min_score, digits)
+
+    @staticmethod
+    def _ranked(total: DataFrame, k: int, min_score: float | None, digits: int) -> DataFrame:
+        rows = total.select("query_id", "doc_id", F.round("s", digits).alias("bm25"))
+        return top(rows if min_score is None else rows.where(F.col("bm25") >= min_score), "bm25", "doc_id", k)
 
 
 def index_of(docs: DataFrame, body: str = "text", scopes: tuple[str, ...] = ()) -> Bm25Index:
