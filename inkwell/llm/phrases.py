@@ -33,9 +33,9 @@ from inkwell.llm.common import ship, written
 ship(__name__)
 
 #: Characters of texts that are counted together.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Places of pairs whose hashes a task counts at once.
-PAIRS = 3_000_000
+PAIRS = 1_000_000
 LEAST_BITS, MOST_BITS = 20, 30
 #: Shares of a language that are ranked before it is.
 SHARES = 32
@@ -71,15 +71,13 @@ def _phrase_hashes(phrases: list[str], langs: list[str]) -> np.ndarray:
     return out
 
 
-def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"h": _phrase_hashes(f["phrase"].tolist(), f["lang"].tolist()).view(np.int64)})
-
-
 def _marker(bits: int):
+    """Where the hashes (h) or phrases of rows stand in the map. One step for both, as every step in a row holds a worker."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            at = f["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            h = f["h"].to_numpy().view(np.uint64) if "h" in f.columns else _phrase_hashes(f["phrase"].tolist(), f["lang"].tolist())
+            at = h >> np.uint64(64 - bits)
             yield pd.DataFrame({"block": (at >> np.uint64(16)).astype(np.int64), "bit": (at & np.uint64(0xFFFF)).astype(np.int32)})
 
     return run
@@ -88,8 +86,8 @@ def _marker(bits: int):
 def _bitmap(frequent: DataFrame) -> tuple[int, dict[int, bytes]]:
     """Bits and blocks of the map of a written table of hashes (h) or phrases; the blocks have 8 KB each, 128 MB in all at most."""
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * frequent.count()).bit_length()))
-    hashes = frequent.select("h") if "h" in frequent.columns else frequent.select("lang", "phrase").mapInPandas(_hashed, "h long")
-    marks = hashes.mapInPandas(_marker(bits), "block long, bit int").distinct()
+    known = frequent.select("h") if "h" in frequent.columns else frequent.select("lang", "phrase")
+    marks = known.mapInPandas(_marker(bits), "block long, bit int").distinct()
 
     def block(key, f):
         bit = np.zeros(1 << 16, bool)
