@@ -181,3 +181,53 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 def histogram(events: DataFrame, by: list[str], low: float, high: float, buckets: int) -> DataFrame:
     b = F.width_bucket("duration_ms", F.lit(low), F.lit(high), F.lit(buckets))
     return events.groupBy(*by, b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total"))
+
+
+#: Size of the quantile sketches: ranks are right within about 0.4 percent (with 99 percent probability).
+SKETCH = 800
+
+
+def kept_hours(events: DataFrame) -> DataFrame:
+    """One row for each hour and metric, to be stored and merged for any range: counts, sums, ends, a quantile sketch of the durations, the latest gauge."""
+    e = events.where(F.col("ts").isNotNull()).withColumn("hour", F.date_trunc("hour", "ts"))
+    gauge = F.struct("ts", "id", json_text("metadata", "k").alias("value"))
+    return e.groupBy("hour", "metric_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") == "failure").alias("failed"), F.count("duration_ms").alias("timed"),
+        F.sum("duration_ms").alias("total_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.kll_sketch_agg_double("duration_ms", F.lit(SKETCH)).alias("sketch"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max(gauge).alias("gauge"),
+    )
+
+
+def dashboard(hours: DataFrame, sections: dict[str, list[str]], start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """The dashboard from kept hours in [start, end): level (metric, section, overview, hour), name, n, rates, times, quantiles, events a second, gauge.
+
+    Sections and the overview take the plain mean of their metrics' means, as their groups do; metrics in no section only count
+    in the overview. The events are not read again.
+    """
+    rows = hours if start is None else hours.where(F.col("hour") >= start)
+    rows = rows if end is None else rows.where(F.col("hour") < end)
+    section = F.coalesce(*[F.when(F.col("metric_name").isin(*names), F.lit(s)) for s, names in sections.items()], F.lit(None).cast("string"))
+    sums = [F.sum(c).alias(c) for c in ("n", "ok", "failed", "timed", "total_ms")] + [F.min(c).alias(c) for c in ("min_ms", "first_ts")] + [F.max(c).alias(c) for c in ("max_ms", "last_ts", "gauge")]
+    merged = F.kll_merge_agg_double("sketch").alias("sketch")
+    mean = (F.col("total_ms") / F.nullif(F.col("timed"), F.lit(0))).alias("avg_ms")
+    metric = rows.groupBy("metric_name", section.alias("section")).agg(*sums, merged).select("*", mean)
+    again = [F.sum(c).alias(c) for c in ("n", "ok", "failed", "timed", "total_ms")] + [F.min(c).alias(c) for c in ("min_ms", "first_ts")] + [F.max(c).alias(c) for c in ("max_ms", "last_ts")]
+    both = metric.groupingSets([["section"], []], "section").agg(*again, F.avg("avg_ms").alias("avg_ms"), merged, F.grouping("section").alias("every"))
+    level = F.when(F.col("every") == 1, "overview").otherwise("section")
+    none = F.lit(None).cast("string")
+    parts = [
+        metric.select(F.lit("metric").alias("level"), F.col("metric_name").alias("name"), *_SHOWN, F.col("gauge.value").alias("gauge")),
+        both.where("every = 1 or section is not null").select(level.alias("level"), F.when(F.col("every") == 1, "all").otherwise(F.col("section")).alias("name"), *_SHOWN, none.alias("gauge")),
+        rows.groupBy("hour").agg(*sums, merged).select(F.lit("hour").alias("level"), F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("name"), *[c if c != "avg_ms" else mean for c in _SHOWN], none.alias("gauge")),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    seconds = F.greatest(F.lit(1.0), (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6)
+    rate = lambda c: F.round(F.col(c) * 100.0 / F.col("n"), 1)
+    q = lambda r: F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(r)))
+    return out.select(
+        "level", "name", "n", rate("ok").alias("success_rate"), rate("failed").alias("failure_rate"), "avg_ms", "min_ms", "max_ms", q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"),
+        F.kll_sketch_get_n_double("sketch").alias("sketched"), F.round(F.col("n") / seconds, 4).alias("per_second"), F.round(F.col("n") * 60 / seconds, 4).alias("per_minute"), "gauge",
+    )
+
+
+_SHOWN = ("n", "ok", "failed", "timed", "avg_ms", "min_ms", "max_ms", "first_ts", "last_ts", "sketch")

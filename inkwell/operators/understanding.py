@@ -215,15 +215,54 @@ def prepared_for_entities(text: Column | str, markers: list[str], page_patterns:
     return F.struct(F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\r\n")).alias("text"), found_markers.alias("markers"))
 
 
+def label_key(label: Column) -> Column:
+    """What of a label is compared: small letters and digits, words apart by one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"[^a-z0-9]+", " "))
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
 def label_match(label: Column, target: Column) -> Column:
     """1 for the same label, .92 if one holds the other, else the share of characters in matching blocks. Vectorised."""
+    a, b = label_key(label), label_key(target)
+    model = F.pandas_udf(_ratio, "double")
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(b, a) | F.contains(a, b), 0.92).otherwise(model(a, b))
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
-    a, b = (F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", " ")) for c in (label, target))
-    model = F.pandas_udf(ratio, "double")
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(b, a) | F.contains(a, b), 0.92).otherwise(model(a, b))
+def similar_labels(labels: DataFrame, targets: DataFrame, least: float = 0.78) -> DataFrame:
+    """labels (label), targets (target): a, b (their keys) and score of the pairs of distinct keys that match by ``least`` (.78 or more) or more.
+
+    Two keys of together n characters that match by t share m >= t n / 2 characters in blocks; u = n - 2 m others part them, so
+    there are u + 1 blocks at most, and m - u - 1 or more shared pairs of letters. For t over .7 and n >= 8 there is one at
+    least, and so pairs of letters are the keys of the join; shorter keys meet by letters. Only pairs that pass this count,
+    and the bound by letters that both have, get the exact ratio.
+    """
+    if least < 0.78:
+        raise ValueError("the bounds hold from 0.78 on")
+    side = lambda df, c, name: df.select(label_key(F.col(c)).alias(name)).where(F.col(name) != "").distinct()
+    a, b = side(labels, "label", "a"), side(targets, "target", "b")
+    letters = lambda s: F.split(s, "")
+
+    def counted(s: Column, size: int) -> Column:
+        """Distinct grams, the second and later of one kind told apart by their number: common ones are counted as often as both have them."""
+        grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.substring(s, i, F.lit(size))))
+        return F.when(F.length(s) >= size, F.transform(grams, lambda g, i: F.concat(g, F.lit("/"), (i - F.array_position(grams, g) + 1).cast("string"))))
+
+    two = a.select("a", F.explode(counted(F.col("a"), 2)).alias("g")).join(b.select("b", F.explode(counted(F.col("b"), 2)).alias("g")), "g").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    one = lambda df, c: df.select(c, F.explode(F.array_distinct(letters(F.col(c)))).alias("g"))
+    short = one(a.where(F.length("a") < 8), "a").join(one(b, "b"), "g").where((F.length("a") + F.length("b") < 8) | (F.length("a") == 1))
+    short = short.unionByName(one(a, "a").join(one(b.where(F.length("b") == 1), "b"), "g")).select("a", "b").distinct()
+    n = F.length("a") + F.length("b")
+    enough = F.col("shared") >= least * n / 2 - (1 - least) * n - 1 - 1e-9
+    inside = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
+    pairs = two.where(enough | inside).select("a", "b").unionByName(short).distinct()
+    common = F.size(F.array_intersect(counted(F.col("a"), 1), counted(F.col("b"), 1)))
+    pairs = pairs.where(inside | ((2.0 * common / n >= least - 1e-9) & (2.0 * F.least(F.length("a"), F.length("b")) / n >= least - 1e-9)))
+    model = F.pandas_udf(_ratio, "double")
+    score = F.when(F.col("a") == F.col("b"), 1.0).when(inside, 0.92).otherwise(model("a", "b"))
+    return pairs.withColumn("score", score).where(F.col("score") >= least)
 
 
 def field_name(label: Column | str) -> Column:
@@ -238,9 +277,11 @@ def extracted_fields(pairs: DataFrame, definitions: DataFrame) -> DataFrame:
 
     An exact label is a rule (.93); else the best label of .82 or more counts (.78 + .15 of its score, up to .95), and one of
     .78 or more as a fuzzy match (.65 + .2 of it, up to .88). The method before another wins, then confidence, then position.
-    Definitions are few and are broadcast.
+    Distinct labels meet definitions by ``similar_labels``, so there is no product of both.
     """
-    m = pairs.join(F.broadcast(definitions), F.lit(True)).withColumn("score", label_match(F.col("label"), F.replace("field_name", F.lit("_"), F.lit(" "))))
+    named = definitions.withColumn("b", label_key(F.replace("field_name", F.lit("_"), F.lit(" "))))
+    scored = similar_labels(pairs.select("label"), named.select(F.col("b").alias("target")))
+    m = pairs.withColumn("a", label_key(F.col("label"))).join(scored, "a").join(named, "b").drop("a", "b")
     m = m.withColumn("value", coerced(F.col("value"), F.col("type"))).where("value is not null and score >= 0.78")
     same = F.lower(F.replace("label", F.lit("_"), F.lit(" "))) == F.lower(F.replace("field_name", F.lit("_"), F.lit(" ")))
     place = F.when(F.col("source") == "inline_pattern", "pattern_pair").when(F.col("source") == "next_line", "adjacent_line").when(F.col("source") == "table_row", "table_cell").otherwise("label_pair")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import observability as obs
+from inkwell.operators.metrics import Meter
 from inkwell.plans.registry import query
+from inkwell.sources.shared import shared_path, written
 from inkwell.sources.tables import table
 
 E = """(SELECT event_id AS id, ts, event_type AS metric_name, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'view' THEN 'pending' ELSE 'success' END AS status,
@@ -148,3 +150,39 @@ def latency_summary(spark, sf_dir):
     e = e.where("metric_name = 'purchase'").join(F.broadcast(first), F.to_date("ts") == F.col("d"))
     got = obs.latency_summary(e)
     return got.select("n", *[F.round(c, 6).alias(c) for c in ("avg_ms", "p50", "p95", "p99")], "max_ms")
+
+
+_SECTIONS = {"usage": ["view", "click"], "growth": ["signup", "purchase"], "faults": ["error"]}
+_STATS = "count(*) AS n, count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status = 'failure') AS failed, count(duration_ms) AS timed, avg(duration_ms) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, min(ts) AS a, max(ts) AS b"
+_MERGED = "CAST(sum(n) AS BIGINT) AS n, sum(ok) AS ok, sum(failed) AS failed, CAST(sum(timed) AS BIGINT) AS timed, avg(avg_ms) AS avg_ms, min(min_ms) AS min_ms, max(max_ms) AS max_ms, min(a) AS a, max(b) AS b"
+
+
+@query(f"""WITH e AS (SELECT * FROM {E} WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20'),
+m AS (SELECT metric_name, CASE WHEN metric_name IN ('view', 'click') THEN 'usage' WHEN metric_name IN ('signup', 'purchase') THEN 'growth' WHEN metric_name = 'error' THEN 'faults' END AS section, {_STATS}, arg_max(k, (ts, id)) AS gauge FROM e GROUP BY 1, 2),
+u AS (SELECT 'metric' AS level, metric_name AS name, n, ok, failed, timed, avg_ms, min_ms, max_ms, a, b, gauge FROM m
+ UNION ALL SELECT 'section', section, {_MERGED}, NULL FROM m WHERE section IS NOT NULL GROUP BY section UNION ALL SELECT 'overview', 'all', {_MERGED}, NULL FROM m
+ UNION ALL SELECT 'hour', strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S'), {_STATS}, NULL FROM e GROUP BY date_trunc('hour', ts)),
+s AS (SELECT *, greatest(1.0, (epoch_us(b) - epoch_us(a)) / 1e6) AS s FROM u)
+SELECT level, name, n, round(ok * 100.0 / n, 1) AS success_rate, round(failed * 100.0 / n, 1) AS failure_rate, round(avg_ms, 6) AS avg_ms, min_ms, max_ms, timed AS sketched,
+ round(n / s, 4) AS per_second, round(n * 60 / s, 4) AS per_minute, gauge FROM s""")
+def dashboard(spark, sf_dir):
+    """Seventeen days of the dashboard from stored hours; the quantiles are sketches', so the SQL leaves them to a test."""
+    hours = written(obs.kept_hours(events(spark, sf_dir)), "kept_hours")
+    out = obs.dashboard(hours, _SECTIONS, F.lit("2024-01-03").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
+    return rounded(out.drop("p50", "p95", "p99"), "avg_ms")
+
+
+@query("""SELECT 'shorten' AS metric_name, 'success' AS status, count(*) AS n, count(*) FILTER (length(text) > 2000) AS failed FROM documents
+UNION ALL SELECT 'broken', 'failure', 0, 0 UNION ALL SELECT 'named', 'success', 0, 0""")
+def run_metrics(spark, sf_dir):
+    """Metric events of an action over all documents, of one that fails, and of a decorated function."""
+    meter, docs = Meter(spark, shared_path(spark, "metrics")), table(spark, sf_dir, "documents")
+    meter.run("shorten", docs, lambda d: d.select("doc_id", F.left("text", F.lit(2000))).write.parquet(shared_path(spark, "shortened")), F.length("text") > 2000)
+    try:
+        meter.run("broken", docs, lambda d: d.select(F.raise_error("broken")).write.format("noop").mode("overwrite").save())
+    except Exception as e:
+        if "broken" not in str(e):
+            raise
+    meter.captured("named")(lambda: docs.schema)()
+    meter.flush()
+    return meter.read().select("metric_name", "status", "n", "failed")

@@ -9,6 +9,7 @@ from inkwell.operators import bm25_index as I
 from inkwell.operators import retrieval as R
 from inkwell.operators import similar_content as S
 from inkwell.plans.registry import query
+from inkwell.sources.chunk_store import ChunkStore
 from inkwell.sources.shared import shared_path
 from inkwell.sources.tables import spread, table
 
@@ -189,3 +190,23 @@ def similar_content_indexed(spark, sf_dir):
     """By the inverted file; the test holds it against the exact search."""
     e, q = _content(spark, sf_dir)
     return S.search(e, q, index=S.SimilarContent(e))
+
+
+@query("""WITH f AS (SELECT vec_id AS chunk_id, label % 3 AS repository_id, vec_id // 4 AS document_id, vec_id % 7 = 6 AS out FROM embeddings),
+b AS (SELECT chunk_id, repository_id, document_id, 1 AS version FROM f WHERE document_id % 3 > 0 AND NOT out UNION ALL SELECT chunk_id, repository_id, document_id, 0 FROM f WHERE document_id % 3 = 0 AND chunk_id % 2 = 0 AND NOT out)
+SELECT chunk_id, CAST(repository_id AS INT) AS repository_id, document_id, version, sha256(CAST(chunk_id AS VARCHAR)) AS key FROM b""")
+def stored_chunks(spark, sf_dir):
+    """A store of three batches: all chunks, those of two thirds of the documents again, the other third without every second chunk; a fourth one fails."""
+    e, at = table(spark, sf_dir, "embeddings"), shared_path(spark, "chunks")
+    c = e.select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 3).alias("repository_id"), F.floor(F.col("vec_id") / 4).alias("document_id"), F.col("embedding").cast("array<double>").alias("embedding"), (F.col("vec_id") % 14 == 6).alias("is_duplicate"))
+    c = c.withColumn("embedding", F.when(F.col("chunk_id") % 14 != 13, F.col("embedding")))
+    store = ChunkStore(spark, at, 64)
+    store.replace(c.withColumn("version", F.lit(0)))
+    store.replace(c.where("document_id % 3 > 0").withColumn("version", F.lit(1)))
+    store.replace(c.where("document_id % 3 = 0 and chunk_id % 2 = 0").withColumn("version", F.lit(0)))
+    try:
+        store.replace(c.where("document_id % 5 = 0").withColumn("embedding", F.slice("embedding", 1, 63)).withColumn("version", F.lit(2)))
+    except Exception as e:
+        if "not of dimension" not in str(e):
+            raise
+    return store.read().select("chunk_id", F.col("repository_id").cast("int").alias("repository_id"), "document_id", "version", "key")
