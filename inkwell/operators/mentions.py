@@ -94,7 +94,7 @@ class Finder:
 
     def references(self, text: str, own: set[str]) -> list[tuple]:
         """target, type, rule, confidence, first sentence, number of sentences."""
-        if not text or next(iter(self.ids.iter(self.normal(text))), None) is None:
+        if not text or not len(self.ids) or next(iter(self.ids.iter(self.normal(text))), None) is None:
             return []
         found: dict[str, list] = {}
         for raw in self.units(text):

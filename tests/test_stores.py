@@ -25,7 +25,7 @@ from inkwell.sources.shared import application_dir, clear, shared_path
 from inkwell.streaming import outcomes as O
 from inkwell.streaming.tables import DailyTable, UpsertTable, run
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.1"
 
 
 def bm25(docs: dict[int, list[str]], terms: set[str], k: int, allowed=lambda d: True):
@@ -91,7 +91,7 @@ def test_similar_content_recall(spark):
     index = S.SimilarContent(vectors)
     exact = {(r.query_id, r.vec_id) for r in S.search(vectors, queries, 5, exact=True).collect()}
     found = {(r.query_id, r.vec_id) for r in S.search(vectors, queries, 5, index).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+    assert len(exact) == 100 and len(exact & found) / len(exact) >= 0.9, len(exact & found)
     assert not any(v in (q, q + 1) for q, v in found)
     names = {r.name for r in S.search(vectors, queries, 5, index).collect()}
     assert "Doc-1" not in names
