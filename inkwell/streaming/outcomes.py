@@ -4,13 +4,14 @@ Messages (job_id, processor, status, ts, no) overwrite their processor's outcome
 all its processors are, FAILED when all have ended and one failed, else IN_PROGRESS; a job in progress that stays silent for
 ``timeout`` seconds is TIMED_OUT until it speaks again. Every call gives the job's row: status, processors, outcomes (length of the
 history), failed (processors, sorted) and last (time of the last message). State is RocksDB's, so it isn't held in memory,
-and a history keeps at most ``KEPT`` outcomes. With processing time, states may have a time to live.
+and a history keeps at most ``KEPT`` outcomes. With processing time, states may have a time to
+live; such a stream has batches without data all the time, so it ends only when it is stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,6 +87,3 @@ def outcomes(messages: DataFrame, timeout: float = 1800.0, lateness: str | None
     told = told if ttl is not None else told.withWatermark("ts", lateness)
     return told.groupBy("job_id").transformWithStateInPandas(Outcomes(timeout, ttl), SCHEMA, "update", "processingTime" if ttl is not None else "eventTime")
 
-
-def epoch(ms: int) -> datetime:
-    return datetime.fromtimestamp(ms / 1000, timezone.utc)

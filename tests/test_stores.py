@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 import re
+import time
 import zipfile
 from collections import Counter
 
@@ -151,7 +152,12 @@ def test_outcomes_with_time_to_live(spark):
     kept, before = UpsertTable(spark, f"{at}/jobs", ["job_id"]), spark.conf.get(key)
     spark.conf.set(key, O.PROVIDER)
     try:
-        run(O.outcomes(raw, ttl=3600.0), kept.apply, f"{at}/checkpoint", "update")
+        query = O.outcomes(raw, ttl=3600.0).writeStream.outputMode("update").foreachBatch(lambda rows, no: None if rows.isEmpty() else kept.apply(rows, no)).option("checkpointLocation", f"{at}/checkpoint").start()
+        for _ in range(100):  # such a stream has no end of its own
+            if kept.read() is not None or query.exception():
+                break
+            time.sleep(0.3)
+        query.stop()
     finally:
         spark.conf.set(key, before)
     assert [(r.job_id, r.status) for r in kept.read().collect()] == [(1, "COMPLETED")]
@@ -256,8 +262,6 @@ def test_similar_labels_are_all_pairs(spark):
 
 
 def test_stream_meter(spark, tmp_path):
-    import time
-
     from inkwell.operators.metrics import Meter, StreamMeter
 
     meter = Meter(spark, shared_path(spark, "metrics"))
