@@ -184,7 +184,7 @@ def _opened(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.posexplode(with_paths(F.col("b"))).alias("section_no", "s")).select("doc_id", "section_no", F.col("s.path").alias("section_path"), F.col("s.texts").alias("texts"))
 
 
-def _numbered() -> Column:
+def _chunk_number() -> Column:
     """A number that orders the parts of a document's sections: 32 bits for the section, 32 for the part."""
     return (F.shiftleft(F.col("section_no").cast("long"), 32) + F.col("part")).alias("chunk_no")
 
@@ -199,7 +199,7 @@ def _packed(sections: DataFrame, size: int, overlap: int, min_words: int) -> Dat
 
     s = F.flatten(F.transform("texts", T.sentences))
     out = sections.select("doc_id", "section_no", "section_path", s.alias("s")).mapInPandas(run, "doc_id long, section_no int, part int, section_path string, text string, n_words int")
-    return out.select("doc_id", _numbered(), "section_path", "text", "n_words")
+    return out.select("doc_id", _chunk_number(), "section_path", "text", "n_words")
 
 
 def _found(rows: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def semantic_hierarchy(rows: DataFrame) -> DataFrame:
     """One chunk for each element under its heading path, with an id that its place and text give."""
     rows = _found(rows).select("doc_id", "section_no", "section_path", F.posexplode("texts").alias("part", "text"))
     chunk_id = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "section_path", F.col("section_no").cast("string"), F.col("part").cast("string"), "text"), 256)
-    return rows.select("doc_id", _numbered(), "section_path", "text", T.token_count("text").alias("n_words"), chunk_id.alias("chunk_id"))
+    return rows.select("doc_id", _chunk_number(), "section_path", "text", T.token_count("text").alias("n_words"), chunk_id.alias("chunk_id"))
 
 
 def without_contents(blocks: DataFrame) -> DataFrame:
