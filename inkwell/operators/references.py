@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 
-#: Kinds of references, the pattern whose group 1 is the target, and the confidence.
+#: References without a dictionary of ids: kinds, own and coarser patterns whose group 1 is the target, confidences. Known ids: ``mentions``.
 PATTERNS = (
     ("labeled", r"(?i)\b(?:refer to|reference|see|as per|according to)[: ]+(?:document |sop |policy )?([A-Z]{2,}(?:[-_][A-Z0-9]{2,})+)", 0.92),
     ("implicit", r"\b([A-Z]{2,}(?:[-_][A-Z0-9]{2,}){2,})\b", 0.88),
