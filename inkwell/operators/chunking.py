@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,7 +94,7 @@ def fixed_overlap(docs: DataFrame, size: int = 150, overlap: int = 2, min_words:
             rows = [(d, i, "", c, len(c.split())) for d, s in zip(f["doc_id"], f["s"]) for i, c in enumerate(pack_sentences(list(s), size, overlap, min_words))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "section_path", "text", "n_words"])
 
-    return docs.select("doc_id", T.sentences("text").alias("s")).mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("s")).mapInPandas(run, SCHEMA)
 
 
 def paragraph_based(docs: DataFrame, max_paragraphs: int = 3, size: int = 150, min_words: int = 1) -> DataFrame:
@@ -152,11 +152,14 @@ def sections(blocks: DataFrame) -> DataFrame:
     return _opened(per_doc.select("doc_id", F.transform("b", lambda x: x["b"]).alias("b")))
 
 
-def sections_of_text(docs: DataFrame) -> DataFrame:
-    """Sections of plain texts, line by line, inside the row: short lines without an end mark are headings. Nothing is shuffled."""
+def sections_of_text(docs: DataFrame, level: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Sections of plain texts, line by line, inside the row: short lines without an end mark are headings. Nothing is shuffled.
+
+    ``level`` gives the depth of a heading from its text; without it all are of the first.
+    """
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     heading = lambda x: (T.token_count(x) <= 6) & ~x.rlike(r"[.!?,;:]$")
-    b = F.transform(lines, lambda x: F.struct(x.alias("text"), heading(x).alias("heading"), F.lit(1).alias("level"), F.lit("").alias("body"), F.lit(True).alias("kept")))
+    b = F.transform(lines, lambda x: F.struct(x.alias("text"), heading(x).alias("heading"), (F.lit(1) if level is None else level(x)).cast("int").alias("level"), F.lit("").alias("body"), F.lit(True).alias("kept")))
     return _opened(docs.select("doc_id", b.alias("b")))
 
 

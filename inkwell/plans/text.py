@@ -64,7 +64,25 @@ def chunk_sentence_based(spark, sf_dir):
     return K.sentence_based(docs(spark, sf_dir)).select("doc_id", "chunk_no", "text", "n_words")
 
 
-@query()
+def _packed(source: str, size: int = 150, overlap: int = 2, least: int = 60) -> str:
+    """SQL that packs sentences: source defines z (doc_id, sec, path, i, t), i from 1 without gaps in each (doc_id, sec)."""
+    return f"""WITH RECURSIVE {source},
+p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, sec ORDER BY i) AS c, count(*) OVER (PARTITION BY doc_id, sec) AS n FROM (SELECT *, len(string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) AS w FROM z)),
+e AS (SELECT a.doc_id, a.sec, a.i, a.w > {size} AS long, coalesce(max(b.i), a.i) AS e, any_value(a.n) AS n FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND a.sec = b.sec AND b.i >= a.i AND b.c - a.c + a.w <= {size} GROUP BY a.doc_id, a.sec, a.i, a.w),
+x AS (SELECT *, CASE WHEN long THEN i + 1 WHEN e < n THEN i + greatest(e - i + 1 - least({overlap}, e - i), 1) END AS following FROM e),
+v AS (SELECT doc_id, sec, i FROM x WHERE i = 1 UNION ALL SELECT x.doc_id, x.sec, x.following FROM v JOIN x USING (doc_id, sec, i) WHERE x.following <= x.n),
+k AS (SELECT v.doc_id, v.sec, v.i, 0 AS j, string_agg(p.t, ' ' ORDER BY p.i) AS text FROM v JOIN x USING (doc_id, sec, i) JOIN p ON p.doc_id = v.doc_id AND p.sec = v.sec AND p.i BETWEEN x.i AND x.e WHERE NOT x.long GROUP BY v.doc_id, v.sec, v.i
+ UNION ALL SELECT doc_id, sec, i, j, array_to_string(list_slice(ws, j + 1, j + {size}), ' ') FROM (SELECT doc_id, sec, i, ws, unnest(range(0, len(ws), {size})) AS j FROM (SELECT doc_id, sec, i, string_split(trim(regexp_replace(p.t, '\\s+', ' ', 'g')), ' ') AS ws FROM v JOIN x USING (doc_id, sec, i) JOIN p USING (doc_id, sec, i) WHERE long))),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY i, j) AS m, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS n FROM k),
+g AS (SELECT doc_id, sec, m, 1 AS grp, n AS acc FROM m WHERE m = 1 UNION ALL SELECT m.doc_id, m.sec, m.m, CASE WHEN acc < {least} THEN grp ELSE grp + 1 END, CASE WHEN acc < {least} THEN acc + n ELSE n END FROM g JOIN m ON m.doc_id = g.doc_id AND m.sec = g.sec AND m.m = g.m + 1),
+o AS (SELECT doc_id, sec, m, CASE WHEN grp > 1 AND max(acc) OVER (PARTITION BY doc_id, sec, grp) < {least} THEN grp - 1 ELSE grp END AS grp FROM g),
+c AS (SELECT doc_id, sec, grp - 1 AS part, string_agg(text, ' ' ORDER BY m) AS text, CAST(sum(n) AS INT) AS n_words FROM o JOIN m USING (doc_id, sec, m) GROUP BY doc_id, sec, grp)"""
+
+
+_WHOLE = f"z AS (SELECT doc_id, 0 AS sec, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS t FROM (SELECT doc_id, {_SENT} AS s FROM documents))"
+
+
+@query(_packed(_WHOLE) + " SELECT doc_id, CAST(part AS INT) AS chunk_no, '' AS section_path, text, n_words FROM c")
 def chunk_fixed_overlap(spark, sf_dir):
     return K.fixed_overlap(docs(spark, sf_dir))
 
@@ -76,14 +94,26 @@ def chunk_paragraph_based(spark, sf_dir):
     return K.paragraph_based(docs(spark, sf_dir)).select("doc_id", "chunk_no", "text", "n_words")
 
 
-@query()
+#: Lines, headings with as many words as their level says, and the sections under them, told by the stack of open headings.
+_SECTIONS = f"""l AS (SELECT *, len(string_split(regexp_replace(t, '\\s+', ' ', 'g'), ' ')) AS level FROM (SELECT doc_id, unnest(range(0, len(ls))) AS no, trim(unnest(ls)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE t <> ''),
+h AS (SELECT *, level <= 6 AND NOT regexp_matches(t, '[.!?,;:]$') AS h FROM l), gr AS (SELECT *, sum(CAST(h AS INT)) OVER (PARTITION BY doc_id ORDER BY no) AS grp FROM h),
+hd AS (SELECT doc_id, grp, t, CAST(level AS INT) AS level FROM gr WHERE h),
+st AS (SELECT a.doc_id, a.grp, string_agg(b.t, ' > ' ORDER BY b.grp) AS deep, count(b.t) AS depth FROM hd a JOIN hd b ON b.doc_id = a.doc_id AND (b.grp = a.grp OR b.grp < a.grp AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM hd x WHERE x.doc_id = a.doc_id AND x.grp > b.grp AND x.grp < a.grp AND x.level <= b.level)) GROUP BY 1, 2),
+se AS (SELECT gr.doc_id, gr.grp, gr.no, gr.t, dense_rank() OVER (PARTITION BY gr.doc_id ORDER BY gr.grp) - 1 AS sec FROM gr WHERE NOT h),
+u AS (SELECT doc_id, sec, grp, no, unnest(range(len(s))) AS k, unnest(s) AS t FROM (SELECT doc_id, sec, grp, no, {_SENT.replace("(text,", "(t,")} AS s FROM se))"""
+
+
+@query(_packed(_SECTIONS + ", z AS (SELECT doc_id, sec, '' AS path, row_number() OVER (PARTITION BY doc_id, sec ORDER BY no, k) AS i, t FROM u)")
+       + " SELECT doc_id, CAST(sec AS BIGINT) * 4294967296 + part AS chunk_no, coalesce(hd.t, '') AS section_path, text, n_words FROM c JOIN (SELECT DISTINCT doc_id, sec, grp FROM se) USING (doc_id, sec) LEFT JOIN hd USING (doc_id, grp)")
 def chunk_section_based(spark, sf_dir):
     return K.section_based(K.sections_of_text(docs(spark, sf_dir)))
 
 
-@query()
+@query(_packed(_SECTIONS + ", z AS (SELECT doc_id, sec, '' AS path, row_number() OVER (PARTITION BY doc_id, sec ORDER BY no, k) AS i, t FROM u)")
+       + " SELECT doc_id, CAST(sec AS BIGINT) * 4294967296 + part AS chunk_no, coalesce(array_to_string(list_slice(string_split(deep, ' > '), 1, 2), ' > '), '') AS section_path, text, n_words FROM c JOIN (SELECT DISTINCT doc_id, sec, grp FROM se) USING (doc_id, sec) LEFT JOIN st USING (doc_id, grp)")
 def chunk_hierarchical(spark, sf_dir):
-    return K.hierarchical(K.sections_of_text(docs(spark, sf_dir)))
+    """Headings are as deep as they have words; paths are cut to two of them."""
+    return K.hierarchical(K.sections_of_text(docs(spark, sf_dir), text.token_count))
 
 
 @query("""WITH l AS (SELECT doc_id, no, t, len(string_split(regexp_replace(t, '\\s+', ' ', 'g'), ' ')) <= 6 AND NOT regexp_matches(t, '[.!?,;:]$') AS h FROM (SELECT doc_id, unnest(range(0, len(ls))) AS no, trim(unnest(ls)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE t <> ''),
