@@ -94,25 +94,42 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return nodes
 
 
-def audit(good: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Two trees: (file, seq) of the leaves that differ or that only one has. Files whose trees differ in depth are read whole."""
-    key = ["file", "level", "node"]
-    a, b = good.withColumnRenamed("depth", "da").withColumnRenamed("hash", "ha"), other.withColumnRenamed("depth", "db").withColumnRenamed("hash", "hb")
+def descent(good: DataFrame, other: DataFrame, fanout: int = FANOUT) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Two trees: for each level from the highest to the leaves, the nodes compared there and those of them that mismatch, both (file, node).
+
+    A level compares the children of the mismatches above it and the roots of the trees that begin there. Files whose trees
+    differ in depth, or that one side doesn't have, are compared leaf by leaf.
+    """
+    side = lambda nodes, h: nodes.select("file", "level", "node", "depth", F.col("hash").alias(h))
+    a, b = side(good, "ha"), side(other, "hb")
     levels = max([r[0] or 0 for r in (good.agg(F.max("level")).head(), other.agg(F.max("level")).head())])
     differ = ~F.col("ha").eqNullSafe(F.col("hb"))
-    roots = a.where("level = da").drop("node").join(b.where("level = db").drop("node"), ["file", "level"], "full")
-    files = written(roots.where(differ).groupBy("file").agg(F.max(F.col("ha").isNull() | F.col("hb").isNull()).alias("whole")), "roots", narrow=True)
+    top = lambda nodes: nodes.where("level = depth").drop("level", "node")
+    # The hash of a tree's root is held against that of another depth as one that mismatches.
+    roots = top(a).join(top(b).withColumnRenamed("depth", "other_depth"), "file", "full").withColumn("whole", ~F.col("depth").eqNullSafe(F.col("other_depth")))
+    files = written(roots.where(differ | F.col("whole")).select("file", "whole", "depth"), "roots", narrow=True)
+    at = lambda nodes, i: nodes.where(F.col("level") == i).drop("level", "depth")
     found = None
-    # From the highest level on: a node is opened if its parent mismatches, or if it is the root of a file that does.
     for i in range(levels, -1, -1):
-        x = a.where(F.col("level") == i).join(files, "file")
-        y = b.where(F.col("level") == i).join(files.drop("whole"), "file")
-        both = x.join(y, key, "full").where(differ).select("file", "node", F.coalesce("da", "db").alias("depth"), F.coalesce("whole", F.lit(True)).alias("whole"))
+        opened = files.where(~F.col("whole") & (F.col("depth") == i)).select("file", F.lit(0).cast("long").alias("node"))
         if found is not None:
-            up = both.withColumn("up", F.floor(F.col("node") / fanout))
-            both = up.join(found.select("file", F.col("node").alias("up"), F.lit(True).alias("open")), ["file", "up"], "left").where(F.col("open") | F.col("whole") | (F.col("depth") == i)).select("file", "node", "depth", "whole")
-        found = written(both, "mismatch", narrow=True)
-    return found.select("file", F.col("node").alias("seq"))
+            below = F.sequence(F.col("node") * fanout, F.col("node") * fanout + (fanout - 1))
+            opened = opened.unionByName(found.select("file", F.explode(below).alias("node")))
+        compared = opened.join(at(a, i), ["file", "node"], "left").join(at(b, i), ["file", "node"], "left")
+        if i == 0:
+            whole = files.where("whole").select("file")
+            every = at(a, 0).join(whole, "file", "left_semi").join(at(b, 0).join(whole, "file", "left_semi"), ["file", "node"], "full")
+            compared = compared.unionByName(every.select(*compared.columns))
+        compared = written(compared.where(F.col("ha").isNotNull() | F.col("hb").isNotNull()), "compared", narrow=True)
+        found = compared.where(differ).select("file", "node")
+        yield compared.select("file", "node"), found
+
+
+def audit(good: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """Two trees: (file, seq) of the leaves that differ or that only one has; only mismatching branches are read (see ``descent``)."""
+    for _, found in descent(good, other, fanout):
+        leaves = found
+    return leaves.select("file", F.col("node").alias("seq"))
 
 
 def fixity_report(pages: DataFrame, replica_html: Column | None = None, file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:

@@ -632,6 +632,18 @@ def test_near_dup_repeated_ids(spark):
     assert got == [(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (7, 7, True), (8, 1, False), (9, 1, False)]
 
 
+def test_warc_descent_reads_only_mismatching_branches(spark):
+    """Two files of 1,024 and 300 records, one record damaged in the first: one path of a tree is opened, the other file's root alone."""
+    rows = [(f, i, i * 10, 10, f"{f}-{i}") for f, n in ((0, 1024), (1, 300)) for i in range(n)]
+    good = spark.createDataFrame(rows, "file long, seq long, start long, length long, digest string")
+    hurt = good.withColumn("digest", F.when((F.col("file") == 0) & (F.col("seq") == 777), "other").otherwise(F.col("digest")))
+    steps = list(warc.descent(warc.tree(good, 4), warc.tree(hurt, 4), 4))
+    assert [opened.count() for opened, _ in steps] == [1, 4, 4, 4, 4, 4]
+    assert [tuple(r) for r in steps[-1][1].collect()] == [(0, 777)]
+    same = list(warc.descent(warc.tree(good, 4), warc.tree(good, 4), 4))
+    assert sum(opened.count() for opened, _ in same) == 0
+
+
 def test_warc_replica_has_its_own_layout(spark):
     pages = spark.createDataFrame([(i, f"u{i}", "x" * (i + 5)) for i in range(200)] + [(300, "u", "y" * 200_000)], "page_id long, url string, html string").withColumn("damaged", F.lit(1))
     hurt = F.when(F.col("page_id") == 60, F.expr("left(html, length(html) - 3)")).when(F.col("page_id") == 61, F.translate("html", "x", "z")).otherwise(F.col("html"))
