@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import headings as H
 from inkwell.functions import text as T
+from inkwell.operators.understanding import embedded
 
 SCHEMA = "doc_id long, chunk_no int, section_path string, text string, n_words int"
 
@@ -358,3 +360,36 @@ STRATEGIES = {
     "fixed-overlap": fixed_overlap, "sentence-based": sentence_based, "paragraph-based": paragraph_based, "sliding-window": sliding_window,
     "section-based": section_based, "hierarchical": hierarchical, "semantic-hierarchy": semantic_hierarchy, "semantic": semantic,
 }
+
+
+def _by_meaning(docs: DataFrame, threshold: float = 0.72, max_sentences: int = 8, size: int = 150) -> DataFrame:
+    """Plain documents through ``semantic``, with the vectors that ``embedded`` makes of their sentences."""
+    said = docs.select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "text"))
+    return semantic(embedded(said), threshold, max_sentences, size)
+
+
+#: The strategies for plain documents, whose sections are found line by line.
+OF_DOCUMENTS: dict[str, Callable[..., DataFrame]] = STRATEGIES | {
+    "section-based": lambda docs, **more: section_based(sections_of_text(docs), **more), "hierarchical": lambda docs, **more: hierarchical(sections_of_text(docs), **more),
+    "semantic-hierarchy": lambda docs: semantic_hierarchy(sections_of_text(docs)), "semantic": _by_meaning,
+}
+
+
+def chunked(docs: DataFrame, strategy: str = "fixed-overlap", **options: int | float) -> DataFrame:
+    """doc_id, strategy, chunk_no, section_path, text, n_words of plain documents by a strategy's name; options are the strategy's own.
+
+    Names are taken in any case, with spaces or underscores for hyphens; an unknown one raises ValueError. Null and blank texts have no chunks.
+    """
+    name = strategy.strip().lower().replace("_", "-").replace(" ", "-")
+    if name not in OF_DOCUMENTS:
+        raise ValueError(f"unknown chunking strategy {strategy!r}; known are {', '.join(OF_DOCUMENTS)}")
+    filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = OF_DOCUMENTS[name](filled, **options)
+    path = F.col("section_path") if "section_path" in rows.columns else F.lit("")
+    return rows.where(F.trim("text") != "").select("doc_id", F.lit(name).alias("strategy"), F.col("chunk_no").cast("long").alias("chunk_no"), path.alias("section_path"), "text", "n_words")
+
+
+def preview(docs: DataFrame, strategies: dict[str, dict] | None = None) -> DataFrame:
+    """The chunks of documents by several strategies (names and their options; all with their defaults if none are told), to be compared."""
+    asked = strategies if strategies is not None else {name: {} for name in OF_DOCUMENTS}
+    return reduce(DataFrame.unionByName, [chunked(docs, name, **options) for name, options in asked.items()])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,3 +235,55 @@ def dashboard(hours: DataFrame, sections: dict[str, list[str]], start: Column |
 
 
 _SHOWN = ("n", "ok", "failed", "timed", "avg_ms", "min_ms", "max_ms", "first_ts", "last_ts", "sketch")
+
+
+# How the types of business events begin.
+BUSINESS_PREFIXES = ("REPOSITORY_", "DOCUMENT_", "SEARCH_", "CITATION_", "PERMISSION_", "USER_LOGIN", "USER_PASSWORD_")
+
+
+@dataclass(frozen=True)
+class AuditQuery:
+    """What an audit list is asked for; None and empty texts ask for nothing. Pages begin at 1 and have 1 to 500 rows."""
+
+    search: str | None = None
+    date_from: str | None = None
+    date_to: str | None = None
+    request_id: str | None = None
+    correlation_id: str | None = None
+    application_name: str | None = None
+    repository_id: str | None = None
+    status: str | None = None
+    event_type: str | None = None
+    entity_type: str | None = None
+    entity_id: str | None = None
+    has_changes: bool | None = None
+    category: str | None = None
+    action: str | None = None
+    source: str | None = None
+    business_only: bool = False
+    page: int = 1
+    page_size: int = 50
+
+    def condition(self) -> Column:
+        """All predicates as one condition, which reaches the scan."""
+        held = [F.col(n) == getattr(self, n) for n in ("request_id", "correlation_id", "application_name", "status", "event_type", "entity_type", "entity_id", "category", "action", "source") if getattr(self, n)]
+        if self.search:
+            held.append(reduce(or_, [F.col(n).ilike(f"%{self.search}%") for n in ("event_type", "entity_type", "entity_id", "exception", "metadata")]))
+        if self.date_from:
+            held.append(F.col("ts") >= F.lit(self.date_from).cast("timestamp"))
+        if self.date_to:
+            held.append(F.col("ts") <= F.lit(self.date_to).cast("timestamp"))
+        if self.repository_id:
+            held.append((F.col("entity_id") == self.repository_id) | (F.get_json_object("metadata", "$.repository_id") == self.repository_id))
+        if self.has_changes is not None:
+            changed = F.coalesce(F.col("changes") != "[]", F.lit(False))
+            held.append(changed if self.has_changes else ~changed)
+        if self.business_only:
+            held.append(reduce(or_, [F.upper("event_type").startswith(p) for p in BUSINESS_PREFIXES]))
+        return reduce(and_, held, F.lit(True))
+
+
+def audit_events(events: DataFrame, asked: AuditQuery) -> tuple[DataFrame, DataFrame]:
+    """The page of events that were asked for, the newest first, and one row with the total of all pages."""
+    hits = events.where(asked.condition())
+    return page(hits, [F.desc("ts"), F.desc("id")], max(1, asked.page), max(1, min(asked.page_size, 500))), hits.agg(F.count(F.lit(1)).alias("total"))

@@ -43,3 +43,27 @@ def violations(resolved: DataFrame, documents: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, node: str | int) -> DataFrame:
     """edges (source, target): the edges at a node in either direction."""
     return edges.where((F.col("source") == node) | (F.col("target") == node)).distinct()
+
+
+def graph(mentions: DataFrame, documents: DataFrame) -> DataFrame:
+    """mentions (source, target), documents (document_id, name): the edges around every source, as center, source, target and type.
+
+    A document refers to the one a target is resolved to and mentions the reference, which targets that document. Ids are
+    texts; a reference's is source::target. One center's network is a filter on ``center``.
+    """
+    r = resolve(mentions.select("source", "target").distinct(), documents)
+    me, ref, other = F.col("source").cast("string"), F.concat_ws("::", F.col("source").cast("string"), "target"), F.col("resolved").cast("string")
+    edge = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"))
+    found = F.array(edge(me, ref, "MENTIONS_REFERENCE"), edge(ref, other, "TARGETS"), edge(me, other, "REFERS_TO"))
+    return r.select(me.alias("center"), F.explode(found).alias("e")).select("center", "e.*").where("target is not null").distinct()
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    """center, id and label of the nodes that a center's edges touch."""
+    both = edges.select("center", F.explode(F.array("source", "target")).alias("id"))
+    return both.distinct().withColumn("label", F.when(F.col("id").contains("::"), "Reference").otherwise("Document"))
+
+
+def referenced_by(edges: DataFrame) -> DataFrame:
+    """document_id and source: which documents refer to each."""
+    return edges.where("type = 'REFERS_TO'").select(F.col("target").alias("document_id"), "source").distinct()

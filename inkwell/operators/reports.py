@@ -138,3 +138,10 @@ def confidence_distribution(rows: DataFrame) -> DataFrame:
 def page_range(blocks: DataFrame, by: str = "chunk_id") -> DataFrame:
     """First and last page and line of the blocks of a chunk; what isn't known stays out."""
     return blocks.groupBy(by).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min(F.coalesce("line_start", "line_number")).alias("line_start"), F.max(F.coalesce("line_end", "line_start", "line_number")).alias("line_end"))
+
+
+def answer_summary(rows: DataFrame) -> DataFrame:
+    """rows (query_id, confidence, complexity_score, complexity_level) of an answer's chunks: averages, extremes, and how many are of each level."""
+    level = lambda name: F.count_if(F.col("complexity_level") == name)
+    hard = rows.groupBy("query_id").agg(F.avg("complexity_score").alias("average_complexity"), *[level(n).alias(f"complexity_{n.lower()}") for n in ("Low", "Medium", "High")])
+    return confidence_distribution(rows).join(hard, "query_id")

@@ -85,10 +85,14 @@ c AS (SELECT *, {_CLAMP.format('0.30 * hard + 0.30 * technical + 0.20 * entity +
 SELECT doc_id, round(score, 6) AS complexity_score, CASE WHEN score <= 0.30 THEN 'Low' WHEN score >= 0.71 THEN 'High' ELSE 'Medium' END AS complexity_level, round(technical, 6) AS technical_density, round(entity, 6) AS entity_density, round(lists, 6) AS list_density, round(tabs, 6) AS table_density FROM c""")
 def passage_complexity(spark, sf_dir):
     """Documents without their non-ASCII letters, a third of them with lists, tables, formulas or code added."""
+    return complexities(table(spark, sf_dir, "documents"))
+
+
+def complexities(docs):
     nl = "\n"
     more = F.when(F.col("doc_id") % 5 == 0, f"{nl}- item SOP-12 HPLC{nl}| a | b |").when(F.col("doc_id") % 5 == 1, " ISO 9001 = x + y*2 camelCase 12 mg").when(F.col("doc_id") % 5 == 2, f"{nl}    code{nl}1) step").otherwise("")
     t = F.trim(F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]+", " "), more), F.lit(" \t\n\x0b\x0c\r"))
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", t.alias("t"))
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", t.alias("t"))
     c = evidence.complexity("t")
     return rows.select("doc_id", *[(c[n] if n.endswith("level") else F.round(c[n], 6)).alias(n) for n in ("complexity_score", "complexity_level", "technical_density", "entity_density", "list_density", "table_density")])
 
