@@ -142,7 +142,9 @@ def test_percentiles_are_exact(spark):
     x = np.concatenate([rng.exponential(50, 3000), [7.0] * 500, [1.0, 2.0]])
     g = np.where(np.arange(len(x)) < len(x) - 2, "big", "small")
     df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, x)] + [("big", None), ("none", None)], "g string, v double")
-    got = {r.g: (r.n, r.p) for r in observability.percentiles(df, ["g"], "v", [0.0, 0.5, 0.95, 0.99, 1.0], buckets=20).collect()}
+    ways = [{r.g: (r.n, r.p) for r in observability.percentiles(df, ["g"], "v", [0.0, 0.5, 0.95, 0.99, 1.0], small=small, accuracy=50).collect()} for small in (0, 1_000_000)]
+    got = ways[0]
+    assert all(ways[1][g] == (n, pytest.approx(p)) for g, (n, p) in got.items())
     for name in ("big", "small"):
         n, p = got.pop(name)
         assert n == (g == name).sum() and p == pytest.approx(np.percentile(x[g == name], [0, 50, 95, 99, 100]))
