@@ -150,9 +150,18 @@ def document_validation(spark, sf_dir):
     return validate.validate(got.select("doc_id", "field_name", F.lit("number").alias("type"), F.lit(True).alias("required")), got)
 
 
-@query()
+#: Lines with labels that documents get: one twice, one whose value is its label, one too long, one without a value.
+_LABELLED = """concat(coalesce(text, ''), chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('Owner : team ', doc_id % 7, chr(10)) ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN concat('Valid from = 2024-01-', 10 + doc_id % 20, chr(10)) ELSE '' END,
+ CASE WHEN doc_id % 4 = 0 THEN concat('OWNER: nobody', chr(10), 'Same: same', chr(10)) ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN concat('  a label of far too many words here: x', chr(10), 'Empty:', chr(10), 'Ratio: 1:', doc_id, '  ') ELSE '' END)"""
+_PAIR = r"'^\s*([A-Za-z][^:\n]*?)\s*[:=]\s*(\S.*?)\s*$'"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split({_LABELLED}, chr(10)) AS ls FROM documents)),
+p AS (SELECT doc_id, CAST(pos AS INT) AS pos, trim(regexp_extract(line, {_PAIR}, 1)) AS label, regexp_extract(line, {_PAIR}, 2) AS value FROM l)
+SELECT doc_id, label, value, pos FROM p WHERE length(label) BETWEEN 1 AND 64 AND len(string_split(label, ' ')) <= 6 AND lower(label) <> lower(value) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(label) ORDER BY pos) = 1""")
 def label_value_pairs(spark, sf_dir):
-    return validate.label_pairs(docs(spark, sf_dir))
+    """Documents with planted labels, beside the labels that they have."""
+    return validate.label_pairs(docs(spark, sf_dir).select("doc_id", F.expr(_LABELLED).alias("text")))
 
 
 @query("""WITH m AS (SELECT p_partkey AS source, 'PN-' || p_brand || '-' || p_size AS name FROM part), r AS (SELECT source, upper(replace(replace(name, '#', '-'), ' ', '')) AS target FROM m),
