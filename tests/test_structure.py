@@ -88,3 +88,12 @@ def test_audit_lists(spark):
     assert ids(repository_id="0") == [0, 1] and ids(search="NO JS") == [2] and ids(date_from="2024-01-01") == []
     rows, total = obs.audit_events(trail, obs.AuditQuery(page=2, page_size=2))
     assert rows.count() == 1 and total.head()[0] == 3
+
+
+def test_detected_sections_judge_each_block_once(spark):
+    """Regexes aren't repeated by nested rules, and one partition of blocks is dealt out before it is judged."""
+    blocks = spark.createDataFrame([(d, n, t, None, None, "", False) for d in (1, 2) for n, t in enumerate(("1.0OBJECTIVE This is the body of it", "2. Scope:", "words", "AB C", "a: b"))], "doc_id long, block_no int, text string, component_type string, heading_level int, style string, bold boolean").coalesce(1)
+    rows = K.detected_sections(blocks)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 400 and plan.index("RepartitionByExpression [doc_id") > plan.rindex("RLIKE")
+    assert sorted((r.doc_id, r.section_path, list(r.texts)) for r in rows.collect())[:2] == [(1, "1.0 OBJECTIVE", ["This is the body of it"]), (1, "2. Scope", ["words", "AB C", "a: b"])]
