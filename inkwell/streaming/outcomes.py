@@ -11,68 +11,75 @@ live; such a stream has batches without data all the time, so it ends only when
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Outcomes that a job's history keeps.
 KEPT = 1000
-SCHEMA = "job_id long, status string, processors int, outcomes int, failed string, last timestamp, version long"
+SCHEMA = "job_id long, status string, processors int, outcomes int, failed string, last long, version long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROW = Row("job_id", "status", "processors", "outcomes", "failed", "last", "version")
 
 
 class Outcomes(StatefulProcessor):
+    """Times are microseconds. Every call on a state is a trip to the JVM, so a job's plan and facts are read once a batch, and not at all where it is new."""
+
     def __init__(self, timeout: float, ttl: float | None):
         self.timeout, self.ttl = timeout, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.ttl is None else int(self.ttl * 1000)
         self.handle = handle
-        self.plan = handle.getMapState("plan", "processor string", "status string, ts timestamp", ttl)
-        self.history = handle.getListState("history", "processor string, status string, ts timestamp", ttl)
-        self.facts = handle.getValueState("facts", "outcomes int, version long, last timestamp", ttl)
-
-    def _row(self, key: tuple, status: str | None = None) -> pd.DataFrame:
-        plan = {k[0]: v[0] for k, v in self.plan.iterator()}
-        outcomes, version, last = self.facts.get()
-        failed = sorted(p for p, s in plan.items() if s == "FAILED")
-        ended = all(s in ("COMPLETED", "FAILED") for s in plan.values())
+        self.plan = handle.getMapState("plan", "processor string", "status string, at long", ttl)
+        self.history = handle.getListState("history", "processor string, status string, at long", ttl)
+        self.facts = handle.getValueState("facts", "outcomes int, version long, last long", ttl)
+
+    @staticmethod
+    def _row(key: tuple, plan: dict[str, tuple], facts: tuple, status: str | None = None) -> Row:
+        outcomes, version, last = facts
+        failed = sorted(p for p, (s, _) in plan.items() if s == "FAILED")
+        ended = all(s in ("COMPLETED", "FAILED") for s, _ in plan.values())
         state = status or ("FAILED" if failed else "COMPLETED") if ended or status else "IN_PROGRESS"
-        return pd.DataFrame({"job_id": [key[0]], "status": [state], "processors": [len(plan)], "outcomes": [outcomes], "failed": [",".join(failed)], "last": [pd.Timestamp(last)], "version": [version]})
+        return _ROW(key[0], state, len(plan), outcomes, ",".join(failed), last, version)
+
+    def _plan(self) -> dict[str, tuple]:
+        return {k[0]: tuple(v) for k, v in self.plan.iterator()}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "no"])
-        told = [(p, s, t.to_pydatetime()) for p, s, t in zip(new["processor"], new["status"], new["ts"])]
-        latest = {}
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        told = [(r.processor, r.status, r.at) for r in sorted(rows, key=lambda r: (r.at, r.no is None, r.no or 0))]
+        facts = self.facts.get()
+        plan = {} if facts is None else self._plan()
+        changed = {}
         for p, s, t in told:
-            latest[p] = (s, t)
-        for p, (s, t) in latest.items():
-            known = self.plan.getValue((p,)) if self.plan.containsKey((p,)) else None
-            if known is None or known[1] <= t:
-                self.plan.updateValue((p,), (s, t))
-        outcomes, version, last = self.facts.get() if self.facts.exists() else (0, 0, told[0][2])
-        last = max(last, told[-1][2])
-        self.facts.update((outcomes + len(told), version + 1, last))
-        if outcomes + len(told) > KEPT:
+            if p not in plan or plan[p][1] <= t:
+                plan[p] = changed[p] = (s, t)
+        for p, outcome in changed.items():
+            self.plan.updateValue((p,), outcome)
+        outcomes, version, last = (0, 0, told[0][2]) if facts is None else facts
+        now = (outcomes + len(told), version + 1, max(last, told[-1][2]))
+        self.facts.update(now)
+        if now[0] > KEPT:
             self.history.put(([tuple(x) for x in self.history.get()] + told)[-KEPT:])
         else:
             self.history.appendList(told)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        row = self._row(key)
-        if row["status"][0] == "IN_PROGRESS":
-            base = timerValues.getCurrentProcessingTimeInMs() if self.ttl is not None else last.replace(tzinfo=last.tzinfo or timezone.utc).timestamp() * 1000
+        if facts is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        row = self._row(key, plan, now)
+        if row.status == "IN_PROGRESS":
+            base = timerValues.getCurrentProcessingTimeInMs() if self.ttl is not None else now[2] / 1000
             self.handle.registerTimer(int(base + self.timeout * 1000))
         yield row
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.facts.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        facts = self.facts.get()
+        if facts is None:
             return
-        outcomes, version, last = self.facts.get()
-        self.facts.update((outcomes, version + 1, last))
-        yield self._row(key, "TIMED_OUT")
+        now = (facts[0], facts[1] + 1, facts[2])
+        self.facts.update(now)
+        yield self._row(key, self._plan(), now, "TIMED_OUT")
 
     def close(self) -> None:
         pass
@@ -83,7 +90,7 @@ def outcomes(messages: DataFrame, timeout: float = 1800.0, lateness: str | None
 
     Silence is measured in event time behind the watermark; with ``ttl`` (seconds) in processing time, and states end then.
     """
-    told = messages.where("job_id is not null and ts is not null").select("job_id", "processor", "status", "ts", "no")
+    told = messages.where("job_id is not null and ts is not null").select("job_id", "processor", "status", "ts", "no", F.unix_micros("ts").alias("at"))
     told = told if ttl is not None else told.withWatermark("ts", lateness)
-    return told.groupBy("job_id").transformWithStateInPandas(Outcomes(timeout, ttl), SCHEMA, "update", "processingTime" if ttl is not None else "eventTime")
-
+    rows = told.groupBy("job_id").transformWithState(Outcomes(timeout, ttl), SCHEMA, "update", "processingTime" if ttl is not None else "eventTime")
+    return rows.withColumn("last", F.timestamp_micros("last"))

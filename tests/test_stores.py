@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkwell.functions import headings, lines
@@ -145,6 +146,30 @@ def test_outcomes_go_on_from_their_checkpoint(spark):
     assert got == {1: ("FAILED", 2, 3, "b"), 2: ("COMPLETED", 1, 2, ""), 3: ("TIMED_OUT", 1, 1, ""), 4: ("COMPLETED", 1, 1, ""), 5: ("IN_PROGRESS", 1, 1, "")}
 
 
+def test_outcomes_ask_their_states_once():
+    """A new job's outcomes are written without reading anything but its facts; a known job's plan is read once."""
+    calls = Counter()
+
+    class State:
+        def __init__(self, **out):
+            self.out = out
+
+        def __getattr__(self, name):
+            return lambda *_: calls.update([name]) or self.out.get(name)
+
+    told = lambda *rows: iter([Row(processor=p, status=s, at=t, no=n) for p, s, t, n in rows])
+    o = O.Outcomes(60.0, None)
+    o.plan, o.history, o.facts, o.handle = State(), State(), State(), State()
+    (row,) = o.handleInputRows((1,), told(("b", "FAILED", 5, 1), ("a", "IN_PROGRESS", 7, 2), ("b", "COMPLETED", 5, 2)), State())
+    assert (row.status, row.processors, row.outcomes, row.failed, row.last) == ("IN_PROGRESS", 2, 3, "", 7)
+    assert calls == {"get": 1, "updateValue": 2, "update": 1, "appendList": 1, "registerTimer": 1}
+    calls.clear()
+    o.plan, o.facts, o.handle = State(iterator=[(("a",), ("FAILED", 9))]), State(get=(1, 1, 9)), State(listTimers=[3])
+    (row,) = o.handleInputRows((1,), told(("a", "COMPLETED", 8, 3)), State())  # late: the later outcome stays
+    assert (row.status, row.processors, row.outcomes, row.failed, row.last, row.version) == ("FAILED", 1, 2, "a", 9, 2)
+    assert calls == {"get": 1, "iterator": 1, "update": 1, "appendList": 1, "listTimers": 1, "deleteTimer": 1}
+
+
 def test_outcomes_with_time_to_live(spark):
     at, key = shared_path(spark, "ttl"), "spark.sql.streaming.stateStore.providerClass"
     messages(spark, at, [(1, "a", "COMPLETED", dt.datetime(2024, 1, 1), 0)])
