@@ -140,8 +140,13 @@ def page_range(blocks: DataFrame, by: str = "chunk_id") -> DataFrame:
     return blocks.groupBy(by).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min(F.coalesce("line_start", "line_number")).alias("line_start"), F.max(F.coalesce("line_end", "line_start", "line_number")).alias("line_end"))
 
 
-def answer_summary(rows: DataFrame) -> DataFrame:
-    """rows (query_id, confidence, complexity_score, complexity_level) of an answer's chunks: averages, extremes, and how many are of each level."""
+def exact_mean(x: Column, digits: int = 6) -> Column:
+    """The mean of values of so many decimals, whatever their order: they are summed as whole numbers."""
+    return F.sum(F.round(x * 10**digits).cast("long")) / F.lit(float(10**digits)) / F.count(x)
+
+
+def answer_summary(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """rows (query_id, confidence, complexity_score, complexity_level) of an answer's chunks, scores of ``digits`` decimals: averages, extremes, and how many are of each level."""
     level = lambda name: F.count_if(F.col("complexity_level") == name)
-    hard = rows.groupBy("query_id").agg(F.avg("complexity_score").alias("average_complexity"), *[level(n).alias(f"complexity_{n.lower()}") for n in ("Low", "Medium", "High")])
-    return confidence_distribution(rows).join(hard, "query_id")
+    hard = rows.groupBy("query_id").agg(exact_mean(F.col("complexity_score"), digits).alias("average_complexity"), exact_mean(F.col("confidence"), digits).alias("average_confidence"), *[level(n).alias(f"complexity_{n.lower()}") for n in ("Low", "Medium", "High")])
+    return confidence_distribution(rows).drop("avg_confidence").join(hard, "query_id")

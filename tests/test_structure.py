@@ -97,3 +97,14 @@ def test_detected_sections_judge_each_block_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") < 400 and plan.index("RepartitionByExpression [doc_id") > plan.rindex("RLIKE")
     assert sorted((r.doc_id, r.section_path, list(r.texts)) for r in rows.collect())[:2] == [(1, "1.0 OBJECTIVE", ["This is the body of it"]), (1, "2. Scope", ["words", "AB C", "a: b"])]
+
+
+def test_means_of_an_answer_do_not_depend_on_the_order(spark):
+    """80 scores whose sum is 10.3158: their mean is the same however they are dealt, and lies at a half behind the sixth decimal."""
+    from inkwell.operators import reports as R
+
+    scores = [0.1] * 40 + [0.157895] * 40
+    rows = spark.createDataFrame([(1, 0.5, s, "Low") for s in scores], "query_id long, confidence double, complexity_score double, complexity_level string")
+    for n in (1, 3, 7):
+        (r,) = R.answer_summary(rows.repartition(n)).collect()
+        assert (r.average_complexity, r.average_confidence, r.complexity_low, r.low) == (10.3158 / 80, 0.5, 80, 0)
