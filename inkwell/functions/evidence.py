@@ -75,27 +75,42 @@ def flags(text: Column, page: Column, line: Column, section: Column, evidence: C
 
 def _syllables(word: Column) -> Column:
     """Groups of vowels, one less for a silent e; short words have one, words without letters none."""
-    w = F.lower(F.regexp_replace(word, "[^a-zA-Z]", ""))
-    n = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0)))
+    rest = lambda w: held(F.regexp_count(w, F.lit("[aeiouy]+")), lambda n: F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0)))
+    return held(F.lower(F.regexp_replace(word, "[^a-zA-Z]", "")), lambda w: F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(rest(w)))
+
+
+def _readability(text: Column) -> Column:
+    """A struct of the columns of ``readability``; each step is held once, the words, the counts, and what is made of them."""
+    begun = held(F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n\x0b\x0c")), lambda t: F.struct(
+        F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9'\-]*"), F.lit(0)).alias("words"), F.size(F.filter(F.split(t, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x) != "")).alias("parts"),
+    ))
+
+    def counts(c: Column) -> Column:
+        n, words = F.size(c["words"]), c["words"]
+        s, y = F.when(n == 0, 0).otherwise(F.greatest(c["parts"], F.lit(1))), F.aggregate(words, F.lit(0), lambda a, w: a + _syllables(w))
+        return F.struct(n.alias("n"), s.alias("s"), y.alias("y"), F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)).alias("length"))
+
+    def graded(c: Column) -> Column:
+        n, per_s, per_w = c["n"], c["n"] / c["s"], c["y"] / c["n"]
+        ease = F.when(n == 0, 100.0).otherwise(clamp(206.835 - 1.015 * per_s - 84.6 * per_w, 0.0, 100.0))
+        grade = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 0.39 * per_s + 11.8 * per_w - 15.59))
+        average = {"avg_sentence": F.when(n == 0, 0.0).otherwise(per_s), "avg_word": F.when(n == 0, 0.0).otherwise(c["length"] / n)}
+        return F.struct(n.alias("n_words"), c["s"].alias("n_sentences"), c["y"].alias("n_syllables"), *[v.alias(k) for k, v in average.items()], ease.alias("ease"), grade.alias("grade"))
+
+    def whole(g: Column) -> Column:
+        hard = F.when(g["n_words"] == 0, 0.0).otherwise(clamp(0.65 * (1 - g["ease"] / 100) + 0.35 * clamp(g["grade"] / 18)))
+        return F.struct(*[g[k].alias(k) for k in READABILITY[:-1]], hard.alias("complexity"))
+
+    return held(held(held(begun, counts), graded), whole)
+
+
+READABILITY = ("n_words", "n_sentences", "n_syllables", "avg_sentence", "avg_word", "ease", "grade", "complexity")
 
 
 def readability(text: Column | str) -> dict[str, Column]:
     """n_words, n_sentences, n_syllables, average lengths, Flesch ease (0..100), Flesch-Kincaid grade (>= 0), and a complexity between 0 and 1."""
-    t = F.trim(F.coalesce(col(text), F.lit("")), F.lit(" \t\r\n\x0b\x0c"))
-    words = F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9'\-]*"), F.lit(0))
-    n = F.size(words)
-    parts = F.size(F.filter(F.split(t, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x) != ""))
-    s = F.when(n == 0, 0).otherwise(F.greatest(parts, F.lit(1)))
-    y = F.aggregate(words, F.lit(0), lambda a, w: a + _syllables(w))
-    per_s, per_w = n / s, y / n
-    ease = F.when(n == 0, 100.0).otherwise(clamp(206.835 - 1.015 * per_s - 84.6 * per_w, 0.0, 100.0))
-    grade = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 0.39 * per_s + 11.8 * per_w - 15.59))
-    hard = F.when(n == 0, 0.0).otherwise(clamp(0.65 * (1 - ease / 100) + 0.35 * clamp(grade / 18)))
-    length = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    return {
-        "n_words": n, "n_sentences": s, "n_syllables": y, "avg_sentence": F.when(n == 0, 0.0).otherwise(per_s), "avg_word": F.when(n == 0, 0.0).otherwise(length / n), "ease": ease, "grade": grade, "complexity": hard,
-    }
+    r = _readability(col(text))
+    return {k: r[k] for k in READABILITY}
 
 
 # Technical terms, entities and structure that make a text complex, and their weights.
@@ -128,19 +143,19 @@ COMPLEXITY_LEVELS = (0.30, 0.71)
 def complexity(text: Column | str, entities: Column | None = None) -> dict[str, Column]:
     """complexity_score and level, and the densities it is made of. entities: how many are known already (0: they are estimated)."""
     t = F.coalesce(col(text), F.lit(""))
-    r = readability(t)
     some = lambda ps: F.size(F.array_distinct(F.flatten(F.array(*[found(t, p) for p in ps]))))
     many = lambda *ps: sum((F.size(found(t, p)) for p in ps), F.lit(0))
     parts = {
-        "words": r["n_words"], "sentences": r["n_sentences"], "hard": r["complexity"], "technical": some(TECHNICAL), "guessed": some(ENTITIES), "known": F.coalesce(entities, F.lit(0)) if entities is not None else F.lit(0),
+        "read": _readability(t), "technical": some(TECHNICAL), "guessed": some(ENTITIES), "known": F.coalesce(entities, F.lit(0)) if entities is not None else F.lit(0),
         "lists": many(BULLETS), "tables": many(*TABLES), "equations": many(EQUATIONS), "code": many(*CODE),
     }
 
     def densities(c: Column) -> Column:
-        words, sentences = F.greatest(c["words"], F.lit(1)), F.greatest(c["sentences"], F.lit(1))
-        of_words = lambda n: F.when(c["words"] <= 0, 0.0).otherwise(clamp(n / words))
+        r = c["read"]
+        words, sentences = F.greatest(r["n_words"], F.lit(1)), F.greatest(r["n_sentences"], F.lit(1))
+        of_words = lambda n: F.when(r["n_words"] <= 0, 0.0).otherwise(clamp(n / words))
         entity = of_words(F.when(c["known"] > 0, c["known"]).otherwise(c["guessed"]))
-        d = {"hard": c["hard"], "technical": of_words(c["technical"]), "entity": entity, "lists": clamp(c["lists"] / sentences), "tables": clamp(c["tables"] / sentences), "equations": clamp(c["equations"] / words), "code": clamp(c["code"] / sentences)}
+        d = {"hard": r["complexity"], "technical": of_words(c["technical"]), "entity": entity, "lists": clamp(c["lists"] / sentences), "tables": clamp(c["tables"] / sentences), "equations": clamp(c["equations"] / words), "code": clamp(c["code"] / sentences)}
         return F.struct(*[v.cast("double").alias(k) for k, v in d.items()])
 
     def scored(d: Column) -> Column:

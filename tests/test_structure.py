@@ -108,3 +108,16 @@ def test_means_of_an_answer_do_not_depend_on_the_order(spark):
     for n in (1, 3, 7):
         (r,) = R.answer_summary(rows.repartition(n)).collect()
         assert (r.average_complexity, r.average_confidence, r.complexity_low, r.low) == (10.3158 / 80, 0.5, 80, 0)
+
+
+def test_rules_of_texts_are_planned_once(spark):
+    """Readability takes a text's words once in a column, not once in every use; a literal keyword is looked for before its expression."""
+    from inkwell.functions import evidence
+
+    df = spark.createDataFrame([("The able make 12. Rhythm!",), ("",), (None,)], "text string")
+    r = evidence.readability("text")
+    plan = df.select(r["complexity"].alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("A-Za-z0-9][A-Za-z0-9") == 1
+    got = df.select(*[r[k].alias(k) for k in ("n_words", "n_sentences", "n_syllables")]).collect()
+    assert [tuple(x) for x in got] == [(5, 2, 4), (0, 0, 0), (0, 0, 0)]
+    assert "contains" in df.select(detect.topics("text"))._jdf.queryExecution().analyzed().toString().lower()
