@@ -129,6 +129,20 @@ def test_mentions_and_dictionary_parts(spark):
     assert N.mentions(docs.limit(0), known).count() == 0 and N.mentions(docs, known.limit(0)).count() == 0
 
 
+def test_mentions_read_texts_once_for_any_dictionary(spark):
+    """A dictionary of many times the size given costs no further reading of texts; ids have odd signs, joining signs at their ends, and stand behind labels."""
+    known = spark.createDataFrame([(f"SOP_{i:03d}_QA",) for i in range(400)] + [("SOP (QA) 7",), ("/A-1.",), ("A-1",), ("7-ÉB",), ("NO7",)], "name string")
+    told = ["see SOP-007-QA", "see SOP(QA)7, or xSOP(QA)7", "refer to /A-1. now", "see ../A-1", "Ref-SOP-009-QA", "Document NoSOP-010-QA", "see SOP-011-QA.pdf.", "see 7-ÉB", "see SOP-012-QA.PDF.PDF", "see 1.SOP-013-QA"]
+    read = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string").withColumn("text", count("text"))
+    want = {(0, "SOP-007-QA", "lead"), (1, "SOP(QA)7", "lead"), (2, "/A-1.", "lead"), (2, "A-1", "trigger"), (3, "A-1", "trigger"), (4, "SOP-009-QA", "label"), (5, "SOP-010-QA", "label"), (6, "SOP-011-QA", "lead"), (7, "7-ÉB", "lead")}
+    for size in (1 << 20, 600):
+        before = read.value
+        assert {(r.doc_id, r.target, r.rule) for r in N.mentions(docs, known, size=size).collect()} == want
+        assert read.value - before == len(told)
+
+
 def messages(spark, at, rows):
     spark.createDataFrame(rows, "job_id long, processor string, status string, ts timestamp, no long").coalesce(1).write.mode("append").parquet(f"{at}/in")
 
