@@ -1,5 +1,6 @@
 """Tables, topics, chunks by a strategy's name, networks of references and audit lists on small inputs."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,13 @@ def test_rules_of_texts_are_planned_once(spark):
     got = df.select(*[r[k].alias(k) for k in ("n_words", "n_sentences", "n_syllables")]).collect()
     assert [tuple(x) for x in got] == [(5, 2, 4), (0, 0, 0), (0, 0, 0)]
     assert "contains" in df.select(detect.topics("text"))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_packing_holds_few_chunks():
+    """A batch of many rows goes on in small batches of chunks, whose rows are those of whole packing."""
+    said = [[f"Row {i} has sentence {k} of six words." for k in range(i % 40)] for i in range(500)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(said, pa.list_(pa.string()))], names=["doc_id", "s"])
+    out = list(K.packer(["doc_id"], 20, 1, 5, most=5000)([rows]))
+    want = [(i, k, c, len(c.split())) for i, s in enumerate(said) for k, c in enumerate(K.pack_sentences(s, 20, 1, 5))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+    assert len(out) > 10 and max(sum(map(len, b.column("text").to_pylist())) for b in out) < 10_000
