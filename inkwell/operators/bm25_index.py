@@ -9,7 +9,8 @@ blocks of a term lie in the order of their weights. ``best`` is the largest tf /
 with the segment's own average length; as lengths only enter through dl / avgdl, the bound for another average is at most
 max(1, avgdl / the segment's) times that.
 
-Searching is exact. Few postings are scored at once. For more, a first look at the best block of
+Searching is exact. Few postings are scored at once. More of them are gathered by document where the queries fit a table of
+terms by queries, and documents are scored whole, of which each task keeps its k best. For more queries, a first look at the best block of
 every asked term gives each query a score that k documents reach.
 Terms whose best weights together stay below it can't make a result (they are the tail of the query); of the other
 terms only blocks are read that can reach it with the best weights of all others, and documents whose weight so far and
@@ -19,6 +20,7 @@ the tail's best weights stay below it go before the tail is looked up for what i
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
+from inkwell.operators import retrieval as R
 from inkwell.operators.retrieval import K1, B, small, top
 from inkwell.sources.shared import application_dir, written
 
@@ -62,6 +65,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, t: tokens) to their terms and how often they have them; a document's tokens are one row, so nothing is shuffled."""
+
+    def told(rows: list[tuple[int, int, Counter]]) -> pa.RecordBatch:
+        n = [len(c) for _, _, c in rows]
+        ids, lengths = (pa.array(np.repeat(np.array([r[i] for r in rows], kind), n)) for i, kind in ((0, np.int64), (1, np.int32)))
+        return pa.RecordBatch.from_arrays([ids, lengths, pa.array([w for _, _, c in rows for w in c], pa.string()), pa.array([x for _, _, c in rows for x in c.values()], pa.int32())], names=["doc_id", "dl", "term", "tf"])
+
+    for b in batches:
+        rows, held = [], 0
+        for i in range(b.num_rows):
+            words = b.column("t")[i].as_py()
+            rows.append((b.column("doc_id")[i].as_py(), len(words), Counter(words)))
+            held += len(rows[-1][2])
+            if held > 50_000:
+                yield told(rows)
+                rows, held = [], 0
+        if rows:
+            yield told(rows)
+
+
 class Bm25Index:
     """The index below a path; ``scopes`` are columns of the documents that searches may be narrowed by."""
 
@@ -93,7 +117,7 @@ class Bm25Index:
         out = f"{self.path}/docs/segment={segment}"
         t.select("doc_id", *scopes, F.size("t").alias("dl")).write.parquet(out)
         n, length = self.spark.read.parquet(out).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).head()
-        counted = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        counted = t.select("doc_id", "t").mapInArrow(_counts, "doc_id long, dl int, term string, tf int")
         part = F.col("tf") / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / max(length / max(n, 1), 1e-9)))
         rows = counted.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "doc_id", "tf", "dl", part.alias("part"))
         rows = written(rows, "counted_terms")  # the range partitioning samples its input first
@@ -178,6 +202,9 @@ class Bm25Index:
         if pairs <= DIRECT:
             total = scored(weights(found.join(small(wanted.select("query_id", "term", "idf")), "term")))
             return self._ranked(total, k, min_score, digits)
+        size = wanted.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q"), F.count_if(F.col("query_id").isNull()).alias("unnamed")).head()
+        if size["t"] * size["q"] <= R.CELLS and not size["unnamed"]:
+            return self._whole(found, wanted, scope, gone, avgdl, k, min_score, digits)
         # The k-th best of what the best blocks alone give.
         order = Window.partitionBy("segment", "term").orderBy(F.desc("best"), F.desc("n"))
         first = found.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
@@ -195,6 +222,26 @@ class Bm25Index:
         tail = weights(found.join(plan.where("is_tail"), "term")).join(leads.select("query_id", "segment", "doc_id"), ["query_id", "segment", "doc_id"], "left_semi")
         return self._ranked(scored(leads.unionByName(tail)), k, min_score, digits)
 
+    def _whole(self, found: DataFrame, wanted: DataFrame, scope: DataFrame | None, gone: DataFrame | None, avgdl: float, k: int, min_score: float | None, digits: int) -> DataFrame:
+        """Postings of asked terms, shuffled by document once, and scored as matrix products; neither weights nor scores of pairs are shuffled."""
+        pairs = wanted.select("query_id", "term", "idf").collect()  # bounded by CELLS
+        idf = {r["term"]: r["idf"] for r in pairs}
+        terms, ids = {t: i for i, t in enumerate(sorted(idf))}, sorted({r["query_id"] for r in pairs})
+        at, asks = {q: i for i, q in enumerate(ids)}, np.zeros((len(terms), len(ids)), bool)
+        asks[[terms[r["term"]] for r in pairs], [at[r["query_id"]] for r in pairs]] = True
+        held = self.spark.sparkContext.broadcast((terms, ids, asks))
+        numbers = self.spark.createDataFrame(list(terms.items()), "term string, number int")
+        p = found.join(small(numbers), "term").select("segment", "number", F.explode("postings").alias("p")).select("segment", "p.doc_id", "number", "p.tf", "p.dl")
+        if scope is not None:
+            p = p.join(scope, ["segment", "doc_id"], "left_semi")
+        elif gone is not None:
+            p = p.join(gone, ["segment", "doc_id"], "left_anti")
+        docs = p.groupBy("segment", "doc_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("number", "tf")).alias("x"))
+        docs = docs.select("doc_id", "dl", F.col("x.number").alias("terms"), F.col("x.tf").alias("tfs"))
+        score = R.whole_scorer(held, np.array([idf[t] for t in terms]), avgdl, k, k1=self.k1, b=self.b, digits=digits)
+        best = docs.mapInPandas(score, f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id long, bm25 double")
+        return top(best if min_score is None else best.where(F.col("bm25") >= min_score), "bm25", "doc_id", k)
+
     @staticmethod
     def _ranked(total: DataFrame, k: int, min_score: float | None, digits: int) -> DataFrame:
         rows = total.select("query_id", "doc_id", F.round("s", digits).alias("bm25"))

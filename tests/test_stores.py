@@ -340,3 +340,22 @@ def test_whole_documents_against_brute_force(spark, words, monkeypatch, cells):
     for m in range(3):
         mine = [(r.doc_id, r.bm25) for r in scoped if r.query_id == 7 and r.doc_id % 3 == m]
         assert sorted(mine, key=lambda x: (-x[1], x[0])) == bm25(words, asked[7], 2, lambda d: d % 3 == m)
+
+
+@pytest.mark.parametrize("cells", [8_000_000, 0])
+def test_index_scores_many_postings_by_document(spark, words, monkeypatch, cells):
+    """Many postings are scored by document, where no score of a pair is ranked over all; queries beyond the table of cells by bounds. Both as by hand."""
+    monkeypatch.setattr(I, "DIRECT", -1)
+    monkeypatch.setattr(I.R, "CELLS", cells)
+    if cells:
+        monkeypatch.delattr(I.Bm25Index, "_ranked")
+    index = I.Bm25Index(spark, shared_path(spark, "index"))
+    for ids in (range(0, 250), range(250, 600)):
+        index.add(spark.createDataFrame([(d, " ".join(words[d]), "ab"[d % 2]) for d in ids], "doc_id long, text string, scope string"), scopes=("scope",))
+    index.remove(spark.createDataFrame([(d,) for d in range(200, 300)], "doc_id long"))
+    live = {d: w for d, w in words.items() if not 200 <= d < 300}
+    queries = spark.createDataFrame([(1, ["w0", "w1", "w37"]), (2, [f"w{i}" for i in range(0, 60, 2)])], "query_id long, terms array<string>")
+    got = index.search(queries, 9, F.col("scope") == "b", min_score=1.0, digits=6).orderBy("query_id", "rank").collect()
+    for q in queries.collect():
+        want = [(d, s) for d, s in bm25(live, set(q.terms), 9, lambda d: d % 2 == 1) if s >= 1.0]
+        assert [(r.doc_id, r.bm25) for r in got if r.query_id == q.query_id] == [(d, pytest.approx(s, abs=2e-6)) for d, s in want]
