@@ -665,3 +665,89 @@ def test_classifiers_on_repeated_and_long_rows(spark):
     assert len({r.score for r in q if r.doc_id == 1}) == 2 and len({r.score for r in t if r.doc_id == 1}) >= 1
     got = labelled.sample(docs, labels, "quality", F.lit(True), 50, longest=1000, chars=5000)
     assert got["doc_id"].is_unique and 900 not in set(got["doc_id"]) and all(got[got["y"] == c]["text"].str.len().sum() <= 5000 for c in (0, 1))
+
+
+def plain_runs(text, known, min_sentences=2, min_words=25):
+    """Pieces, sizes, word hashes and runs of one text, sentence by sentence."""
+    from inkwell.llm.shingles import mix
+    from inkwell.llm.substring_dedup import _UNIT, PIECE, SENTENCE
+
+    pieces, sizes, hashes = [], [], []
+    for p in re.findall(SENTENCE, text):
+        found = [(m.start(), known.of([m[0]])) for m in _UNIT.finditer(fold(p))]
+        h = np.concatenate([v for _, v in found]) if found else np.array([], np.uint64)
+        m, cuts = mix(h).tolist(), set()
+        if len(m) > PIECE:
+            for b in range(len(m) - PIECE + 1):
+                cuts.add(min(range(b + PIECE - 1, b - 1, -1), key=m.__getitem__))
+        cuts = [0, *sorted(cuts - {0}), len(m)]
+        at = [0, *(found[c][0] for c in cuts[1:-1]), len(p)]
+        pieces += [p[x:y] for x, y in zip(at, at[1:])]
+        sizes += [y - x for x, y in zip(cuts, cuts[1:])]
+        hashes += h.tolist()
+    full = [k for k, n in enumerate(sizes) if n]
+    out = set()
+    for i in range(len(full)):
+        n = 0
+        for j in range(i, len(full)):
+            n += sizes[full[j]]
+            if j - i + 1 >= min_sentences and n >= min_words:
+                out.add((full[i], full[j] + 1))
+                break
+        n = 0
+        for j in range(i, -1, -1):
+            n += sizes[full[j]]
+            if i - j + 1 >= min_sentences and n >= min_words:
+                out.add((full[j], full[i] + 1))
+                break
+    return pieces, sizes, hashes, out
+
+
+def test_substring_dedup_cuts_many_texts_at_once():
+    from inkwell.llm import substring_dedup as S
+    from inkwell.llm.shingles import WordHashes
+
+    rng = random.Random(31)
+    signs = [". ", "!\n", "?) ", ".\"' \t", "\n\n", " ", ", ", ". . ", ".\r\n", "-", "\x00"]
+    odd = ["ÉCOLE", "İx", "日本語", "ｱｲ", "か゚な", "x日y", "\U00020000b", "ab" * 40, "AB" * 40, "\u3000", "’s", "AZ@[`{", "ſ", "Ⅷ"]
+    texts = ["", "...", "a", "日本", "x" * 200, "one two", " \n "]
+    texts += ["".join((rng.choice(odd) if rng.random() < 0.2 else rng.choice(VOCAB)) + (rng.choice(signs) if rng.random() < 0.3 else " ") for _ in range(rng.randint(0, 200))) for _ in range(80)]
+    texts += ["word" * 3, "", " ".join(rng.choice(VOCAB) for _ in range(400)), "same " * 300]
+    known, words = S.Hashing(), WordHashes()
+    bound, size, of, h = S.cut_all(texts, known)
+    joined, got = "".join(texts), [set() for _ in texts]
+    text, start, end, h1, h2 = S.runs(size, of, h, known, 2, 25)
+    for k, a, b in zip(text.tolist(), start.tolist(), end.tolist()):
+        got[k].add((a, b))
+    assert len(text) == sum(map(len, got)) > 300
+    at = 0
+    for k, t in enumerate(texts):
+        pieces, sizes, hashes, want = plain_runs(t, words)
+        x, y = of[k], of[k + 1]
+        assert [joined[i:j] for i, j in zip(bound[x:y], bound[x + 1 : y + 1])] == pieces and size[x:y].tolist() == sizes
+        assert h[at : at + len(hashes)].tolist() == hashes and got[k] == want
+        at += len(hashes)
+    key = {}
+    for k, a, b, x, y in zip(text.tolist(), start.tolist(), end.tolist(), h1.tolist(), h2.tolist()):
+        p, n = of[k] + a, size[: of[k] + a].sum()
+        assert key.setdefault((x, y), tuple(h[n : n + size[p : of[k] + b].sum()].tolist())) == tuple(h[n : n + size[p : of[k] + b].sum()].tolist())
+    assert len(set(key.values())) == len(key)
+
+
+def test_substring_dedup_moves_runs_once(spark):
+    """Runs aren't stored and moved again to be joined, and of copies that lie together only one comes to be ranked."""
+    import pandas as pd
+
+    from inkwell.llm import substring_dedup as S
+
+    rng = random.Random(32)
+    page = " ".join(prose(20, rng) + "." for _ in range(12))
+    docs = spark.createDataFrame([(i, page) for i in range(3000)] + [(9000, prose(60, rng))], "doc_id long, text string")
+    spans = S.repeated_spans(docs)
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    frame = pd.DataFrame({"doc_id": range(3000), "t": 1, "text": [page] * 3000})
+    sent = pd.concat(S._spans(2, 25)(iter([frame])))
+    assert (~sent["later"]).sum() < len(sent) / 100 and len(sent) > 3000
+    got = {r.doc_id: r.text for r in S.substring_dedup(docs).collect()}
+    assert got[0] == page and set(got[i] for i in range(1, 3000)) == {""}
