@@ -21,6 +21,15 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _spelled(capitals: bool) -> str:
+    """WORD (with capitals too), each separator named: Java looks single characters up in a table, but compares ranges one by one."""
+    return "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not (chr(c).isalnum() and (capitals or not chr(c).isupper()))) + "]++"
+
+
+#: The word rule for Java's expressions, of a text in lower case and of one that still has its capitals.
+SPELLED_WORD, SPELLED_WORD_AS_IT_IS = _spelled(False), _spelled(True)
+
+
 def ship(module_name: str) -> None:
     """Send the functions of a module to the executors by value, so that they needn't have the library installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
@@ -87,7 +96,12 @@ def ascii_lower(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(SPELLED_WORD), F.lit(0))
+
+
+def n_words_of(text: Column) -> Column:
+    """How many words a text has; null has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPELLED_WORD_AS_IT_IS)).cast("long")
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:

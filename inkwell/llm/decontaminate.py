@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import is_small, row_key, small_side, words_of, written
+from inkwell.llm.common import is_small, n_words_of, row_key, small_side, words_of, written
 
 WINDOW = 13
 SHINGLE = 3
-#: A word of a text that still has its capitals.
-_WORD_AS_IT_IS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _shingle(words: str, at: Column, width: int) -> Column:
@@ -105,8 +103,7 @@ def _contaminated_rows(docs: DataFrame, items: DataFrame, window: int, shingle:
 
 def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int, share: int, broadcast_rows: int) -> DataFrame:
     """Each row as a struct _row, with n_words, n_hit, items and contaminated."""
-    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD_AS_IT_IS)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), n_words.alias("n_words"), *row_key(F.col("doc_id"), F.col("text")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), n_words_of(F.col("text")).alias("n_words"), *row_key(F.col("doc_id"), F.col("text")))
     out = rows.join(small_side(_contaminated_rows(docs, items, window, shingle, broadcast_rows)), ["r1", "r2"], "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

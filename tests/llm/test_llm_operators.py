@@ -751,3 +751,17 @@ def test_substring_dedup_moves_runs_once(spark):
     assert (~sent["later"]).sum() < len(sent) / 100 and len(sent) > 3000
     got = {r.doc_id: r.text for r in S.substring_dedup(docs).collect()}
     assert got[0] == page and set(got[i] for i in range(1, 3000)) == {""}
+
+
+def test_words_in_columns(spark):
+    """All characters of ASCII and some others, in the column rules as in the contract's; separators are looked up, not compared in ranges."""
+    from inkwell.llm import common
+
+    assert all("-" not in p for p in (common.SPELLED_WORD, common.SPELLED_WORD_AS_IT_IS))
+    chars = "".join(map(chr, range(1, 256))) + "ſKİ日\u3000\U00020000\u2028"
+    texts = [f"a{c}b" for c in chars] + [f"{c}{c}A" for c in chars] + [None, "", "...", "One TWO  three", chars, "\x00a\x00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", common.words_of(F.col("text")).alias("w"), common.n_words_of(F.col("text")).alias("n"))
+    got = {r.i: (r.w, r.n) for r in df.collect()}
+    for i, t in enumerate(texts):
+        w = WORD.findall(fold(t))
+        assert got[i] == (w, len(w)), t
