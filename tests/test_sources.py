@@ -56,3 +56,25 @@ def test_graph(spark):
     n, e = D.merge_graph(nodes, edges, spark.createDataFrame([("b", "new"), ("e", "E")], "key string, props string"), spark.createDataFrame([("c", "e", "STEP", 1), ("a", "b", "CHILD", 5)], "parent string, child string, type string, order int"))
     got = [(r.child, r.depth, r.props) for r in D.tree_of(n, e, "a").orderBy("path").collect()]
     assert got == [("c", 1, "C"), ("e", 2, "E"), ("b", 1, "new"), ("d", 2, "D")]
+
+
+def test_spread_counts_splits_with_rows(spark, tmp_path):
+    """One row group that is planned as many splits is read by one task, so it is spread; many row groups stay."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from inkwell.sources.tables import spread
+
+    rows = pa.table({"k": list(range(20_000)), "text": [f"{i * 7919 % 10007} word {i}" for i in range(20_000)]})
+    for groups in (1, 20):
+        pq.write_table(rows, str(tmp_path / f"{groups}.parquet"), row_group_size=20_000 // groups, compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        held = lambda df: df.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+        for groups in (1, 20):
+            df = spark.read.parquet(str(tmp_path / f"{groups}.parquet"))
+            assert df.rdd.getNumPartitions() > 8 and sum(n > 0 for n in held(df)) == (1 if groups == 1 else sum(n > 0 for n in held(spread(df))))
+            n = held(spread(df))
+            assert sum(n) == 20_000 and sum(x > 0 for x in n) >= 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
