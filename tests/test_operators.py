@@ -185,3 +185,18 @@ def test_every_item_asks_with_its_vector(spark, tmp_path):
 def test_greedy_near_duplicates_follow_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(70)], "a long, b long")
     assert sorted(r.id for r in similarity.greedy_near_duplicates(pairs).collect()) == list(range(1, 71, 2))
+
+
+def test_sliding_windows_equal_the_sql_on_odd_texts(spark, tmp_path):
+    """Blank and missing texts, spaces that only one side takes for white space, and lengths around a window."""
+    import duckdb
+
+    from inkwell.plans import ORACLES, QUERIES
+
+    odd = [None, "", "  ", "\t", " ", "a b", "a   b", "　 a ", "\x0b", " \x0b ", "a\x0bb", "a\x0c\r\n b\x85c", "😀  😀"]
+    odd += [sep.join(f"w{i}" for i in range(n)) for sep in (" ", "\n", "  ", "\x0b ") for n in (1, 150, 151, 250, 251)]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {tuple(r) for r in con.execute(ORACLES["chunk_sliding_window"]).fetchall()}
+    assert {tuple(r) for r in QUERIES["chunk_sliding_window"](spark, str(tmp_path)).collect()} == want and len(want) > len(odd)
