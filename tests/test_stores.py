@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import pickle
 import random
 import re
 import time
@@ -9,6 +10,7 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -199,6 +201,94 @@ def test_outcomes_ask_their_states_once():
     assert calls == {"get": 1, "iterator": 1, "update": 1, "appendList": 1, "listTimers": 1, "deleteTimer": 1}
 
 
+def test_slots_of_jobs_do_what_jobs_do(monkeypatch):
+    """A slot's jobs in one value of state, over batches with late and untold times, against each job with states of its own; calls don't grow with jobs."""
+    monkeypatch.setattr(O, "KEPT", 6)
+    calls = Counter()
+
+    class State:
+        def __init__(self):
+            self.value, self.list, self.map, self.timers = None, [], {}, set()
+
+        def get(self):
+            calls.update(["get"])
+            return self.value
+
+        def update(self, value):
+            calls.update(["update"])
+            self.value = value
+
+        def updateValue(self, key, value):
+            self.map[key] = value
+
+        def iterator(self):
+            return iter(self.map.items())
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            calls.update(["registerTimer"])
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class ListState(State):
+        def get(self):
+            return iter(list(self.list))
+
+        def put(self, rows):
+            self.list = list(rows)
+
+        def appendValue(self, row):
+            calls.update(["appendValue"])
+            self.list.append(row)
+
+        def appendList(self, rows):
+            self.list += rows
+
+    class Values:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    def fresh(o):
+        o.plan, o.facts, o.jobs, o.history, o.handle = State(), State(), State(), ListState(), State()
+        return o
+
+    def expired(o, key, mark):
+        for at in sorted(t for t in o.handle.timers if t <= mark):
+            yield from o.handleExpiredTimer(key, Values(mark), None)
+            o.handle.timers.discard(at)
+
+    rng, slot, alone, now = random.Random(3), fresh(O.Slots(10.0)), {}, 0
+    for batch in range(12):
+        now += rng.choice([2_000, 6_000, 30_000])
+        told = [(rng.randrange(40), rng.choice("abc"), rng.choice(["FAILED", "COMPLETED", "COMPLETED", "IN_PROGRESS"]), max(0, now - rng.randrange(8_000)) * 1000 + rng.randrange(1000), rng.choice([None, *range(50)])) for _ in range(60 if batch % 3 else 8)]
+        want, mark = {}, now - 4_000
+        for job in {m[0] for m in told}:
+            o = alone.setdefault(job, fresh(O.Outcomes(10.0, None)))
+            for row in o.handleInputRows((job,), iter([Row(processor=p, status=s, at=at, no=no) for j, p, s, at, no in told if j == job]), Values(mark)):
+                want[job] = tuple(row)
+        for job, o in alone.items():
+            want |= {job: tuple(row) for row in expired(o, (job,), mark)}
+        frame = pd.DataFrame([(j, p, s, at, 2**63 - 1 if no is None else no) for j, p, s, at, no in told], columns=["job_id", "processor", "status", "at", "no"])
+        calls.clear()
+        got = {r[0]: r for f in slot.handleInputRows((0,), iter([frame[:30], frame[30:]]), Values(mark)) for r in f.itertuples(index=False, name=None)}
+        assert calls["get"] == calls["update"] == calls["appendValue"] == 1 and calls["registerTimer"] <= 1
+        got |= {r[0]: r for f in expired(slot, (0,), mark) for r in f.itertuples(index=False, name=None)}
+        assert got == want
+        assert len(slot.handle.timers) <= 1
+    kept = {}
+    for (old,) in slot.history.list:
+        for job, *row in pickle.loads(old):
+            kept.setdefault(job, []).append(tuple(row))
+    assert kept == {job: [tuple(x) for x in o.history.list] for job, o in alone.items()} and max(map(len, kept.values())) == 6
+
+
 def test_outcomes_with_time_to_live(spark):
     at, key = shared_path(spark, "ttl"), "spark.sql.streaming.stateStore.providerClass"
     messages(spark, at, [(1, "a", "COMPLETED", dt.datetime(2024, 1, 1), 0)])
